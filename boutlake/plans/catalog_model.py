@@ -15,6 +15,7 @@ from boutlake.plans import fixtures as fx
 from boutlake.plans.catalog_joins import matchups
 from boutlake.plans.catalog_log import rolling_ab
 from boutlake.plans.registry import query
+from boutlake.tables import pinned
 
 SMALL = tr.Settings(trees=4, depth=3, step=0.3)
 FEATURES = ["d_NetEff", "d_Elo", "A_home", "s_Tempo"]
@@ -43,8 +44,8 @@ def check(df, bad):
 @query("m1_leave_one_season_out", "game_raw", "SELECT 2 * count(*) AS n_rows, 0 AS n_violations FROM game_raw WHERE DayNum >= 134 AND Season >= 1999")
 def _(spark, d):
     """Tournament folds: every row has an out-of-fold probability within (0, 1), scaled by segment temperature."""
-    m = matchups(spark, d).where("Season >= 1999").withColumns({"Margin": F.col("PointDiff"), "DayNum": F.lit(134)})
-    oof = tr.leave_one_out(m, ["d_AdjEM", "d_Seed", "d_avg_Score"], SMALL)
+    m = pinned(matchups(spark, d).where("Season >= 1999").withColumns({"Margin": F.col("PointDiff"), "DayNum": F.lit(134)}))
+    oof = pinned(tr.leave_one_out(m, ["d_AdjEM", "d_Seed", "d_avg_Score"], SMALL))
     t = metrics.fit_grid(oof.select("men_women", "pred_prob", "Outcome"), ["men_women"], lambda t: (scores.temper(F.col("pred_prob"), t) - F.col("Outcome")) ** 2, 0.5, 5.0, "t", points=7, rounds=2)
     temp = F.lit(1.0)
     for (pool,), v in t.items():
@@ -203,7 +204,7 @@ def _(spark, d):
 
     feats = ["AdjEM", "avg_Score", "eFGpct"]
     tf = team_features(spark, d)
-    m = matchups(spark, d).where("Season < 2001").withColumns({"Margin": F.col("PointDiff"), "DayNum": F.lit(134)})
+    m = pinned(matchups(spark, d).where("Season < 2001").withColumns({"Margin": F.col("PointDiff"), "DayNum": F.lit(134)}))
     model = tr.train(m, [f"d_{c}" for c in feats], SMALL)
     pairs = match.field_pairs(field(spark, d, 16).where("Season = 2001"))
     x = symmetric.fan_out(symmetric.attach_both(pairs, tf, ["men_women", "Season"], feats), feats)
