@@ -1,9 +1,9 @@
 """SimHash fingerprints and their near-duplicate components by covering locality-sensitive hashing.
 
 For radius r every bit position gets a nonzero vector of r+1 bits; each nonzero
-vector v gives the mask of the positions whose vectors are orthogonal to v over
-GF(2). Any r positions span less than the whole space, so some v is orthogonal to
-all of them: two fingerprints at distance r or less agree under that mask, and
+vector v gives the mask that drops the positions whose vectors are orthogonal to v
+over GF(2). Any r positions span less than the whole space, so some v is orthogonal
+to all of them: two fingerprints at distance r or less agree under that mask, and
 collide in its table. Nothing within the radius is missed.
 """
 
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
     """The 2^(r+1)-1 masks as unsigned integers; position i gets the vector i mod (2^(r+1)-1) + 1."""
     size = (1 << radius + 1) - 1
-    return [sum(1 << i for i in range(bits) if (i % size + 1 & v).bit_count() % 2 == 0) for v in range(1, size + 1)]
+    return [sum(1 << i for i in range(bits) if (i % size + 1 & v).bit_count() % 2) for v in range(1, size + 1)]
 
 
 def _signed(x: int) -> int:
