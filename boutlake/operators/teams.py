@@ -95,22 +95,23 @@ def _efficiency_round(games: DataFrame, at: DataFrame, keys: list[str]) -> DataF
 def adjusted_efficiency(log: DataFrame, rounds: int | None = None, max_rounds: int = 50, tol: float = 1e-4, edge: float = HOME_EDGE, extra_keys: tuple[str, ...] = (), games: DataFrame | None = None) -> DataFrame:
     """Opponent-adjusted efficiency as a fixed point of joins and aggregations.
 
-    With ``rounds`` the plan holds just that many rounds. Without, rounds go on
-    until every group's largest change is below ``tol``; groups that got there are
-    set aside and move no further, so late rounds work on few rows. Each such round
-    is written to the shared folder; the driver sees one number a round.
+    With ``rounds`` there are just that many rounds. Without, rounds go on until
+    every group's largest change is below ``tol``; groups that got there are set
+    aside and move no further, so late rounds work on few rows. A round reads its
+    predecessor several times, so each is written to the shared folder (a row per
+    team and group); the driver sees one flag a round.
     """
     keys = [*KEYS, *extra_keys]
     g = efficiency_games(log, edge) if games is None else games
-    if rounds is None:
-        g = pinned(g.repartition(*keys))
-    start = _efficiency_start(g, keys)
+    g = pinned(g.repartition(*keys, "t"))
+    first = pinned(_efficiency_start(g, keys))
     if rounds is not None:
+        at = first
         for _ in range(rounds):
-            start = _efficiency_round(g, start, keys)
-        done = start.withColumn("iters", F.lit(rounds))
+            at = pinned(_efficiency_round(g, at, keys))
+        done = at.withColumn("iters", F.lit(rounds))
     else:
-        moving, done = pinned(start), None
+        moving, done = first, None
         for k in range(1, max_rounds + 1):
             moving = pinned(_efficiency_round(g, moving, keys))
             still = F.col("change") >= tol
@@ -120,7 +121,7 @@ def adjusted_efficiency(log: DataFrame, rounds: int | None = None, max_rounds: i
             moving = moving.where(still)
             if moving.isEmpty():
                 break
-    opp = _efficiency_start(g, keys).select(*keys, F.col("t").alias("o"), F.col("tempo").alias("o_tempo"))
+    opp = first.select(*keys, F.col("t").alias("o"), F.col("tempo").alias("o_tempo"))
     lg = done.select(*keys, F.col("t"), "lg_tempo")
     tempo = g.join(opp, [*keys, "o"], "left").join(lg, [*keys, "t"]).groupBy(*keys, "t").agg(F.avg(F.col("poss") / floor_at(F.coalesce("o_tempo", "lg_tempo"), 1) * F.col("lg_tempo")).alias("AdjTempo"))
     out = done.join(tempo, [*keys, "t"])
