@@ -370,7 +370,7 @@ _slots = bracket.slot_rows(64)
 _values = ", ".join(f"('{s}', {r}, '{a}', '{b}')" for s, r, a, b in _slots)
 
 
-@query("w13_bracket_seeds", "", f"WITH RECURSIVE slots(slot, round, strong, weak) AS (VALUES {_values}), reach AS (SELECT slot, round, unnest([strong, weak]) AS child FROM slots UNION ALL SELECT r.slot, r.round, unnest([s.strong, s.weak]) FROM reach r JOIN slots s ON r.child = s.slot) SELECT m.Season, r.slot, r.round, r.child AS seed, m.TeamID FROM reach r JOIN (SELECT DISTINCT year(o_orderdate)::INT AS Season FROM orders) q ON true JOIN (SELECT s_suppkey::INT AS TeamID, 'S' || lpad((row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey))::VARCHAR, 2, '0') AS seed FROM supplier) s ON s.seed = r.child JOIN (SELECT 1) ON true JOIN LATERAL (SELECT q.Season, s.TeamID) m ON true WHERE r.child NOT LIKE 'R%'")
+@query("w13_bracket_seeds", "", f"WITH RECURSIVE slots(slot, round, strong, weak) AS (VALUES {_values}), reach AS (SELECT slot, round, unnest([strong, weak]) AS child FROM slots UNION ALL SELECT r.slot, r.round, unnest([s.strong, s.weak]) FROM reach r JOIN slots s ON r.child = s.slot) SELECT m.Season, r.slot, r.round, r.child AS seed, m.TeamID FROM reach r JOIN (SELECT DISTINCT year(o_orderdate)::INT AS Season FROM orders) q ON true JOIN (SELECT s_suppkey::INT AS TeamID, 'S' || lpad((row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey))::VARCHAR, 2, '0') AS seed FROM (SELECT * FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 64)) s ON s.seed = r.child JOIN (SELECT 1) ON true JOIN LATERAL (SELECT q.Season, s.TeamID) m ON true WHERE r.child NOT LIKE 'R%'")
 def _(spark, d):
     """Which seeds can reach each slot of the tree, by a recursive query, with each season's teams."""
     seasons = fx.table(spark, d, "orders").select(F.year("o_orderdate").cast("int").alias("Season")).distinct()
@@ -380,7 +380,7 @@ def _(spark, d):
     return bracket.reachable(spark, bracket.slots(spark, 64)).join(s, "seed").crossJoin(F.broadcast(seasons)).select("Season", "slot", "round", "seed", "TeamID")
 
 
-@query("w13_meeting_round", "", f"WITH RECURSIVE slots(slot, round, strong, weak) AS (VALUES {_values}), reach AS (SELECT slot, round, unnest([strong, weak]) AS child FROM slots UNION ALL SELECT r.slot, r.round, unnest([s.strong, s.weak]) FROM reach r JOIN slots s ON r.child = s.slot), k AS (SELECT slot, round, child AS seed FROM reach WHERE child NOT LIKE 'R%') SELECT a.seed AS a, b.seed AS b, min(a.round) AS round FROM k a JOIN k b ON a.slot = b.slot AND a.seed < b.seed JOIN (SELECT 'S' || lpad((row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey))::VARCHAR, 2, '0') AS seed FROM supplier) x ON x.seed = a.seed JOIN (SELECT 'S' || lpad((row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey))::VARCHAR, 2, '0') AS seed FROM supplier) y ON y.seed = b.seed GROUP BY ALL")
+@query("w13_meeting_round", "", f"WITH RECURSIVE slots(slot, round, strong, weak) AS (VALUES {_values}), reach AS (SELECT slot, round, unnest([strong, weak]) AS child FROM slots UNION ALL SELECT r.slot, r.round, unnest([s.strong, s.weak]) FROM reach r JOIN slots s ON r.child = s.slot), k AS (SELECT slot, round, child AS seed FROM reach WHERE child NOT LIKE 'R%') SELECT a.seed AS a, b.seed AS b, min(a.round) AS round FROM k a JOIN k b ON a.slot = b.slot AND a.seed < b.seed JOIN (SELECT 'S' || lpad((row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey))::VARCHAR, 2, '0') AS seed FROM (SELECT * FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 64)) x ON x.seed = a.seed JOIN (SELECT 'S' || lpad((row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey))::VARCHAR, 2, '0') AS seed FROM (SELECT * FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 64)) y ON y.seed = b.seed GROUP BY ALL")
 def _(spark, d):
     """The round in which two seeds can first meet: the smallest slot that both can reach."""
     w = Window.orderBy(F.desc("s_acctbal"), "s_suppkey")
@@ -389,7 +389,7 @@ def _(spark, d):
     return bracket.meeting_round(bracket.reachable(spark, bracket.slots(spark, 64)).join(s, "seed"))
 
 
-@query("w14_expected_path", "", f"WITH RECURSIVE slots(slot, round, strong, weak) AS (VALUES {_values}), reach AS (SELECT slot, round, unnest([strong, weak]) AS child FROM slots UNION ALL SELECT r.slot, r.round, unnest([s.strong, s.weak]) FROM reach r JOIN slots s ON r.child = s.slot), k AS (SELECT slot, round, child AS seed FROM reach WHERE child NOT LIKE 'R%'), s AS (SELECT s_acctbal AS em, 'S' || lpad((row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey))::VARCHAR, 2, '0') AS seed FROM supplier), m AS (SELECT a.seed AS a, b.seed AS b, min(a.round) AS round FROM k a JOIN k b ON a.slot = b.slot AND a.seed <> b.seed GROUP BY ALL) SELECT a AS seed, avg(q) AS path FROM (SELECT m.a, m.round, avg(s.em) AS q FROM m JOIN s ON s.seed = m.b JOIN s t ON t.seed = m.a GROUP BY ALL) GROUP BY ALL", "path")
+@query("w14_expected_path", "", f"WITH RECURSIVE slots(slot, round, strong, weak) AS (VALUES {_values}), reach AS (SELECT slot, round, unnest([strong, weak]) AS child FROM slots UNION ALL SELECT r.slot, r.round, unnest([s.strong, s.weak]) FROM reach r JOIN slots s ON r.child = s.slot), k AS (SELECT slot, round, child AS seed FROM reach WHERE child NOT LIKE 'R%'), s AS (SELECT s_acctbal AS em, 'S' || lpad((row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey))::VARCHAR, 2, '0') AS seed FROM (SELECT * FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 64)), m AS (SELECT a.seed AS a, b.seed AS b, min(a.round) AS round FROM k a JOIN k b ON a.slot = b.slot AND a.seed <> b.seed GROUP BY ALL) SELECT a AS seed, avg(q) AS path FROM (SELECT m.a, m.round, avg(s.em) AS q FROM m JOIN s ON s.seed = m.b JOIN s t ON t.seed = m.a GROUP BY ALL) GROUP BY ALL", "path")
 def _(spark, d):
     """Mean over rounds of the mean rating of the opponents possible in it, before any game is played."""
     w = Window.orderBy(F.desc("s_acctbal"), "s_suppkey")
