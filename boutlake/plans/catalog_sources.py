@@ -11,7 +11,7 @@ from boutlake.plans import fixtures as fx
 from boutlake.plans.catalog_joins import comparator, field
 from boutlake.plans.registry import query
 from boutlake.sources import feeds, files
-from boutlake.tables import shared_folder
+from boutlake.tables import pinned, shared_folder
 
 
 def landing(spark) -> str:
@@ -99,7 +99,7 @@ def _(spark, d):
     at = landing(spark)
     p = fx.plog(spark, d)
     day = p.groupBy(F.col("Season").alias("season"), F.col("DayNum").alias("date")).agg(F.sort_array(F.collect_list(F.struct("_seq", "A_TeamID", "B_TeamID", F.struct("pred_margin", "pred_total").alias("our")))).alias("games"))
-    files.write_published(day, at)
+    files.write_published(pinned(day), at)
     read = spark.read.schema("games array<struct<_seq:long>>, season int, date int").json(f"{at}/slates").select("season", "date", F.explode("games"))
     index = spark.read.schema("season int, dates array<int>").json(f"{at}/index").select("season", F.size("dates").cast("long").alias("n_dates"))
     latest = spark.read.schema("season int").json(f"{at}/latest").select(F.col("season").alias("latest"))

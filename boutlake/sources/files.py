@@ -70,8 +70,12 @@ def write_one_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_published(df: DataFrame, path: str) -> None:
-    """Nested JSON by season and date, then the index, then the pointer, so that a reader never follows a pointer to nothing."""
-    df.repartition("season", "date").write.mode("overwrite").partitionBy("season", "date").json(f"{path}/slates")
+def write_published(df: DataFrame, path: str, by: tuple[str, ...] = ("season",)) -> None:
+    """Nested JSON, a line per season and date, then the index, then the pointer, so that a reader never follows a pointer to nothing.
+
+    Folders are by season, dates sorted within; ``by`` may add the date where a
+    server wants a folder per date, at the price of as many small files.
+    """
+    df.repartition(*by).sortWithinPartitions("season", "date").write.mode("overwrite").partitionBy(*by).json(f"{path}/slates")
     df.groupBy("season").agg(F.sort_array(F.collect_set("date")).alias("dates")).write.mode("overwrite").json(f"{path}/index")
     df.agg(F.max("season").alias("season")).write.mode("overwrite").json(f"{path}/latest")
