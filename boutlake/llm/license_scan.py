@@ -163,20 +163,21 @@ def scan_text(text: str | None, index: Index, min_coverage: float, band: int) ->
     found = []
     for t, diagonals in votes.items():
         size = len(index.words[t])
+        reach = min(band, size - 1)  # occurrences that follow on each other lie a template's length apart
         diagonals.sort()
         at = 0
         while at < len(diagonals):
             stop = at
-            while stop < len(diagonals) and diagonals[stop] - diagonals[at] <= band:
+            while stop < len(diagonals) and diagonals[stop] - diagonals[at] <= reach:
                 stop += 1
             centre = diagonals[(at + stop - 1) // 2]
-            low = max(0, centre - 2 * band)
-            pairs = align(index.words[t], ids[low : centre + size + 2 * band], centre - low, band)
+            first = max(0, centre - 2 * reach)
+            pairs = align(index.words[t], ids[first : centre + size + 2 * reach], centre - first, reach)
             at = stop
             coverage = len(pairs) / size
             if coverage >= min_coverage:
                 spans, start = [], 0
-                places = [low + j for _, j in pairs]
+                places = [first + j for _, j in pairs]
                 for x in range(1, len(places) + 1):
                     if x == len(places) or places[x] != places[x - 1] + 1:
                         spans.append((matches[places[start]].start(), matches[places[x - 1]].end()))
@@ -197,8 +198,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage:
     """(id, license, coverage, matched_words, spans) of every occurrence of a template in a whole text.
 
     An occurrence that holds a whole template or a run of window + k - 1 of its
-    words is always a candidate; a template of fewer than k words never is. spans are character ranges [start, end) of matched runs. Null and
-    empty texts have no row. Nothing is shuffled.
+    words is always a candidate; a template of fewer than k words never is. The
+    band is narrower than the template where that is short, so that occurrences
+    side by side stay apart. spans are character ranges [start, end) of matched
+    runs. Null and empty texts have no row. Nothing is shuffled.
     """
     index = build_index(TEMPLATES if templates is None else templates, k, window)
     shared = docs.sparkSession.sparkContext.broadcast(index)

@@ -182,6 +182,16 @@ def test_license_every_template_is_found():
         assert any(f[0] == name and f[1] == 1.0 for f in found), name
 
 
+@pytest.mark.parametrize("name", ["All-rights-reserved", "MIT-notice", "GPL-3.0-notice"])
+@pytest.mark.parametrize("between", ["", "word ", "one two three "])
+def test_license_occurrences_side_by_side(name, between):
+    ix = license_scan.build_index(license_scan.TEMPLATES)
+    text = "".join(f"{license_scan.TEMPLATES[name]} {between}" for _ in range(40))
+    found = [f for f in license_scan.scan_text(text, ix, 0.6, 16) if f[0] == name]
+    assert len(found) == 40 and all(f[1] == 1.0 for f in found)
+    assert all(text[f[3][0][0] : f[3][-1][1]] == license_scan.TEMPLATES[name].rstrip(".") for f in found)
+
+
 def test_license_lines_by_brute_force(spark):
     got = {(r.doc_id, r.license) for r in queries.op3_license_scan(spark, "/root/testdata/sf0.01").collect()}
     want = set()
