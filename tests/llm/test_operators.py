@@ -468,3 +468,15 @@ def test_pipeline(spark, tmp_path):
     good = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").join(docs, "doc_id")
     first = corpus_pipeline.quality_stage(spark, docs, "/root/testdata/sf0.01")
     assert good.join(first, "doc_id", "left_anti").count() <= 0.01 * good.count()
+
+
+def test_pipeline_keeps_all_where_nothing_was_learned(spark, tmp_path):
+    """All lang null and labels of one class only: neither filter has grounds to reject a document."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, f"plain words number {i} of a short text", None, "s", 40) for i in range(60)], EMPTY)
+    labels = spark.createDataFrame([(i, 0, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for stage in (corpus_pipeline.quality_stage, corpus_pipeline.language_stage):
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns and kept.count() == 60
