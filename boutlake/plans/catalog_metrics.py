@@ -287,6 +287,18 @@ def _(spark, d):
     return p.withColumnsRenamed({str(y): f"s{y}" for y in (1999, 2000, 2001)})
 
 
+_folds = ", ".join(f"avg((pred_prob - Outcome) ** 2) FILTER (Season = {y}) AS s{y}" for y in range(1995, 2002))
+
+
+@query("a37_fold_pivot_all_seasons", "plog", f"SELECT men_women, {_folds} FROM plog GROUP BY men_women", " ".join(f"s{y}" for y in range(1995, 2002)))
+def _(spark, d):
+    """A column for each season that the log holds; their number is that of the folds."""
+    p = fx.plog(spark, d)
+    seasons = sorted(r[0] for r in p.select("Season").distinct().collect())
+    wide = p.groupBy("men_women").pivot("Season", seasons).agg(metrics.brier("pred_prob", "Outcome"))
+    return wide.withColumnsRenamed({str(y): f"s{y}" for y in seasons})
+
+
 @query("a37_normalised_axes", "runs", "SELECT run_id, (brier - min(brier) OVER ()) / (max(brier) OVER () - min(brier) OVER ()) AS x_brier, mae / max(mae) OVER () AS mae_share FROM runs", "x_brier mae_share")
 def _(spark, d):
     """Min-max and share of the maximum over the runs table, which has a row per run."""

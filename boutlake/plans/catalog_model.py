@@ -21,12 +21,12 @@ SMALL = tr.Settings(trees=4, depth=3, step=0.3)
 FEATURES = ["d_NetEff", "d_Elo", "A_home", "s_Tempo"]
 
 
-def reg_games(spark, d, seasons: str = "Season >= 1999"):
-    """Point-in-time games from both sides with Elo, season-to-date rates and venue."""
+def reg_games(spark, d):
+    """Point-in-time games of all seasons from both sides with Elo, season-to-date rates and venue."""
     g = fx.game_raw(spark, d)
     elo = history.pregame_elo(g, k=60.0, carry=0.9).select("_seq", "W_Elo_pre", "L_Elo_pre")
     r = rolling_ab(spark, d).drop("men_women", "Season")
-    x = g.join(elo, "_seq").join(r, "_seq").where(seasons)
+    x = g.join(elo, "_seq").join(r, "_seq")
     diff, total = F.col("WScore") - F.col("LScore"), F.col("WScore") + F.col("LScore")
 
     def side(a_won: bool):
@@ -41,17 +41,31 @@ def check(df, bad):
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(bad).cast("int").alias("n_violations"))
 
 
-@query("m1_leave_one_season_out", "game_raw", "SELECT 2 * count(*) AS n_rows, 0 AS n_violations FROM game_raw WHERE DayNum >= 134 AND Season >= 1999")
-def _(spark, d):
-    """Tournament folds: every row has an out-of-fold probability within (0, 1), scaled by segment temperature."""
-    m = pinned(matchups(spark, d).where("Season >= 1999").withColumns({"Margin": F.col("PointDiff"), "DayNum": F.lit(134)}))
+def tournament_folds(spark, d):
+    """Out-of-fold tournament probabilities ``p`` of all seasons, scaled by segment temperature."""
+    m = pinned(matchups(spark, d).withColumns({"Margin": F.col("PointDiff"), "DayNum": F.lit(134)}))
     oof = pinned(tr.leave_one_out(m, ["d_AdjEM", "d_Seed", "d_avg_Score"], SMALL))
     t = metrics.fit_grid(oof.select("men_women", "pred_prob", "Outcome"), ["men_women"], lambda t: (scores.temper(F.col("pred_prob"), t) - F.col("Outcome")) ** 2, 0.5, 5.0, "t", points=7, rounds=2)
     temp = F.lit(1.0)
     for (pool,), v in t.items():
         temp = F.when(F.col("men_women") == pool, F.lit(v)).otherwise(temp)
-    p = oof.withColumn("p", scores.temper(F.col("pred_prob"), temp))
-    return check(p, F.col("p").isNull() | (F.col("p") <= 0) | (F.col("p") >= 1))
+    return oof.withColumn("p", scores.temper(F.col("pred_prob"), temp))
+
+
+def improper(p):
+    return p.isNull() | (p <= 0) | (p >= 1)
+
+
+@query("m1_leave_one_season_out", "game_raw", "SELECT 2 * count(*) AS n_rows, 0 AS n_violations FROM game_raw WHERE DayNum >= 134 AND Season >= 1999")
+def _(spark, d):
+    """Tournament folds of all seasons: every row has a probability within (0, 1). The SQL reports 1999 on."""
+    return check(tournament_folds(spark, d).where("Season >= 1999"), improper(F.col("p")))
+
+
+@query("m1_leave_one_season_out_all_seasons", "game_raw", "SELECT 2 * count(*) AS n_rows, 0 AS n_violations FROM game_raw WHERE DayNum >= 134")
+def _(spark, d):
+    """The same folds, all of them reported."""
+    return check(tournament_folds(spark, d), improper(F.col("p")))
 
 
 @query("m2_m3_m4_production", "game_raw", "SELECT 2 * count(*) AS n_rows, 0 AS n_violations FROM game_raw WHERE Season = 2001")
@@ -64,13 +78,24 @@ def _(spark, d):
     return check(s, bad)
 
 
-@query("m5_m6_regular_log", "game_raw", "SELECT CASE WHEN Season < 2001 THEN 'oof' ELSE 'holdout' END AS source, 2 * count(*) AS n FROM game_raw WHERE Season >= 1999 GROUP BY 1")
-def _(spark, d):
-    """Out-of-fold frame without the holdout season, the holdout scored apart, one log."""
+def regular_log(spark, d):
+    """Out-of-fold frame of all seasons without the holdout season, the holdout scored apart, one log."""
     g = reg_games(spark, d)
     oof = tr.leave_one_out(g, FEATURES, SMALL, holdout=[2001])
     held = tr.train(g.where("Season < 2001"), FEATURES, SMALL).transform(g.where("Season = 2001"))
-    return tr.predictions_log(oof, held).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return tr.predictions_log(oof, held)
+
+
+@query("m5_m6_regular_log", "game_raw", "SELECT CASE WHEN Season < 2001 THEN 'oof' ELSE 'holdout' END AS source, 2 * count(*) AS n FROM game_raw WHERE Season >= 1999 GROUP BY 1")
+def _(spark, d):
+    """The log's rows by source. The SQL reports 1999 on."""
+    return regular_log(spark, d).where("Season >= 1999").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("m5_m6_regular_log_all_seasons", "game_raw", "SELECT CASE WHEN Season < 2001 THEN 'oof' ELSE 'holdout' END AS source, 2 * count(*) AS n FROM game_raw GROUP BY 1")
+def _(spark, d):
+    """The whole log's rows by source."""
+    return regular_log(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("m7_margin_calibrator", "plog", "SELECT 1 AS monotone, 1 AS normal_equations FROM (SELECT count(*) FROM plog)")
@@ -135,11 +160,12 @@ def _(spark, d):
     """Mean spread over fold models, and their mean importances."""
     g = reg_games(spark, d)
     x = tr.assembled(g.where("Season < 2001"), FEATURES).persist()
-    models = [tr.fit_regressor(x.where(F.col("Season") != k), "Margin", SMALL) for k in (1999, 2000)]
+    folds = sorted(r[0] for r in x.select("Season").distinct().collect())
+    models = [tr.fit_regressor(x.where(F.col("Season") != k), "Margin", SMALL) for k in folds]
     own = tr.assembled(g.where("Season = 2001"), FEATURES)
     for i, m in enumerate(models):
         own = m.transform(own).withColumnRenamed("pred_margin", f"m{i}")
-    n = own.select(((F.col("m0") + F.col("m1")) / 2).alias("spread")).agg(F.count("spread").alias("n_rows"))
+    n = own.select((sum(F.col(f"m{i}") for i in range(len(models))) / len(models)).alias("spread")).agg(F.count("spread").alias("n_rows"))
     imp = tr.importances(models, FEATURES, spark).agg(F.count(F.lit(1)).cast("int").alias("n_features"), (F.abs(F.sum("importance") - 1) < 1e-6).cast("int").alias("sums_to_one"))
     return imp.crossJoin(n)  # one row each
 
@@ -153,26 +179,49 @@ def _(spark, d):
     return p.agg(F.lit(int(same)).alias("deterministic"), F.lit(1).alias("bounded"))
 
 
-@query("m16_baseline", "game_raw", "SELECT 2 * count(*) AS n_rows, 1 AS better_than_naive FROM game_raw WHERE Season >= 1999")
-def _(spark, d):
-    """Two heads on few features, out of fold; the total head is no worse than twice the naive one."""
-    g = reg_games(spark, d)
-    oof = tr.leave_one_out(g, ["d_Elo", "A_home"], SMALL)
+def baseline(spark, d):
+    return tr.leave_one_out(reg_games(spark, d), ["d_Elo", "A_home"], SMALL)
+
+
+def against_naive(oof):
     mean = F.avg(F.abs(F.col("Total") - F.col("pred_total")))
     return oof.agg(F.count(F.lit(1)).alias("n_rows"), (mean < 2 * F.stddev_pop("Total")).cast("int").alias("better_than_naive"))
 
 
-@query("m17_ablation", "game_raw", "SELECT unnest(['with', 'without']) AS variant, 2 * (SELECT count(*) FROM game_raw WHERE Season >= 1999) AS n")
+@query("m16_baseline", "game_raw", "SELECT 2 * count(*) AS n_rows, 1 AS better_than_naive FROM game_raw WHERE Season >= 1999")
+def _(spark, d):
+    """Two heads on few features, out of fold over all seasons; the total head is no worse than twice the naive one. The SQL reports 1999 on."""
+    return against_naive(baseline(spark, d).where("Season >= 1999"))
+
+
+@query("m16_baseline_all_seasons", "game_raw", "SELECT 2 * count(*) AS n_rows, 1 AS better_than_naive FROM game_raw")
 def _(spark, d):
-    """The same folds with and without a column group."""
+    """The same, all seasons reported."""
+    return against_naive(baseline(spark, d))
+
+
+def ablation(spark, d, reported: str):
+    """Rows predicted by the same folds, all seasons, with and without a column group."""
     g = reg_games(spark, d)
     parts = []
     for label, features in (("with", FEATURES), ("without", [f for f in FEATURES if f != "d_NetEff"])):
-        oof = tr.leave_one_out(g, features, SMALL)
+        oof = tr.leave_one_out(g, features, SMALL).where(reported)
         parts.append(oof.agg(F.count("pred_prob").alias("n")).select(F.lit(label).alias("variant"), "n"))
     return parts[0].unionByName(parts[1])
 
 
+@query("m17_ablation", "game_raw", "SELECT unnest(['with', 'without']) AS variant, 2 * (SELECT count(*) FROM game_raw WHERE Season >= 1999) AS n")
+def _(spark, d):
+    """The same folds with and without a column group. The SQL reports 1999 on."""
+    return ablation(spark, d, "Season >= 1999")
+
+
+@query("m17_ablation_all_seasons", "game_raw", "SELECT unnest(['with', 'without']) AS variant, 2 * (SELECT count(*) FROM game_raw) AS n")
+def _(spark, d):
+    """The same, all seasons reported."""
+    return ablation(spark, d, "true")
+
+
 @query("m18_frozen_tournament", "game_raw", "SELECT CASE WHEN round_num = 1 THEN 'first' ELSE 'later' END AS part, count(*) AS n FROM (SELECT dense_rank() OVER (PARTITION BY men_women ORDER BY DayNum) AS round_num FROM game_raw WHERE Season = 2001 AND DayNum >= 134) GROUP BY 1")
 def _(spark, d):
     """A season's tournament with features frozen before it, reported by round."""
