@@ -5,13 +5,16 @@ executor). Of each template's word k-grams winnowing keeps each window's least
 hash; these fingerprints make the inverted index. All k-grams of a text are looked
 up, so every whole template and every run of window + k - 1 of its words is found,
 however short the template. The fingerprints found vote for (template, diagonal
-band); a banded alignment of the template with that part of the text gives matched
-words, coverage and spans.
+band); a banded alignment of the template with that part of the text gives a piece,
+and pieces of one template that follow on each other are chained, so that foreign
+words within an occurrence don't split it. A chain gives matched words, coverage
+and spans.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -142,6 +145,48 @@ def align(a: np.ndarray, b: np.ndarray, centre: int, band: int) -> list[tuple[in
     return out[::-1]
 
 
+def chains(pieces: list[list[tuple[int, int]]], size: int, min_coverage: float, slack: int) -> list[list[tuple[int, int]]]:
+    """Occurrences of at least ``min_coverage``, fullest first: pieces of one template joined where template and text both go on.
+
+    Between two joined pieces lie at most ``size`` words of the text. A piece may lose
+    up to ``slack`` pairs at a joint besides those that both hold. No word of the text
+    is in two occurrences.
+    """
+    out: list[list[tuple[int, int]]] = []
+    used: set[int] = set()
+    while True:
+        pieces = sorted((p for p in ([x for x in piece if x[1] not in used] for piece in pieces) if p), key=lambda p: (p[0][1], p[-1][1]))
+        longest = max((p[-1][1] - p[0][1] for p in pieces), default=0)
+        held = [set(p) for p in pieces]
+        best: list[tuple[int, int, int, int, int]] = []  # matched, -pieces, start, piece before, pairs cut
+        for f, p in enumerate(pieces):
+            top = (len(p), -1, p[0][1], -1, 0)
+            for g in range(f - 1, -1, -1):
+                q = pieces[g]
+                if p[-1][1] - q[0][1] > 2 * longest + size:
+                    break
+                cut = max(bisect_right(p, q[-1][0], key=lambda x: x[0]), bisect_right(p, q[-1][1], key=lambda x: x[1]))
+                if cut == len(p) or p[cut][1] - q[-1][1] > size or cut > slack and cut - len(held[g].intersection(p[:cut])) > slack:
+                    continue
+                top = max(top, (best[g][0] + len(p) - cut, best[g][1] - 1, best[g][2], g, cut))
+            best.append(top)
+        taken = False
+        for f in sorted(range(len(pieces)), key=lambda f: (-best[f][0], -best[f][1], pieces[f][-1][1] - best[f][2], f)):
+            if best[f][0] < min_coverage * size:
+                break
+            parts, at = [], f
+            while at >= 0:
+                parts.append(pieces[at][best[at][4] :])
+                at = best[at][3]
+            pairs = [x for part in reversed(parts) for x in part]
+            if used.isdisjoint(j for _, j in pairs):
+                used.update(j for _, j in pairs)
+                out.append(pairs)
+                taken = True
+        if not taken:
+            return out
+
+
 def scan_text(text: str | None, index: Index, min_coverage: float, band: int) -> list[tuple[str, float, int, list[tuple[int, int]]]]:
     """(license, coverage, matched words, spans as character ranges) of each occurrence, in order of place."""
     if not text:
@@ -165,7 +210,7 @@ def scan_text(text: str | None, index: Index, min_coverage: float, band: int) ->
         size = len(index.words[t])
         reach = min(band, size - 1)  # occurrences that follow on each other lie a template's length apart
         diagonals.sort()
-        at = 0
+        at, pieces = 0, []
         while at < len(diagonals):
             stop = at
             while stop < len(diagonals) and diagonals[stop] - diagonals[at] <= reach:
@@ -174,24 +219,17 @@ def scan_text(text: str | None, index: Index, min_coverage: float, band: int) ->
             first = max(0, centre - 2 * reach)
             pairs = align(index.words[t], ids[first : centre + size + 2 * reach], centre - first, reach)
             at = stop
-            coverage = len(pairs) / size
-            if coverage >= min_coverage:
-                spans, start = [], 0
-                places = [first + j for _, j in pairs]
-                for x in range(1, len(places) + 1):
-                    if x == len(places) or places[x] != places[x - 1] + 1:
-                        spans.append((matches[places[start]].start(), matches[places[x - 1]].end()))
-                        start = x
-                found.append((index.names[t], coverage, len(pairs), spans))
+            pieces.append([(i, first + j) for i, j in pairs])
+        for pairs in chains(pieces, size, min_coverage, index.window + index.k - 1):
+            spans, start = [], 0
+            places = [j for _, j in pairs]
+            for x in range(1, len(places) + 1):
+                if x == len(places) or places[x] != places[x - 1] + 1:
+                    spans.append((matches[places[start]].start(), matches[places[x - 1]].end()))
+                    start = x
+            found.append((index.names[t], len(pairs) / size, len(pairs), spans))
     found.sort(key=lambda f: (f[3][0][0], -f[2], f[0]))
-    out: list = []
-    for f in found:  # of the finds of one license in the same words the fullest stays
-        same = next((o for o in out if o[0] == f[0] and o[3][0][0] < f[3][-1][1] and f[3][0][0] < o[3][-1][1]), None)
-        if same is None:
-            out.append(f)
-        elif f[2] > same[2]:
-            out[out.index(same)] = f
-    return out
+    return found
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = 0.6, band: int = 16, k: int = 3, window: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,7 +238,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage:
     An occurrence that holds a whole template or a run of window + k - 1 of its
     words is always a candidate; a template of fewer than k words never is. The
     band is narrower than the template where that is short, so that occurrences
-    side by side stay apart. spans are character ranges [start, end) of matched
+    side by side stay apart. Pieces of a template up to its own length of words apart count as one occurrence. spans are character ranges [start, end) of matched
     runs. Null and empty texts have no row. Nothing is shuffled.
     """
     index = build_index(TEMPLATES if templates is None else templates, k, window)
