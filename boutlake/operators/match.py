@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boutlake.functions.scores import bare_name, normalised_name
+from boutlake.functions.scores import normalised_name
 
 
 def pair_key(a: str, b: str) -> list[Column]:
@@ -56,8 +56,8 @@ def resolve_names(names: DataFrame, teams: DataFrame, spellings: DataFrame, over
     """(name, TeamID, how) by override, then exact, then spelling, then likeness of at least ``cutoff``.
 
     Each step is an equi-join; only names that all three leave open meet the
-    dimension, blocked by the first two letters or the last two of the bare name, in an Arrow
-    function that runs the sequence-matching ratio. The greatest ratio wins, then the greater name.
+    dimension, by ``alike``: no pair of at least ``cutoff`` is left out. The greatest ratio
+    wins, then the greater name.
     """
     n = names.select("name").distinct().withColumn("norm", normalised_name(F.col("name")))
     one = lambda df, key, out: df.groupBy(F.col(key).alias("_k")).agg(F.max("TeamID").alias(out))
@@ -70,15 +70,45 @@ def resolve_names(names: DataFrame, teams: DataFrame, spellings: DataFrame, over
     step = F.when(F.col("t1").isNotNull(), "override").when(F.col("t2").isNotNull(), "exact").when(F.col("t3").isNotNull(), "spelling")
     found = found.select("name", "norm", F.coalesce("t1", "t2", "t3").alias("TeamID"), step.alias("how"))
     rest = found.where("TeamID IS NULL").select("name", "norm")
-    blocks = lambda c: F.array_distinct(F.array(F.concat(F.lit("^"), F.substring(bare_name(c), 1, 2)), F.concat(F.lit("$"), F.substring(bare_name(c), -2, 2))))
-    left = rest.withColumn("_b", F.explode(blocks(F.col("norm"))))
-    right = exact.select("TeamID", F.col("norm").alias("other")).withColumn("_b", F.explode(blocks(F.col("other"))))
-    pairs = left.join(right, "_b").select("name", "norm", "other", "TeamID").distinct()
-    scored = pairs.withColumn("ratio", likeness("norm", "other")).where(F.col("ratio") >= cutoff)
+    others = exact.groupBy(F.col("norm").alias("other")).agg(F.max("TeamID").alias("TeamID"))
+    scored = alike(rest, others, cutoff)
     best = scored.groupBy("name").agg(F.max_by("TeamID", F.struct("ratio", "other", "TeamID")).alias("f"))
     return found.join(best, "name", "left").select("name", F.coalesce("TeamID", "f").alias("TeamID"), F.coalesce("how", F.when(F.col("f").isNotNull(), "fuzzy")).alias("how"))
 
 
+def grams(c: Column, q: int) -> Column:
+    """The q-grams of a string, equal ones numbered; pairs run over both ends."""
+    padded = F.concat(F.lit("^"), c, F.lit("$")) if q == 2 else c
+    pieces = F.transform(F.when(F.length(padded) >= q, F.sequence(F.lit(1), F.length(padded) - (q - 1))).otherwise(F.array().cast("array<int>")), lambda i: F.substring(padded, i, F.lit(q)))
+    return F.transform(pieces, lambda g, i: F.concat(g, F.size(F.filter(F.slice(pieces, 1, i + 1), lambda x: x == g)).cast("string")))
+
+
+def alike(left: DataFrame, right: DataFrame, cutoff: float, salts: int = 8) -> DataFrame:
+    """Rows of ``left`` (name, norm) with those of ``right`` (other, TeamID; ``other`` unique) of a ratio of at least ``cutoff``.
+
+    For lengths a and b that ratio needs M >= cutoff (a + b) / 2 matched characters, in order, so at most
+    a + b - 2 M breaks: the padded strings share M - (a + b - 2 M) + 1 pairs of characters at least, and as many
+    are missing from neither's rarest ones (prefix filter). Below a cutoff of 2/3 single characters are used.
+    Any order of the grams is right; only the commonest thousand are told apart by their number.
+    """
+    q = 2 if cutoff >= 2 / 3 else 1
+    per, more = (1.5 * cutoff - 1, 1) if q == 2 else (cutoff / 2, 0)
+    common = right.select(F.explode(grams(F.col("other"), q)).alias("_g")).groupBy("_g").agg(F.count(F.lit(1)).alias("_f")).orderBy(F.desc("_f"), "_g").limit(1000)
+
+    def rarest(df: DataFrame, key: str, text: str) -> DataFrame:
+        shared = F.ceil(F.length(text) * (per * 2 / (2 - cutoff)) + (more - 1e-9))  # with the shortest possible partner
+        rows = df.where(F.col(text).isNotNull()).withColumns({"_g": F.explode(grams(F.col(text), q)), "_most": F.length(text) + more - shared + 1})
+        w = Window.partitionBy(key).orderBy(F.coalesce("_f", F.lit(0)), "_g")
+        return rows.join(F.broadcast(common), "_g", "left").withColumn("_n", F.row_number().over(w)).where("_n <= _most").select(*df.columns, "_g")
+
+    x = rarest(left, "name", "norm").withColumn("_s", F.pmod(F.xxhash64("name"), F.lit(salts)).cast("int"))
+    y = rarest(right, "other", "other").withColumn("_s", F.explode(F.array(*map(F.lit, range(salts)))))
+    a, b = F.length("norm"), F.length("other")
+    near = F.least(a, b) >= cutoff / 2 * (a + b) - 1e-9
+    pairs = x.join(y, ["_g", "_s"]).where(near).select("name", "norm", "other", "TeamID").distinct()
+    return pairs.withColumn("ratio", likeness("norm", "other")).where(F.col("ratio") >= cutoff)
+
+
 def likeness(a: str, b: str) -> Column:
     @F.pandas_udf("double")
     def ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
