@@ -424,6 +424,12 @@ def _(spark, d):
     return m.select("_seq", F.abs(F.col("pred_margin") - F.col("cmp_margin")).alias("gap")).orderBy(F.desc_nulls_last("gap"), "_seq")
 
 
+@query("k1_by_disagreement_all", "plog matched", "SELECT _seq, gap FROM (SELECT p._seq, abs(p.pred_margin - m.cmp_margin) AS gap FROM plog p LEFT JOIN matched m USING (_seq)) ORDER BY gap DESC NULLS LAST, _seq", "gap")
+def _(spark, d):
+    """The whole log by disagreement."""
+    return matched(spark, d, "left").select("_seq", F.abs(F.col("pred_margin") - F.col("cmp_margin")).alias("gap")).orderBy(F.desc_nulls_last("gap"), "_seq")
+
+
 @query("k2_sort_log", "ratings_log", "SELECT Season, ArchiveDate, our_rank, TeamID FROM ratings_log ORDER BY Season, ArchiveDate, our_rank, TeamID")
 def _(spark, d):
     return ratings_log(spark, d).select("Season", "ArchiveDate", "our_rank", "TeamID").orderBy("Season", "ArchiveDate", "our_rank", "TeamID")
@@ -459,26 +465,51 @@ def _(spark, d):
     return joined.select("_seq", F.col("_ord").alias("place"))
 
 
+@query("k5_keeps_input_order_all", "game_raw", "SELECT _seq, Season, row_number() OVER (PARTITION BY Season ORDER BY DayNum, _seq) - 1 AS place FROM game_raw")
+def _(spark, d):
+    """The whole log, each season in its own order."""
+    g = fx.game_raw(spark, d)
+    ordered = g.select("_seq", "Season", "WTeamID", (F.row_number().over(Window.partitionBy("Season").orderBy("DayNum", "_seq")) - 1).alias("_ord"))
+    joined = ordered.join(fx.teams(spark, d).withColumnRenamed("TeamID", "WTeamID"), "WTeamID").orderBy("Season", "_ord")
+    return joined.select("_seq", "Season", F.col("_ord").alias("place"))
+
+
 @query("u1_union_by_name", "game_raw", "SELECT _seq, Season, WScore, NULL::VARCHAR AS WLoc FROM game_raw WHERE Season = 1995 UNION ALL SELECT _seq, Season, NULL, WLoc FROM game_raw WHERE Season = 1996", "WScore")
 def _(spark, d):
     g = fx.game_raw(spark, d)
     return g.where("Season = 1995").select("_seq", "Season", "WScore").unionByName(g.where("Season = 1996").select("_seq", "Season", "WLoc"), allowMissingColumns=True)
 
 
+@query("u1_union_by_name_all", "game_raw", "SELECT _seq, Season, WScore, NULL::VARCHAR AS WLoc FROM game_raw UNION ALL SELECT _seq, Season, NULL, WLoc FROM game_raw", "WScore")
+def _(spark, d):
+    """Both frames over the whole log."""
+    g = fx.game_raw(spark, d)
+    return g.select("_seq", "Season", "WScore").unionByName(g.select("_seq", "Season", "WLoc"), allowMissingColumns=True)
+
+
 @query("u2_distinct_keep_first", "game_raw", "SELECT Season, DayNum, WTeamID, LTeamID, min(_seq) AS _seq FROM game_raw GROUP BY ALL")
 def _(spark, d):
     w = Window.partitionBy("Season", "DayNum", "WTeamID", "LTeamID").orderBy("_seq")
     return fx.game_raw(spark, d).withColumn("n", F.row_number().over(w)).where("n = 1").select("Season", "DayNum", "WTeamID", "LTeamID", "_seq")
 
 
-@query("u3_difference_and_intersection", "game_raw", "SELECT 'only_w' AS kind, count(*) AS n FROM (SELECT Season, WTeamID FROM game_raw WHERE DayNum < 20 EXCEPT SELECT Season, LTeamID FROM game_raw WHERE DayNum < 20) UNION ALL SELECT 'both', count(*) FROM (SELECT Season, WTeamID FROM game_raw WHERE DayNum < 20 INTERSECT SELECT Season, LTeamID FROM game_raw WHERE DayNum < 20)")
-def _(spark, d):
-    g = fx.game_raw(spark, d).where("DayNum < 20")
+def set_counts(g):
     w, l = g.select("Season", F.col("WTeamID").alias("t")), g.select("Season", F.col("LTeamID").alias("t"))
     count = lambda df, kind: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
     return count(w.subtract(l), "only_w").unionByName(count(w.intersect(l), "both"))
 
 
+@query("u3_difference_and_intersection", "game_raw", "SELECT 'only_w' AS kind, count(*) AS n FROM (SELECT Season, WTeamID FROM game_raw WHERE DayNum < 20 EXCEPT SELECT Season, LTeamID FROM game_raw WHERE DayNum < 20) UNION ALL SELECT 'both', count(*) FROM (SELECT Season, WTeamID FROM game_raw WHERE DayNum < 20 INTERSECT SELECT Season, LTeamID FROM game_raw WHERE DayNum < 20)")
+def _(spark, d):
+    return set_counts(fx.game_raw(spark, d).where("DayNum < 20"))
+
+
+@query("u3_difference_and_intersection_all", "game_raw", "SELECT 'only_w' AS kind, count(*) AS n FROM (SELECT Season, WTeamID FROM game_raw EXCEPT SELECT Season, LTeamID FROM game_raw) UNION ALL SELECT 'both', count(*) FROM (SELECT Season, WTeamID FROM game_raw INTERSECT SELECT Season, LTeamID FROM game_raw)")
+def _(spark, d):
+    """Over all days."""
+    return set_counts(fx.game_raw(spark, d))
+
+
 @query("u4_combinations", "seeds", "SELECT Season, men_women, count(*) AS n FROM (SELECT a.Season, a.men_women FROM seeds a JOIN seeds b ON a.Season = b.Season AND a.men_women = b.men_women AND a.TeamID < b.TeamID WHERE a.r <= 16 AND b.r <= 16) GROUP BY ALL")
 def _(spark, d):
     return match.field_pairs(field(spark, d, 16)).groupBy("Season", "men_women").agg(F.count(F.lit(1)).alias("n"))

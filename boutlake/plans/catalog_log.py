@@ -372,6 +372,13 @@ def _(spark, d):
     return spark.createDataFrame([(c,) for p in ("d_", "s_") for c in prefixed(df, p)], "feature string")
 
 
+@query("p36_features_by_prefix_all", "rollab", "SELECT _seq, a_o - b_o AS d_OE, a_t - b_t AS d_Tempo, a_t + b_t AS s_Tempo FROM rollab", "d_OE d_Tempo s_Tempo")
+def _(spark, d):
+    """The values of the columns chosen by prefix, a row per game."""
+    df = symmetric.fan_out(rolling_ab(spark, d), ["OE", "Tempo"], sums=["Tempo"])
+    return df.select("_seq", *[c for p in ("d_", "s_") for c in prefixed(df, p)])
+
+
 @query("p37_feature_parity", "rollab", "SELECT _seq, coalesce(a_o - b_o, 0) AS d_OE, 0.0 AS d_Missing FROM rollab", "d_OE")
 def _(spark, d):
     """Features the model wants and the frame lacks become zero columns; missing values become 0."""

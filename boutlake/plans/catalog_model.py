@@ -125,18 +125,28 @@ def _(spark, d):
     return check(s.withColumns({"a": a, "b": b}), F.col("a").isNull() | (F.col("a") * F.col("b") > 0) & (F.abs(F.col("pred_prob") - 0.5) > 1e-9))
 
 
-@query("m11_top_drivers", "game_raw", "SELECT 2 * count(*) AS n_rows, 0 AS n_violations FROM game_raw WHERE Season = 2001 AND DayNum < 60")
-def _(spark, d):
-    """Base and contributions of the tree paths add up to the prediction."""
+def drivers_add_up(spark, d, rows: str):
     g = reg_games(spark, d)
     x = tr.assembled(g.where("Season < 2001"), FEATURES)
     m = tr.fit_regressor(x, "Margin", SMALL)
-    late = g.where("Season = 2001 AND DayNum < 60").withColumn("row", F.col("_seq") * 2 + F.col("Outcome"))
-    told = tr.path_attribution(m, late, FEATURES, "row", top=4)
-    pred = m.transform(tr.assembled(late, FEATURES)).select("row", "pred_margin")
+    own = g.where(rows).withColumn("row", F.col("_seq") * 2 + F.col("Outcome"))
+    told = tr.path_attribution(m, own, FEATURES, "row", top=4)
+    pred = m.transform(tr.assembled(own, FEATURES)).select("row", "pred_margin")
     return check(told.join(pred, "row"), F.abs(F.col("explained") - F.col("pred_margin")) > 1e-6)
 
 
+@query("m11_top_drivers", "game_raw", "SELECT 2 * count(*) AS n_rows, 0 AS n_violations FROM game_raw WHERE Season = 2001 AND DayNum < 60")
+def _(spark, d):
+    """Base and contributions of the tree paths add up to the prediction."""
+    return drivers_add_up(spark, d, "Season = 2001 AND DayNum < 60")
+
+
+@query("m11_top_drivers_all", "game_raw", "SELECT 2 * count(*) AS n_rows, 0 AS n_violations FROM game_raw")
+def _(spark, d):
+    """Every row of the log told."""
+    return drivers_add_up(spark, d, "true")
+
+
 @query("m12_leaf_calibration", "game_raw", "SELECT 2 * count(*) AS n_rows, 0 AS n_violations FROM game_raw WHERE Season = 2001")
 def _(spark, d):
     """The older variant: leaf indices of the forest, one-hot with inverse document frequency, into a logistic model."""

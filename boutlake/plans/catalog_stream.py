@@ -17,17 +17,22 @@ from boutlake.tables import shared_folder
 SEASON = 2001
 
 
-def feed(spark, d, df, parts: int = 4, closing: bool = True):
+def feed(spark, d, df, parts: int = 4, closing: bool = True, whole: bool = False):
     """``df`` (with Season and DayNum) landed in ``parts`` files by day, and the stream that reads them one by one.
 
+    A ``whole`` log has ``parts`` files of each season, in the order of the seasons.
+
     A closing row, a year on and of no team, moves the watermark past the last day.
     """
     at = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
     dated = df.withColumn("at", F.make_date("Season", F.lit(1), F.lit(1)).cast("timestamp") + F.make_dt_interval("DayNum"))
-    for k in range(parts):
-        dated.where((F.col("DayNum") >= 366 * k // parts) & (F.col("DayNum") < 366 * (k + 1) // parts)).coalesce(1).write.mode("append").parquet(at)
+    seasons = sorted(r[0] for r in df.select("Season").distinct().collect()) if whole else [SEASON]
+    for season in seasons:
+        own = dated.where(F.col("Season") == season) if whole else dated
+        for k in range(parts):
+            own.where((F.col("DayNum") >= 366 * k // parts) & (F.col("DayNum") < 366 * (k + 1) // parts)).coalesce(1).write.mode("append").parquet(at)
     if closing:
-        spark.createDataFrame([(-1,)], "_seq long").withColumn("at", F.lit(f"{SEASON + 2}-01-01").cast("timestamp")).write.mode("append").parquet(at)
+        spark.createDataFrame([(-1,)], "_seq long").withColumn("at", F.lit(f"{max([SEASON, *seasons]) + 2}-01-01").cast("timestamp")).write.mode("append").parquet(at)
     return spark.readStream.schema(dated.schema).option("maxFilesPerTrigger", 1).parquet(at)
 
 
@@ -58,6 +63,13 @@ def _(spark, d):
     return drained(spark, results.deduplicated(feed(spark, d, twice, closing=False), "30 days")).select(*results.KEY)
 
 
+@query("r1_deduplicated_feed_all", "game_raw", "SELECT DISTINCT Season, DayNum, WTeamID, LTeamID FROM game_raw")
+def _(spark, d):
+    """The whole log's games, each twice, kept once."""
+    g = fx.game_raw(spark, d).select(*results.KEY)
+    return drained(spark, results.deduplicated(feed(spark, d, g.unionByName(g), parts=2, closing=False, whole=True), "30 days")).select(*results.KEY)
+
+
 @query("r2_rolling_rates_stream", "rolling game_raw", f"SELECT r._seq, r.side, r.TeamID, bs_Tempo_asof, bs_OE_asof, bs_DE_asof, bs_NetEff_asof FROM rolling r JOIN game_raw g USING (_seq) WHERE Season = {SEASON}", "bs_Tempo_asof bs_OE_asof bs_DE_asof bs_NetEff_asof")
 def _(spark, d):
     g = fx.game_raw(spark, d).where(f"Season = {SEASON}")
@@ -66,17 +78,34 @@ def _(spark, d):
     return out.where("_seq >= 0").select("_seq", "side", "TeamID", "bs_Tempo_asof", "bs_OE_asof", "bs_DE_asof", "bs_NetEff_asof")
 
 
-@query("r3_elo_stream", "game_raw", f"SELECT count(*) AS n_rows, 0 AS n_violations FROM game_raw WHERE Season = {SEASON}")
+@query("r2_rolling_rates_stream_all", "rolling", "SELECT _seq, side, TeamID, bs_Tempo_asof, bs_OE_asof, bs_DE_asof, bs_NetEff_asof FROM rolling", "bs_Tempo_asof bs_OE_asof bs_DE_asof bs_NetEff_asof")
 def _(spark, d):
-    """Equal to the batch fold on the same games."""
-    g = fx.game_raw(spark, d).where(f"Season = {SEASON}")
+    """All seasons, one after the other."""
     with rocksdb(spark):
-        out = drained(spark, results.elo_stream(feed(spark, d, g))).where("_seq >= 0").select("_seq", F.col("W_Elo_pre").alias("w"), F.col("L_Elo_pre").alias("l"))
+        out = drained(spark, results.rolling_rates_stream(feed(spark, d, fx.game_raw(spark, d), parts=2, whole=True)))
+    return out.where("_seq >= 0").select("_seq", "side", "TeamID", "bs_Tempo_asof", "bs_OE_asof", "bs_DE_asof", "bs_NetEff_asof")
+
+
+def against_batch_elo(spark, d, g, **landed):
+    with rocksdb(spark):
+        out = drained(spark, results.elo_stream(feed(spark, d, g, **landed))).where("_seq >= 0").select("_seq", F.col("W_Elo_pre").alias("w"), F.col("L_Elo_pre").alias("l"))
     both = history.pregame_elo(g, k=60.0, carry=0.9).join(out, "_seq", "left")
     bad = F.col("w").isNull() | (F.abs(F.col("w") - F.col("W_Elo_pre")) > 1e-6) | (F.abs(F.col("l") - F.col("L_Elo_pre")) > 1e-6)
     return both.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(bad).cast("int").alias("n_violations"))
 
 
+@query("r3_elo_stream", "game_raw", f"SELECT count(*) AS n_rows, 0 AS n_violations FROM game_raw WHERE Season = {SEASON}")
+def _(spark, d):
+    """Equal to the batch fold on the same games."""
+    return against_batch_elo(spark, d, fx.game_raw(spark, d).where(f"Season = {SEASON}"))
+
+
+@query("r3_elo_stream_all", "game_raw", "SELECT count(*) AS n_rows, 0 AS n_violations FROM game_raw")
+def _(spark, d):
+    """Over all seasons, ratings carried from one to the next."""
+    return against_batch_elo(spark, d, fx.game_raw(spark, d), parts=2, whole=True)
+
+
 @query("r4_snapshot_refresh", "cutsx", f"SELECT Season, TeamID, make_date(Season, 1, 1) + cut AS ArchiveDate, {', '.join(f'{c} AS adjself_{c}_asof' for c in EFF.split())} FROM cutsx WHERE Season = {SEASON}", " ".join(f"adjself_{c}_asof" for c in EFF.split()))
 def _(spark, d):
     """Each closed cut computed once, as the games come in."""
@@ -91,16 +120,26 @@ def _(spark, d):
     return spark.read.parquet(f"{base}/out")
 
 
-@query("r5_daily_accuracy_stream", "day_summary", f"SELECT DayNum, n, signed_miss, abs_miss FROM day_summary WHERE Season = {SEASON}", "signed_miss abs_miss")
-def _(spark, d):
-    """Update mode: every batch tells the days that changed; the last word on a day counts."""
-    p = fx.plog(spark, d).where(f"Season = {SEASON}").select("_seq", "Season", "DayNum", "pred_margin", "Margin")
+def last_word(spark, d, p, **landed):
+    """The last update of each day of each season."""
     base = f"{shared_folder(spark)}/daily-{uuid.uuid4().hex}"
 
     def keep(df, epoch):
-        df.select(F.dayofyear("window.start").alias("day"), "n", "signed_miss", "abs_miss").withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{base}/out")
+        df.select(F.year("window.start").alias("Season"), F.dayofyear("window.start").alias("day"), "n", "signed_miss", "abs_miss").withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{base}/out")
 
-    stream = results.daily_accuracy(feed(spark, d, p, closing=False))
+    stream = results.daily_accuracy(feed(spark, d, p.select("_seq", "Season", "DayNum", "pred_margin", "Margin"), closing=False, **landed))
     stream.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()
-    told = spark.read.parquet(f"{base}/out").groupBy("day").agg(F.max_by(F.struct("n", "signed_miss", "abs_miss"), "epoch").alias("x"))
-    return told.select((F.col("day") - 1).alias("DayNum"), "x.*")
+    told = spark.read.parquet(f"{base}/out").groupBy("Season", "day").agg(F.max_by(F.struct("n", "signed_miss", "abs_miss"), "epoch").alias("x"))
+    return told.select("Season", (F.col("day") - 1).alias("DayNum"), "x.*")
+
+
+@query("r5_daily_accuracy_stream", "day_summary", f"SELECT DayNum, n, signed_miss, abs_miss FROM day_summary WHERE Season = {SEASON}", "signed_miss abs_miss")
+def _(spark, d):
+    """Update mode: every batch tells the days that changed; the last word on a day counts."""
+    return last_word(spark, d, fx.plog(spark, d).where(f"Season = {SEASON}")).drop("Season")
+
+
+@query("r5_daily_accuracy_stream_all", "day_summary", "SELECT Season, DayNum, n, signed_miss, abs_miss FROM day_summary", "signed_miss abs_miss")
+def _(spark, d):
+    """All seasons' days."""
+    return last_word(spark, d, fx.plog(spark, d), parts=2, whole=True)
