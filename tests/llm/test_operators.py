@@ -345,16 +345,70 @@ def brute(ids, x, queries_, k):
     return out
 
 
-def test_neighbours_recall(spark):
-    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+def recall_of(got, ids, x, asked, k=20):
+    found: dict = {}
+    for r in got:
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    place, hits = {v: i for i, v in enumerate(ids)}, []
+    for q in asked:
+        rows = sorted(found[q])
+        assert [r[0] for r in rows] == list(range(1, k + 1)) and len({r[1] for r in rows}) == k
+        assert all(a[2] > b[2] or a[2] == b[2] and a[1] < b[1] for a, b in zip(rows, rows[1:]))
+        s = x @ x[place[q]]
+        assert np.allclose([r[2] for r in rows], s[[place[r[1]] for r in rows]], rtol=1e-12, atol=1e-12)
+        s[place[q]] = -np.inf
+        hits.append(len({r[1] for r in rows} & {ids[i] for i in np.argpartition(-s, k)[:k]}) / k)
+    return float(np.mean(hits))
+
+
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.1"])
+def test_neighbours_recall(spark, table):
+    rows = spark.read.parquet(f"/root/testdata/{table}/embeddings.parquet").collect()
     ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows], dtype=np.float64)
-    want = brute(ids, x, [i for i, v in enumerate(ids) if v % 20 == 0], 20)
-    got: dict = {}
-    for r in queries.op9_neighbours(spark, SF).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append(r.vec_id)
-        assert r["rank"] == len(got[r.query_id])
-    assert set(got) == set(want)
-    assert np.mean([len(set(got[q]) & set(w)) / 20 for q, w in want.items()]) >= 0.9
+    asked = [v for v in ids if v % 20 == 0]
+    assert recall_of(queries.op9_neighbours(spark, f"/root/testdata/{table}").collect(), ids, x, asked) >= 0.9
+
+
+def generated(kind, n):
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "clustered":  # a hundred vectors about each centre
+        x = x[: n // 100][rng.integers(0, n // 100, n)] + 0.04 * rng.standard_normal((n, 64))
+    if kind == "norms":
+        x *= np.exp(0.7 * rng.standard_normal((n, 1)))
+    return x.astype(np.float32)
+
+
+@pytest.mark.parametrize("kind,most", [("random", (0.65, 0.45)), ("clustered", (0.12, 0.05)), ("norms", (0.6, None))])
+def test_neighbours_recall_and_work(spark, tmp_path, kind, most):
+    """Recall holds, and the share of the rows that a query is compared with (repeats in several tables counted) falls with their number."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    shares = []
+    for n, top in zip((20_000, 100_000), most):
+        if top is None:
+            continue
+        x = generated(kind, n)
+        pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x), pa.list_(pa.float32()))}), f"{tmp_path}/{n}.parquet")
+        compared = spark.sparkContext.accumulator(0)
+        got = neighbours.nearest(spark.read.parquet(f"{tmp_path}/{n}.parquet"), F.col("vec_id") % 250 == 0, compared=compared).collect()
+        asked = list(range(0, n, 250))
+        assert recall_of(got, list(range(n)), x.astype(np.float64), asked[:100]) >= 0.9
+        shares.append(compared.value / len(asked) / n)
+        assert shares[-1] <= top, (kind, n, shares)
+    assert shares == sorted(shares, reverse=True)
+
+
+def test_probability_of_axes_by_trial():
+    rng = np.random.default_rng(5)
+    y = rng.standard_normal((1, 16))
+    y /= np.linalg.norm(y)
+    odds = neighbours.axis_odds(y, np.array([0.6]), 16)[0]
+    z = 0.6 * y + 0.8 / 4 * rng.standard_normal((200_000, 16))
+    seen = np.bincount(neighbours.nearest_axis(z), minlength=32) / len(z)
+    assert np.abs(odds - seen).max() < 0.02
 
 
 def test_neighbours_ties_copies_and_odd_vectors(spark):
@@ -375,7 +429,8 @@ def test_rotation_keeps_lengths():
     x = np.random.default_rng(1).standard_normal((5, 24))
     y = neighbours.rotate(x, 2)
     assert y.shape == (5, 32) and np.allclose(np.linalg.norm(y, axis=1), np.linalg.norm(x, axis=1))
-    assert (neighbours.axes_in_order(y)[:, 0] == neighbours.nearest_axis(y)).all()
+    i, sign = neighbours.nearest_axis(y) // 2, 1 - 2 * (neighbours.nearest_axis(y) % 2)
+    assert (y[np.arange(5), i] * sign == np.abs(y).max(axis=1)).all()
 
 
 # --- op10
