@@ -7,6 +7,7 @@ import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 MASK64 = (1 << 64) - 1
 
@@ -19,12 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point checkpoint() at the shared folder named in ``spark.checkpoint.dir``.
 
-    Only where neither the session nor the context names one (tests on one
-    machine) is a temporary folder used.
+    Where neither the session nor the context names one, a local master (one machine)
+    gets a temporary folder and a cluster an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="boutlake-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="boutlake-"))
 
 
 def pinned(df: DataFrame) -> DataFrame:
@@ -53,6 +57,48 @@ def bounded_sample(df: DataFrame, n: int, key: Column) -> DataFrame:
     return df.orderBy(F.xxhash64(key, F.lit(20240501)), key).limit(n)
 
 
+def sampled_rows(df: DataFrame, n: int) -> DataFrame:
+    """At most ``n`` distinct rows, the ones with the smallest hash of all their columns.
+
+    Repeated rows count as one, so neither repeated ids nor copies can exceed the
+    bound. Only hashes are ordered; the rows with the hashes found are then read.
+    """
+    h = F.xxhash64(*[F.col(quoted(c)) for c in df.columns], F.lit(20240501))
+    hashed = df.withColumn("_hash", h)
+    last = hashed.select("_hash").distinct().orderBy("_hash").limit(n).agg(F.max("_hash").alias("_last"))
+    return hashed.join(F.broadcast(last), F.col("_hash") <= F.col("_last")).dropDuplicates(["_hash"]).drop("_hash", "_last")  # one row
+
+
+def quoted(name: str) -> str:
+    """A column's name for ``F.col``, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def numbered(docs: DataFrame, keep: tuple[str, ...], text_col: str) -> tuple[DataFrame, list[StructField]]:
+    """``keep`` and the text under plain names k0, k1, ... and x for an Arrow function, and the fields of the former."""
+    fields = [StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
+    return docs.select(*[F.col(quoted(c)).alias(f.name) for c, f in zip(keep, fields)], F.col(quoted(text_col)).alias("x")), fields
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def hot_keys(counted: DataFrame, key: str, total: int) -> DataFrame:
+    """The keys with more than a task's share of ``total`` rows, by the column ``n``: at most 8 x lanes of them."""
+    return counted.where(F.col("n") > total / (8 * lanes(counted.sparkSession))).select(key)
+
+
+def join_hot(rows: DataFrame, classes: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined to the few rows that ``classes`` has for each key; rows of ``hot`` keys are joined where they are."""
+    near = rows.join(F.broadcast(classes.join(F.broadcast(hot), key, "left_semi")), key)
+    return near.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(classes, key))
+
+
 def lanes(spark: SparkSession) -> int:
     """A number of partitions that keeps every core of the cluster busy."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

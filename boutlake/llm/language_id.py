@@ -17,8 +17,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from boutlake.llm.common import bounded_sample
+from boutlake.llm.common import numbered, pinned, sampled_rows
 
 DIMS = 1 << 16
 UND = "und"
@@ -110,19 +111,22 @@ def _features(rows: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, usable: Column, max_docs: int = 6000, shards: int = 4, epochs: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, max_langs: int = 256) -> LanguageModel:
     """Fit on at most ``max_docs`` rows with text and non-null lang for which ``usable`` holds.
 
-    The documented bound: the rows with the smallest hashes of doc_id; one fifth
-    of them fits the temperature, the rest is trained in ``shards`` groups. With
+    The documented bound: the distinct rows (doc_id, lang, text) with the smallest
+    hashes; repeated rows count once, rows that only share a doc_id (or have none)
+    count each. One fifth of them fits the temperature, the rest is trained in
+    ``shards`` groups. ``max_langs`` bounds the model's size: the languages with the
+    most sampled rows are learned, ties by name; a rarer one is never predicted. With
     no usable row the model knows no language and answers ``und`` to every text.
+    Columns but doc_id, lang and text are not read, beside those in ``usable``.
     """
-    good = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    ids = bounded_sample(good.select("doc_id", "lang").distinct(), max_docs, F.col("doc_id"))
-    names = [r.lang for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    langs = tuple(sorted(names))
+    good = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
+    sample = pinned(sampled_rows(good, max_docs))
+    langs = tuple(sorted(r.lang for r in sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()))
     if not langs:
         return LanguageModel((), np.zeros(DIMS), np.zeros((DIMS, 0)), np.zeros(0), 1.0)
     code = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1
-    part = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5 * shards)).cast("int")
-    chosen = good.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").withColumn("_lang", code).where("_lang >= 0")
+    part = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(5 * shards)).cast("int")
+    chosen = sample.withColumn("_lang", code).where("_lang >= 0")
     rows = _features(chosen.withColumn("_shard", F.when(part < shards, -1).otherwise(part % shards).cast("int"))).persist()
     try:
         df = rows.where("_shard >= 0").select(F.explode("at").alias("at")).groupBy("at").count().collect()
@@ -172,15 +176,21 @@ def predict_text(text: str | None, m: LanguageModel) -> tuple[str, float]:
     return m.langs[k], float(p[k] / p.sum())
 
 
-def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with ``lang_pred`` and ``score`` of every whole text."""
+def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns with the language and its probability, under ``names``, of every whole text.
+
+    One row per row, repeated rows and null ids too; null texts and texts without a
+    letter are ``und`` with score 0. Columns outside ``keep`` are not read; ``names``
+    must not be among ``keep``.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
         for b in batches:
             found = [predict_text(t, m) for t in b.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[f.name for f in schema])
 
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text_col)).mapInArrow(run, f"{kept}, lang_pred string, score double")
+    plain, fields = numbered(docs, keep, text_col)
+    schema = StructType([*fields, StructField("lang", StringType()), StructField("score", DoubleType())])
+    return plain.mapInArrow(run, schema).toDF(*keep, *names)

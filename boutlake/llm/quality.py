@@ -17,8 +17,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from boutlake.llm.common import bounded_sample
+from boutlake.llm.common import bounded_sample, numbered, pinned
 
 CHUNK = 768
 SMOOTH = 40.0
@@ -88,21 +89,24 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_docs: int = 6000, max_chunks: int = 5000, dict_size: int = 112_640, level: int = 3) -> QualityModel:
     """Fit on at most ``max_docs`` labelled documents for which ``usable`` holds.
 
-    The documented bound: the labelled documents with the smallest hashes of
-    doc_id; two thirds give at most ``max_chunks`` chunks of 768 bytes per class
-    to the dictionaries, one third calibrates. Labels that are null, and doc_ids
-    that are null or have contradicting labels, are left out.
+    The documented bound: the distinct labelled rows (doc_id, text) with the smallest
+    hashes; repeated rows count once, rows that only share a doc_id count each. Two
+    thirds give at most ``max_chunks`` distinct chunks of 768 bytes per class to the
+    dictionaries, so that copies of one passage don't fill them; one third calibrates.
+    Labels that are null, and doc_ids that are null or have contradicting labels, are
+    left out. Columns but doc_id and text of ``docs`` are not read.
     """
-    marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_q"), F.max("quality").alias("_q2")).where("_q = _q2").select("doc_id", "_q").where(usable)
-    ids = bounded_sample(marks, max_docs, F.col("doc_id"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").withColumn("_part", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(3)))
+    marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_q"), F.max("quality").alias("_q2")).where("_q = _q2").where(usable).select("doc_id", F.col("_q").cast("int").alias("_q"))
+    hashed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text", F.lit(20240501)).alias("_hash"))
+    chosen = hashed.select("doc_id", "_hash").join(marks, "doc_id").distinct().orderBy("_hash", "doc_id").limit(max_docs)
+    rows = pinned(hashed.join(F.broadcast(chosen), ["doc_id", "_hash"]).dropDuplicates(["doc_id", "_hash"])).withColumn("_part", F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(3)))
 
     def cut(batches):
         for b in batches:
             out = [(q, c) for q, t in zip(b.column("_q").to_pylist(), b.column("text").to_pylist()) for c in chunks((t or "").encode("utf-8"))]
             yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in out], pa.int32()), pa.array([c for _, c in out], pa.binary())], names=["_q", "chunk"])
 
-    pieces = rows.where("_part < 2").select(F.col("_q").cast("int").alias("_q"), "text").mapInArrow(cut, "_q int, chunk binary")
+    pieces = rows.where("_part < 2").select("_q", "text").mapInArrow(cut, "_q int, chunk binary").distinct()
     both = [[bytes(r.chunk) for r in bounded_sample(pieces.where(F.col("_q") == q), max_chunks, F.col("chunk")).collect()] for q in (1, 0)]
     good, bad = (train_dictionary(s, dict_size, level) for s in both)
     model = QualityModel(good, bad, 1.0, 0.0, level)
@@ -111,8 +115,12 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_docs: int = 6000
     return QualityModel(good, bad, slope, bias, level)
 
 
-def apply(docs: DataFrame, model: QualityModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with ``diff`` and ``score`` (probability of good) of every whole text; null text counts as empty."""
+def apply(docs: DataFrame, model: QualityModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("diff", "score")) -> DataFrame:
+    """``keep`` columns with size difference and probability of good, under ``names``, of every whole text.
+
+    One row per row, repeated rows and null ids too; a null text counts as empty.
+    Columns outside ``keep`` are not read; ``names`` must not be among ``keep``.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -120,7 +128,8 @@ def apply(docs: DataFrame, model: QualityModel, text_col: str = "text", keep: tu
         for b in batches:
             diff = np.array([size_difference(t, m.good, m.bad, m.level) for t in b.column(len(keep)).to_pylist()], dtype=float)
             score = 1 / (1 + np.exp(-np.clip(m.slope * diff + m.bias, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(diff), pa.array(score)], names=[*keep, "diff", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(diff), pa.array(score)], names=[f.name for f in schema])
 
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text_col)).mapInArrow(run, f"{kept}, diff double, score double")
+    plain, fields = numbered(docs, keep, text_col)
+    schema = StructType([*fields, StructField("diff", DoubleType()), StructField("score", DoubleType())])
+    return plain.mapInArrow(run, schema).toDF(*keep, *names)
