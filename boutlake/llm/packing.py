@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boutlake.llm.common import pinned
+from boutlake.llm.common import lanes, pinned
 
 #: Permitted sequence lengths of production, in words, and the fixed cost of opening a sequence.
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -137,16 +137,18 @@ def word_count(text: Column) -> Column:
     return F.when(inner == "", 0).otherwise(F.size(F.split(inner, WORD_GAP))).cast("int")
 
 
-def pack(docs: DataFrame, length: Column, capacities: tuple[int, ...] = CAPACITIES, overhead: float = OVERHEAD, rank_buckets: int = 64, id_col: str = "doc_id") -> DataFrame:
+def pack(docs: DataFrame, length: Column, capacities: tuple[int, ...] = CAPACITIES, overhead: float = OVERHEAD, rank_parts: int | None = None, id_col: str = "doc_id") -> DataFrame:
     """(id, piece, start, length, bin_id, bin_offset, capacity) of every piece of every row.
 
     A row longer than the largest capacity is cut into pieces of that length and a
     rest. A row of length 0 (empty or null text) is returned with null bin. Equal
-    ids and null ids are packed like others. Ranks within a length are counted in
-    ``rank_buckets`` hashed parts whose totals give offsets, so a length that many
-    rows share is never sorted in one task; the plan sees only the histogram
-    (at most max(capacities) rows) and is broadcast: its size depends on the
-    number of distinct lengths alone.
+    ids and null ids are packed like others; other columns are not read. Ranks within
+    a length are counted in ``rank_parts`` parts (None: as the cluster has lanes) whose
+    totals give offsets. Rows are dealt to the parts by their place in the input, so
+    neither a length nor an id that many rows share is ever sorted in one task. The
+    deal is written to the checkpoint folder once, so a lost executor doesn't change
+    it. The plan sees only the histogram (at most max(capacities) rows) and is
+    broadcast: its size depends on the number of distinct lengths alone.
     """
     spark, top = docs.sparkSession, max(capacities)
     pieces = (
@@ -154,7 +156,7 @@ def pack(docs: DataFrame, length: Column, capacities: tuple[int, ...] = CAPACITI
         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / top).cast("int") - 1, F.lit(0)))))
         .select("id", "piece", (F.col("piece") * top).alias("start"), F.least(F.lit(top), F.col("n") - F.col("piece") * top).alias("length"))
     )
-    pieces = pinned(pieces.withColumn("part", F.pmod(F.xxhash64("id", "piece"), F.lit(rank_buckets)).cast("int")))
+    pieces = pinned(pieces.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(rank_parts or lanes(spark))).cast("int")))
     sizes = pieces.where("length > 0").groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r.length: r.n for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     rows, first_bin = [], 0
@@ -167,7 +169,7 @@ def pack(docs: DataFrame, length: Column, capacities: tuple[int, ...] = CAPACITI
     parts = spark.createDataFrame(rows, "length int, lo long, hi long, each int, first_bin long, first_offset int, capacity int")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
-    ranked = pieces.withColumn("r", F.row_number().over(Window.partitionBy("length", "part").orderBy("id", "piece")) - 1).join(F.broadcast(offsets), ["length", "part"], "left")  # at most max(capacities) x rank_buckets rows
+    ranked = pieces.withColumn("r", F.row_number().over(Window.partitionBy("length", "part").orderBy("id", "piece")) - 1).join(offsets, ["length", "part"], "left")  # by the window's own partitioning
     ranked = ranked.withColumn("rank", F.col("skip") + F.col("r"))
     p, q = ranked.alias("p"), F.broadcast(parts).alias("q")
     joined = p.join(q, (F.col("p.length") == F.col("q.length")) & (F.col("p.rank") >= F.col("q.lo")) & (F.col("p.rank") < F.col("q.hi")), "left")
