@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boutlake.llm.common import bounded_sample, pinned
+from boutlake.llm.common import bounded_sample, hot_keys, join_hot, pinned
 
 BLOCK = 4096
 
@@ -200,8 +200,9 @@ def nearest(
     element = element if element == "float" else "double"
     plain = F.transform(F.col(vec_col), lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x).cast(element))  # one zero only
     v = vectors.where(F.col(id_col).isNotNull() & usable(vec_col)).select(F.col(id_col).alias("id"), plain.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    members = pinned(v.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).withColumn("rep", F.first("id").over(Window.partitionBy("v").orderBy("id"))).where((F.col("n") <= k + 1) | F.col("q")))
-    classes = members.where("n = 1").select("rep", "v")
+    counted = pinned(v.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.count_if("q").alias("asked")))
+    classes, total = counted.select("rep", "v"), v.count()
+    hot_vectors, hot_reps = hot_keys(counted, "v", total), hot_keys(counted, "rep", total)
     norm = F.sqrt(F.aggregate(F.transform("v", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x))
     band = F.floor(F.log2(norm)).cast("int")
     found = classes.groupBy(F.size("v").alias("dim"), band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.min(norm).alias("lo"), F.max(norm).alias("hi")).collect()  # a row per length and factor of two
@@ -325,8 +326,7 @@ def nearest(
         met = both.repartition(*key, "b").sortWithinPartitions(*key, "b", "side").mapInArrow(score, f"q {id_type}, rep {id_type}, score double")
         return met
 
-    asked = members.where("q").select("id", "rep")
-    queries = classes.join(asked.select("rep").distinct(), "rep", "left_semi")
+    queries = counted.where("asked > 0").select("rep", "v")
     none = F.lit(float("-inf"))
     def folded(pairs: DataFrame) -> DataFrame:  # a pair may come from several tables
         return pairs.groupBy("q", "rep").agg(F.max("score").alias("score"))
@@ -339,7 +339,12 @@ def nearest(
     product = F.aggregate(F.zip_with("qv", "cv", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     exact = near.join(classes.withColumnRenamed("v", "cv"), "rep").join(classes.select(F.col("rep").alias("q"), F.col("v").alias("qv")), "q").select("q", "rep", product.alias("score"))
     best = exact.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep"))).where(F.col("r") <= k + 1)
-    ids = members.where(F.col("n") <= k + 1).select("rep", "id")
-    per_query = asked.select(F.col("id").alias("query_id"), F.col("rep").alias("q")).join(best, "q").join(ids, "rep").where("id != query_id")
+    alike = v.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1).select("id", "v")
+    ids = alike.join(classes, "v").select("rep", "id")
+    # what a class finds is what each of its queries finds, less the query itself
+    by_score = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    of_class = best.select("q", "rep", "score").join(ids, "rep").withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= k + 1).select(F.col("q").alias("rep"), "id", "score")
+    asked = join_hot(v.where("q").select(F.col("id").alias("query_id"), "v"), classes, hot_vectors, "v").select("query_id", "rep")
+    per_query = join_hot(asked, pinned(of_class), hot_reps, "rep").where("id != query_id")
     place_of = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return per_query.withColumn("rank", F.row_number().over(place_of).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boutlake.llm.common import pinned
+from boutlake.llm.common import hot_keys, join_hot, pinned
 
 BITS = 64
 BLOCK = 1024
@@ -164,10 +164,10 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3, id_col: st
     """
     fps = pinned(fingerprints(docs, id_col, text_col, words).withColumnRenamed(id_col, "id"))
     # ids of nodes are the fingerprints themselves: every distinct one is one node
-    nodes = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    nodes = pinned(nodes)
+    nodes = pinned(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
     reached = components(links(nodes.select(F.col("fp").alias("id"), "fp"), radius))
     known = reached.withColumnRenamed("id", "fp").join(nodes, "fp")
     least = known.groupBy("rep").agg(F.min("least").alias("component_id"))
     named = nodes.join(known.select("fp", "rep").join(least, "rep").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows = join_hot(fps, pinned(named), hot_keys(nodes, "fp", fps.count()), "fp")
+    return rows.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
