@@ -1,9 +1,12 @@
 """Token counts in Arrow functions: lengths only, batches balanced by bytes, long texts split at safe boundaries.
 
-A safe boundary is a single space between two characters that are no white
-space: the byte-level pattern always starts a piece there, and no special token
-of the vocabulary holds a space. So a text's count is the sum over its segments,
-and each distinct segment of a batch is encoded once.
+A safe boundary is where white space follows a character that is none: the
+byte-level pattern always starts a piece there, and no special token of the
+vocabulary holds white space. Segments that are still long are also cut between an
+ASCII letter and an ASCII digit, which no piece and no special token holds side by
+side. A longer run of one kind is a single piece of the pattern, which can't be cut.
+So a text's count is the sum over its segments, and each distinct segment of a batch
+is encoded once.
 """
 
 from __future__ import annotations
@@ -19,7 +22,11 @@ from pyspark.sql import functions as F
 
 from boutlake.llm.common import Recent
 
-BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
+# Unicode's White_Space, which the pattern's \s means.
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SEGMENT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
+WITHIN = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
+LONG = 4096
 
 
 @lru_cache(maxsize=2)
@@ -43,7 +50,7 @@ class SegmentCounter:
         out, batch, size = [], [], 0
         for s in segments:
             batch.append(s)
-            size += len(s)
+            size += len(s.encode("utf-8"))
             if size >= self.batch_bytes:
                 out += [len(e) for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
                 batch, size = [], 0
@@ -69,15 +76,19 @@ class SegmentCounter:
 
     @staticmethod
     def segments(text: str) -> list[str]:
-        """The text cut at its safe boundaries; every segment but the first starts with the space."""
-        if not text:
-            return []
-        first, *rest = BOUNDARY.split(text)
-        return [first, *[" " + s for s in rest]]
+        """The text cut at its safe boundaries: white space and what follows up to the next."""
+        found = SEGMENT.findall(text)
+        if max(map(len, found), default=0) > LONG:
+            return [s for long in found for s in (WITHIN.split(long) if len(long) > LONG else [long])]
+        return found
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, batch_bytes: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, n_tokens and over_limit of every whole text; null counts as empty. ``vocabulary`` is the content of a tokenizers file."""
+    """id, n_bytes, n_tokens and over_limit of every whole text. ``vocabulary`` is the content of a tokenizers file.
+
+    One row per row, repeated rows and null ids too; a null text counts as empty, with
+    no token. Only the two named columns are read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, batch_bytes))
 
     def run(batches):
