@@ -252,6 +252,23 @@ class StreamingDecoder:
         self.held = raw[cut:]
         return raw[:cut].decode("utf-8")
 
+    def feed_all(self, tokens: np.ndarray, closed: np.ndarray, strings: list[str]) -> str:
+        """What ``feed`` gives for each token in turn. ``closed`` marks the tokens that take the machine from its start to
+        its start and ``strings`` has what these emit, so a run of them in the start state is one step."""
+        numbers, out, at, n = tokens.tolist(), [], 0, len(tokens)
+        breaks = np.flatnonzero(~closed[tokens]).tolist()
+        for i in [*breaks, n]:
+            while at < i and self.state != START:
+                out.append(self.feed(numbers[at]))
+                at += 1
+            if at < i:
+                out += [strings[t] for t in numbers[at:i]]
+                at = i
+            if at < n and at == i:
+                out.append(self.feed(numbers[at]))
+                at += 1
+        return "".join(out)
+
     def close(self) -> str:
         raw, bad = self.held, self.state != START
         self.state, self.held = START, b""
@@ -268,6 +285,7 @@ class Codec:
         self.tokens = [self.fst.text.get(i, b"") for i in range(top)]
         self.decoder = StreamingDecoder(self.fst.text)
         self.closed = np.array([self._closed(t) for t in self.tokens])
+        self.strings = [t.decode("utf-8") if c else "" for t, c in zip(self.tokens, self.closed.tolist())]
 
     @staticmethod
     def _closed(token: bytes) -> bool:
@@ -289,23 +307,11 @@ class Codec:
         return b"".join([get(p) or new(p) for p in self.find(text)])
 
     def decode(self, ids: bytes) -> tuple[bytes, bool]:
-        """The bytes of the ids, and whether they are UTF-8; the machine runs where a token cuts a code point."""
-        a = np.frombuffer(ids, "<u4")
-        numbers = a.tolist()
-        state, at = START, 0
-        for i in np.flatnonzero(~self.closed[a]).tolist():
-            if state != START:
-                while at < i and state is not None:
-                    state = self.decoder.move(state, numbers[at])[0]
-                    at += 1
-            if state is None:
-                break
-            state, at = self.decoder.move(state, numbers[i])[0], i + 1
-        while state not in (START, None) and at < len(numbers):
-            state = self.decoder.move(state, numbers[at])[0]
-            at += 1
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in numbers]), state == START
+        """The bytes that the streaming decoder emits for the ids, and whether they are UTF-8. What it still holds at the end, or after a fault, follows as it is."""
+        d = self.decoder
+        d.state, d.held = START, b""
+        text = d.feed_all(np.frombuffer(ids, "<u4"), self.closed, self.strings)
+        return text.encode("utf-8") + d.held, d.state == START
 
 
 @lru_cache(maxsize=2)
@@ -316,8 +322,9 @@ def _codec(raw: bytes, pattern: str) -> Codec:
 def encode_column(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Every whole text encoded and decoded again: id, n_tokens, ids_sha256, decoded_sha256, valid_utf8 and, if asked for, the ids.
 
-    Null texts count as empty (no token). The vocabulary (bounded by its file) is
-    sent to the executors; nothing is shuffled.
+    One row per row, repeated rows and null ids too; a null text counts as empty (no
+    token). Only the two named columns are read. The vocabulary (bounded by its file)
+    is sent to the executors; nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, pattern))
 
