@@ -36,6 +36,14 @@ BITRATES = {
 RATES = {"1": (44100, 48000, 32000), "2": (22050, 24000, 16000), "2.5": (11025, 12000, 8000)}
 VERSIONS = {0: "2.5", 2: "2", 3: "1"}
 LAYERS = {1: 3, 2: 2, 3: 1}
+# Bits of a Layer II bit allocation, as (subbands, bits) from the lowest subband on, for each allocation table.
+ALLOCATION = {
+    "a": ((11, 4), (12, 3), (4, 2)),
+    "b": ((11, 4), (12, 3), (7, 2)),
+    "c": ((2, 4), (6, 3)),
+    "d": ((2, 4), (10, 3)),
+    "lsf": ((4, 4), (7, 3), (19, 2)),
+}
 # End of fixed values.
 
 
@@ -59,7 +67,7 @@ def frame_header(word: int) -> dict | None:
     side = 0 if layer != 3 else (17 if mono else 32) if version == "1" else (9 if mono else 17)
     return {
         "version": version, "layer": layer, "rate": rate, "bitrate": bitrate, "length": length, "samples": samples,
-        "side": side, "mono": mono, "crc": not word >> 16 & 1, "family": (version, layer, rate),
+        "bound": 4 * (word >> 4 & 3) + 4 if word >> 6 & 3 == 1 else 32, "side": side, "mono": mono, "crc": not word >> 16 & 1, "family": (version, layer, rate),
     }
 
 
@@ -74,6 +82,50 @@ def frame_checksum(covered: bytes) -> int:
     return crc
 
 
+def allocation_bits(h: dict) -> list[int]:
+    """The bits of the allocation of each subband of a Layer I or II frame."""
+    if h["layer"] == 1:
+        return [4] * 32
+    if h["version"] != "1":
+        table = "lsf"
+    else:
+        each = h["bitrate"] // (1000 if h["mono"] else 2000)
+        if each <= 48:
+            table = "d" if h["rate"] == 32000 else "c"
+        else:
+            table = "a" if h["rate"] == 48000 or each <= 80 else "b"
+    return [bits for n, bits in ALLOCATION[table] for _ in range(n)]
+
+
+def covered_bits(frame: bytes, h: dict) -> int:
+    """How many bits behind header and check a frame's check covers: side information, or bit allocation and (Layer II) scale factor selection."""
+    if h["layer"] == 3:
+        return 8 * h["side"]
+    value, at, selected = int.from_bytes(frame[6:], "big"), 8 * (len(frame) - 6), 0
+    channels = 1 if h["mono"] else 2
+    start = at
+    for subband, bits in enumerate(allocation_bits(h)):
+        shared = subband >= h["bound"]
+        for _ in range(1 if shared else channels):
+            at -= bits
+            if at < 0:
+                return 8 * (len(frame) - 6)
+            if value >> at & (1 << bits) - 1:
+                selected += channels if shared else 1
+    return min(start, start - at + (2 * selected if h["layer"] == 2 else 0))
+
+
+def checksum_ok(frame: bytes, h: dict) -> bool:
+    """Whether the stored check of a protected frame is that of its header and the bits it covers."""
+    n = covered_bits(frame, h)
+    whole, rest = divmod(n, 8)
+    crc = frame_checksum(frame[2:4] + frame[6 : 6 + whole])
+    for k in range(rest):
+        bit = frame[6 + whole] >> 7 - k & 1
+        crc = (crc << 1 ^ (0x8005 if (crc >> 15 & 1) != bit else 0)) & 0xFFFF
+    return crc == int.from_bytes(frame[4:6], "big")
+
+
 BLOCK = 256
 
 
@@ -241,7 +293,7 @@ def parse_stream(data: bytes) -> dict:
 
     Keys: tags, table, frames, offsets (byte offset of each audio frame), sizes,
     samples (exact, less encoder delay and padding), rate, duration_us, bitrates
-    (count by bit/s), crc_ok, crc_bad, crc_unchecked, music_ok (None: no check in
+    (count by bit/s), crc_ok, crc_bad, music_ok (None: no check in
     the stream), skipped (bytes passed over to find a header), version, layer.
     Bytes that hold no frame give zero frames, no rate and duration 0.
     """
@@ -260,7 +312,7 @@ def parse_stream(data: bytes) -> dict:
     sizes: list[int] = []
     bitrates: dict[int, int] = {}
     first = table = None
-    samples = skipped = ok = bad = unchecked = 0
+    samples = skipped = ok = bad = 0
     music_from = at
     while at + 4 <= end:
         word = int.from_bytes(data[at : at + 4], "big")
@@ -287,14 +339,10 @@ def parse_stream(data: bytes) -> dict:
                 continue
             music_from = at
         if h["crc"]:
-            if h["layer"] == 3:
-                stored = int.from_bytes(data[at + 4 : at + 6], "big")
-                if frame_checksum(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h["side"]]) == stored:
-                    ok += 1
-                else:
-                    bad += 1
+            if checksum_ok(data[at : at + size], h):
+                ok += 1
             else:
-                unchecked += 1
+                bad += 1
         offsets.append(at)
         sizes.append(size)
         samples += h["samples"]
@@ -308,7 +356,7 @@ def parse_stream(data: bytes) -> dict:
     rate = first["rate"] if first else None
     return {
         "tags": tags, "table": table, "frames": len(offsets), "offsets": offsets, "sizes": sizes, "samples": samples, "rate": rate,
-        "duration_us": samples * 1_000_000 // rate if rate else 0, "bitrates": bitrates, "crc_ok": ok, "crc_bad": bad, "crc_unchecked": unchecked,
+        "duration_us": samples * 1_000_000 // rate if rate else 0, "bitrates": bitrates, "crc_ok": ok, "crc_bad": bad,
         "music_ok": music_ok, "skipped": skipped, "version": first["version"] if first else None, "layer": first["layer"] if first else None,
     }
 
@@ -332,7 +380,7 @@ def describe(parsed: dict) -> str:
     )
 
 
-STREAM_FIELDS = "frames int, samples long, sample_rate int, duration_us long, crc_ok int, crc_bad int, crc_unchecked int, music_ok boolean, skipped_bytes long, vbr_table string, tags map<string,string>, frame_offsets array<long>"
+STREAM_FIELDS = "frames int, samples long, sample_rate int, duration_us long, crc_ok int, crc_bad int, music_ok boolean, skipped_bytes long, vbr_table string, tags map<string,string>, frame_offsets array<long>"
 
 
 def media_columns(df: DataFrame, column: str = "media") -> DataFrame:
@@ -353,7 +401,7 @@ def media_columns(df: DataFrame, column: str = "media") -> DataFrame:
                 rows.append(None)
                 continue
             p = parse_stream(bytes(data))
-            rows.append((p["frames"], p["samples"], p["rate"], p["duration_us"], p["crc_ok"], p["crc_bad"], p["crc_unchecked"], p["music_ok"], p["skipped"], p["table"]["kind"] if p["table"] else None, p["tags"], p["offsets"]))
+            rows.append((p["frames"], p["samples"], p["rate"], p["duration_us"], p["crc_ok"], p["crc_bad"], p["music_ok"], p["skipped"], p["table"]["kind"] if p["table"] else None, p["tags"], p["offsets"]))
         names = [x.split()[0] for x in STREAM_FIELDS.split(", ")]
         return pd.DataFrame([dict.fromkeys(names) if r is None else dict(zip(names, r)) for r in rows], columns=names)
 
@@ -365,11 +413,11 @@ def text_payload(text: str | None) -> tuple[bytes, int]:
     return raw + b" " * (UNIT - len(raw) % UNIT if len(raw) % UNIT or not raw else 0), len(raw)
 
 
-MEDIA_SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+MEDIA_SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_us long, frame_offsets array<long>"
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text stored as an MPEG audio stream, read back and described.
+    """Each text stored as an MPEG audio stream, read back and described, with its exact duration and the byte offset of every frame to seek to.
 
     One output row per input row (repeated and null ids too); a null text counts
     as empty and still fills one 192-byte unit. Only the two named columns are
@@ -379,15 +427,15 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches):
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(9)]
             for text in batch.column(1):
                 payload, n = text_payload(text.as_py())
                 stream = wrap_payload(payload, n)
                 parsed = parse_stream(stream)
                 back = read_payload(stream, parsed)
-                row = (int(parsed["tags"]["TXXX:payload_bytes"]), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stream), hashlib.sha256(stream).hexdigest(), describe(parsed))
+                row = (int(parsed["tags"]["TXXX:payload_bytes"]), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stream), hashlib.sha256(stream).hexdigest(), describe(parsed), parsed["duration_us"], np.asarray(parsed["offsets"], np.int64))
                 for c, x in zip(cols, row):
                     c.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols)], names=[id_col, *(x.split()[0] for x in MEDIA_SCHEMA.split(", "))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols[:-1]), pa.array(cols[-1], pa.list_(pa.int64()))], names=[id_col, *(x.split()[0] for x in MEDIA_SCHEMA.split(", "))])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type.simpleString()}, {MEDIA_SCHEMA}")
