@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from boutlake.llm import license_scan
@@ -46,3 +48,45 @@ def test_damaged_copies_side_by_side_stay_apart():
 def test_many_notices_in_one_text():
     text = f"{license_scan.TEMPLATES['MIT-notice']} " * 3000
     assert len([f for f in license_scan.scan_text(text, INDEX, 0.6, 16) if f[0] == "MIT-notice"]) == 3000
+
+
+def full_alignment(a: list[str], b: list[str]) -> int:
+    """Matched words of a best Smith-Waterman alignment (2, -1, -1) of all of a with all of b."""
+    rows = [[(0, 0)] * (len(b) + 1)]
+    best = (0, 0)
+    for x in a:
+        row = [(0, 0)]
+        for j, y in enumerate(b):
+            d = rows[-1][j]
+            step = (d[0] + 2, d[1] + 1) if x == y else (d[0] - 1, d[1])
+            up, left = rows[-1][j + 1], row[-1]
+            row.append(max(step, (up[0] - 1, up[1]), (left[0] - 1, left[1]), (0, 0)))
+        best = max(best, max(row))
+        rows.append(row)
+    return best[1]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_random_edits_by_full_alignment(seed):
+    """Words struck, changed and put in at random: as many words are matched as by the full alignment, less what a joint may lose."""
+    rng = random.Random(seed)
+    name = rng.choice(["MIT", "ISC", "Zlib", "BSD-3-Clause", "Unlicense"])
+    words = license_scan.TEMPLATES[name].split()
+    out = []
+    for w in words:
+        x = rng.random()
+        out += [] if x < 0.04 else [f"zq{rng.randrange(99)}"] if x < 0.08 else [w, *(f"zp{k}" for k in range(rng.randrange(1, 4)))] if x < 0.11 else [w]
+    text = f"{foreign(30)} {' '.join(out)} {foreign(30)}"
+    found = [f for f in license_scan.scan_text(text, INDEX, 0.6, 16) if f[0] == name]
+    want = full_alignment(license_scan.words_of(license_scan.TEMPLATES[name]), license_scan.words_of(text))
+    assert len(found) == 1 and 0.97 * want <= found[0][2] <= len(license_scan.words_of(license_scan.TEMPLATES[name]))
+
+
+@pytest.mark.parametrize("n", [20, 33, 60, 100, 150])
+@pytest.mark.parametrize("breaks", [1, 2, 3])
+def test_insertions_of_any_length(n, breaks):
+    """A template's words are all found whatever is put in at one or more places, up to its own length each."""
+    size = len(MIT.split())
+    at = [size * (k + 1) // (breaks + 1) for k in range(breaks)]
+    found = mit(f"{foreign(40)} {with_breaks(at, n)} {foreign(40)}")
+    assert [f[1] for f in found] == [1.0]

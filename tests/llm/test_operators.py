@@ -107,6 +107,44 @@ def test_media_other_layouts():
     assert p["table"]["kind"] == "VBRI" and p["table"]["frames"] == 2 and p["frames"] == 2
 
 
+def bitwise_checksum(bits):
+    crc = 0xFFFF
+    for b in bits:
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if crc >> 15 != b else 0)
+    return crc
+
+
+@pytest.mark.parametrize("layer,mode,extension,widths", [(1, 0, 0, [4] * 32), (1, 3, 0, [4] * 32), (2, 0, 0, [4] * 11 + [3] * 12 + [2] * 7), (2, 1, 1, [4] * 11 + [3] * 12 + [2] * 7), (2, 3, 0, [4] * 11 + [3] * 12 + [2] * 7)])
+def test_media_checks_of_layers_one_and_two(layer, mode, extension, widths):
+    """Frames written bit by bit: 44.1 kHz, 192 (mono 96 or more) kbit/s, protected, with random allocations."""
+    rng = random.Random(layer * 10 + mode)
+    index = {1: 6, 2: 10}[layer] if mode != 3 else {1: 6, 2: 7}[layer]
+    head = bytes((0xFF, {1: 0xFE, 2: 0xFC}[layer], index << 4, mode << 6 | extension << 4))
+    h = mpeg_audio.frame_header(int.from_bytes(head, "big"))
+    bound, channels = 4 * extension + 4 if mode == 1 else 32, 1 if mode == 3 else 2
+    stream, broken = b"", b""
+    for _ in range(4):
+        bits, chosen = [], 0
+        for sb, w in enumerate(widths):
+            for _ in range(1 if sb >= bound else channels):
+                a = rng.choice((0, rng.randrange(1 << w)))
+                bits += [a >> w - 1 - k & 1 for k in range(w)]
+                chosen += (channels if sb >= bound else 1) if a else 0
+        bits += [rng.randrange(2) for _ in range(2 * chosen if layer == 2 else 0)]
+        header = [head[i] >> 7 - k & 1 for i in (2, 3) for k in range(8)]
+        crc = bitwise_checksum(header + bits)
+        covered = len(bits)
+        bits += [rng.randrange(2) for _ in range(-len(bits) % 8)]
+        body = bytes(int("".join(map(str, bits[i : i + 8])), 2) for i in range(0, len(bits), 8))
+        frame = (head + crc.to_bytes(2, "big") + body).ljust(h["length"], b"\x11")
+        stream += frame
+        at = rng.randrange(covered)
+        broken += frame[: 6 + at // 8] + bytes([frame[6 + at // 8] ^ 0x80 >> at % 8]) + frame[7 + at // 8 :]
+    p, q = mpeg_audio.parse_stream(stream), mpeg_audio.parse_stream(broken)
+    assert (p["frames"], p["crc_ok"], p["crc_bad"]) == (4, 4, 0) and p["layer"] == layer
+    assert (q["frames"], q["crc_bad"]) == (4, 4)
+
+
 def test_media_column(spark):
     stream = mpeg_audio.wrap_payload(b"y" * 1536, 1500)
     df = spark.createDataFrame([(1, stream, "k"), (2, None, "k"), (3, b"", "k")], "id int, media binary, tags string")
@@ -232,7 +270,7 @@ def test_packing(spark):
     lengths = [rng.choice((0, 1, 3, 7, 7, 7, 50, 51, 120, 127, 128, 300)) for _ in range(600)]
     df = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n int")
     caps = (32, 64, 128)
-    rows = [tuple(r) for r in packing.pack(df, F.col("n"), caps, rank_buckets=5).collect()]
+    rows = [tuple(r) for r in packing.pack(df, F.col("n"), caps, rank_parts=5).collect()]
     assert len({(r[0], r[1]) for r in rows}) == len(rows)
     bins = check_packing(rows, lengths, caps)
     # no worse than best fit with the largest capacity only, which is one of the choices
@@ -285,7 +323,8 @@ def test_token_counts_by_library(spark):
 
     voc = queries._file("byte_bpe_50k.json").decode()
     rnd = random.Random(3)
-    texts = ODD + ["".join(rnd.choice("ab 's\n\t\r  1.!é<|endoftext|>") for _ in range(80)) for _ in range(300)]
+    texts = ODD + ["".join(rnd.choice("ab 's\n\t\r  1.!é<|endoftext|>\x1c\x85\xa0\u2003\u3000²") for _ in range(80)) for _ in range(300)]
+    texts += ["".join(rnd.choice("ab1!é²") for _ in range(20_000)) for _ in range(3)]
     t = Tokenizer.from_str(voc)
     want = [len(t.encode(x or "", add_special_tokens=False)) for x in texts]
     assert token_counts.SegmentCounter(voc).count([x or "" for x in texts]) == want
@@ -310,6 +349,15 @@ def test_bpe_by_library(spark):
         ids = codec.encode(t)
         assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(t), t[:80]
         assert codec.decode(ids) == (t.encode(), True)
+    for _ in range(300):  # ids that cut code points, or aren't UTF-8
+        some = np.array([rnd.choice((rnd.randrange(len(ranks)), rnd.randrange(256))) for _ in range(rnd.randrange(12))], "<u4")
+        raw_bytes = b"".join(codec.tokens[i] for i in some)
+        try:
+            raw_bytes.decode("utf-8")
+            valid = True
+        except UnicodeDecodeError:
+            valid = False
+        assert codec.decode(some.tobytes()) == (raw_bytes, valid)
     d = bpe_fst.StreamingDecoder(codec.fst.text)
     for t in texts[:60]:
         assert "".join(d.feed(i) for i in enc.encode_ordinary(t or "")) + d.close() == (t or "")
@@ -505,9 +553,90 @@ def test_chains_and_hot_groups(spark, block):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values()))
 
 
+# --- bounds, hot keys and names
+
+
+def test_samples_are_bounded_by_rows(spark):
+    """60,000 rows over 20 ids, or over none, give at most the documented bound; copies count once."""
+    from boutlake.llm.common import sampled_rows
+
+    many = spark.range(60_000).selectExpr("IF(id % 3 = 0, NULL, id % 20) AS doc_id", "concat('some text ', id) AS text", "'en' AS lang")
+    assert sampled_rows(many, 6000).count() == 6000
+    assert sampled_rows(many.union(many).select("doc_id", "lang"), 6000).count() == 21
+    seen = []
+    real = language_id.sampled_rows
+    language_id.sampled_rows = lambda df, n: seen.append(real(df, n)) or seen[-1]
+    try:
+        language_id.fit(many, F.lit(True), epochs=1)
+    finally:
+        language_id.sampled_rows = real
+    assert seen[0].count() == 6000
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    scored = []
+    apply = quality.apply
+    quality.apply = lambda df, *a, **k: scored.append(df.count()) or apply(df, *a, **k)
+    try:
+        quality.fit(many, labels, F.lit(True), max_docs=600)
+    finally:
+        quality.apply = apply
+    assert 100 < scored[0] < 300
+
+
+def test_one_id_or_none_in_all_rows(spark):
+    """Packing and near duplicates where all rows share one id, or have none."""
+    for doc_id in ("7", "CAST(NULL AS long)"):
+        df = spark.range(2000, numPartitions=6).selectExpr(f"{doc_id} AS doc_id", "concat('a b c d', IF(id % 2 = 0, '', ' e')) AS text", "CAST(id % 5 + 1 AS int) AS n")
+        packed = packing.pack(df, F.col("n"), (8, 16), rank_parts=4)
+        assert packed.count() == 2000 and packed.select("bin_id", "bin_offset").distinct().count() == 2000
+        assert packed.groupBy("bin_id", "capacity").agg(F.sum("length").alias("s")).where("s > capacity").isEmpty()
+        groups = simhash.near_duplicates(df)
+        assert groups.count() == 2000 and [r[0] for r in groups.select("component_id").distinct().collect()] == [7 if doc_id == "7" else None]
+
+
+def test_neighbours_in_small_blocks(spark):
+    """Buckets cut into blocks lose nothing."""
+    rng = np.random.default_rng(4)
+    x = (np.eye(8)[rng.integers(0, 2, 400)] + 0.05 * rng.standard_normal((400, 8))).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    want = brute(list(range(400)), x.astype(float), list(range(0, 400, 20)), 20)
+    got: dict = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, recall=0.999, bucket=200, block=16).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert np.mean([len(set(got[q]) & set(w)) / 20 for q, w in want.items()]) >= 0.95
+
+
+CLASHING = ["score", "diff", "lang_pred", "_q", "_part", "_hash", "a.b", "n", "fp", "rep", "component_id"]
+
+
+def test_operators_ignore_other_columns(spark):
+    """Columns with the operators' own names, and odd ones, change no value."""
+    docs = frame(spark, ODD, extra=False).select("doc_id", "text", "lang", "source", "n_chars")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    wide = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHING)])
+    for (name, a), (_, b) in zip(apply_all(docs, labels), apply_all(wide, labels)):
+        if name == "op4":  # the deal of equal rows to bins is free
+            a, b = (x.groupBy("length", "capacity").count() for x in (a, b))
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())), name
+
+
 # --- the pipeline
 
 
+@pytest.mark.parametrize("case", [str.lower, str.upper])
+def test_pipeline_with_clashing_names(spark, tmp_path, case):
+    """Each filter keeps the same documents whatever else documents holds."""
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    wide = docs.select("*", *[F.lit(i).alias(case(c)) for i, c in enumerate(CLASHING)])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, wide, d)
+        assert kept.columns == wide.columns
+        assert sorted(r[0] for r in kept.select("doc_id").collect()) == sorted(r[0] for r in stage(spark, docs, d).select("doc_id").collect())
+    assert corpus_pipeline.packing_stage(spark, wide, d).count() == corpus_pipeline.packing_stage(spark, docs, d).count()
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
