@@ -129,11 +129,10 @@ def fit(docs: DataFrame, usable: Column, max_docs: int = 6000, shards: int = 4,
     chosen = sample.withColumn("_lang", code).where("_lang >= 0")
     rows = _features(chosen.withColumn("_shard", F.when(part < shards, -1).otherwise(part % shards).cast("int"))).persist()
     try:
-        df = rows.where("_shard >= 0").select(F.explode("at").alias("at")).groupBy("at").count().collect()
+        df = rows.where("_shard >= 0").select(F.explode("at").alias("at")).groupBy("at").count().toArrow()  # at most DIMS rows
         total = rows.where("_shard >= 0").count()
         idf = np.full(DIMS, np.log(1.0 + total) + 1)
-        for r in df:
-            idf[r["at"]] = np.log((1.0 + total) / (1 + r["count"])) + 1
+        idf[df["at"].to_numpy()] = np.log((1.0 + total) / (1 + df["count"].to_numpy())) + 1
         shared = docs.sparkSession.sparkContext.broadcast(idf)
 
         def shard(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -149,17 +148,23 @@ def fit(docs: DataFrame, usable: Column, max_docs: int = 6000, shards: int = 4,
             return pd.DataFrame({"i": np.r_[i, np.full(len(langs), -1)].astype("int32"), "j": np.r_[j, np.arange(len(langs))].astype("int32"), "w": np.r_[w[i, j], bias], "s": 1})
 
         parts = rows.where("_shard >= 0").groupBy("_shard").applyInPandas(shard, "i int, j int, w double, s int")
-        mean = parts.groupBy("i", "j").agg(F.sum("w").alias("w")).collect()
+        mean = parts.groupBy("i", "j").agg(F.sum("w").alias("w")).toArrow()  # at most DIMS x langs rows
         used = max(1, rows.where("_shard >= 0").select("_shard").distinct().count())
         weights, bias = np.zeros((DIMS, len(langs))), np.zeros(len(langs))
-        for r in mean:
-            if r.i < 0:
-                bias[r.j] = r.w / used
-            else:
-                weights[r.i, r.j] = r.w / used
-        held = rows.where("_shard = -1").select("_lang", "at", "n").collect()
-        logits = np.array([tfidf(np.asarray(r["at"]), np.asarray(r["n"]), idf) @ weights[r["at"]] + bias for r in held]).reshape(len(held), len(langs))
-        t = fit_temperature(logits, np.array([r["_lang"] for r in held], dtype=int))
+        i, j, w = (mean[c].to_numpy() for c in ("i", "j", "w"))
+        bias[j[i < 0]] = w[i < 0] / used
+        weights[i[i >= 0], j[i >= 0]] = w[i >= 0] / used
+        linear = docs.sparkSession.sparkContext.broadcast((weights, bias))
+
+        def logits_of(batches):
+            weights, bias = linear.value
+            for b in batches:
+                s = [tfidf(np.asarray(at), np.asarray(n), shared.value) @ weights[at] + bias for at, n in zip(b.column("at").to_pylist(), b.column("n").to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column("_lang"), pa.array(s, pa.list_(pa.float64()))], names=["_lang", "s"])
+
+        held = rows.where("_shard = -1").select("_lang", "at", "n").mapInArrow(logits_of, "_lang int, s array<double>").toArrow()  # about a fifth of max_docs rows
+        logits = np.array(held["s"].to_pylist(), dtype=float).reshape(len(held), len(langs))
+        t = fit_temperature(logits, held["_lang"].to_numpy().astype(int))
     finally:
         rows.unpersist()
     return LanguageModel(langs, idf, weights, bias, t)
