@@ -14,8 +14,12 @@ KEYS = ["men_women", "Season"]
 
 
 def season_averages(log: DataFrame, box: tuple[str, ...]) -> DataFrame:
-    """Means of own and allowed box statistics per team-season: one aggregation, so one shuffle of partial sums."""
-    aggs = [F.avg(f"T1_{c}").alias(f"avg_{c}") for c in box] + [F.avg("PointDiff").alias("avg_PointDiff")] + [F.avg(f"T2_{c}").alias(f"avg_opp_{c}") for c in box]
+    """Means of own and allowed box statistics per team-season: one aggregation, so one shuffle of partial sums.
+
+    Sums are of decimals (nine places) and so exact: a mean doesn't depend on the order of the rows.
+    """
+    mean = lambda c: F.sum(F.col(c).cast("decimal(18,9)")).cast("double") / F.count(c)
+    aggs = [mean(f"T1_{c}").alias(f"avg_{c}") for c in box] + [mean("PointDiff").alias("avg_PointDiff")] + [mean(f"T2_{c}").alias(f"avg_opp_{c}") for c in box]
     return log.groupBy(*KEYS, F.col("T1_TeamID").alias("TeamID")).agg(*aggs)
 
 

@@ -37,8 +37,9 @@ CUTS = [35, 70, 105, 133]
 fx.SQL |= _efficiency_sql("eff", "reg", "men_women, Season", 3)
 fx.SQL["reg_cuts"] = f"SELECT reg.*, cut::INT AS cut FROM reg, (SELECT unnest({CUTS}) AS cut) WHERE DayNum < cut"
 fx.SQL |= _efficiency_sql("cuts", "reg_cuts", "men_women, Season, cut", 3)
-_avg = ", ".join(f"avg(T1_{c}) AS avg_{c}, avg(T2_{c}) AS avg_opp_{c}" for c in BOX)
-fx.SQL["avgs"] = f"SELECT men_women, Season, T1_TeamID AS TeamID, avg(PointDiff) AS avg_PointDiff, {_avg} FROM reg GROUP BY ALL"
+_mean = "sum({0}::DECIMAL(18, 9))::DOUBLE / count({0})".format
+_avg = ", ".join(f"{_mean(f'T1_{c}')} AS avg_{c}, {_mean(f'T2_{c}')} AS avg_opp_{c}" for c in BOX)
+fx.SQL["avgs"] = f"SELECT men_women, Season, T1_TeamID AS TeamID, {_mean('PointDiff')} AS avg_PointDiff, {_avg} FROM reg GROUP BY ALL"
 AVGS = " ".join(f"avg_{c} avg_opp_{c}" for c in BOX) + " avg_PointDiff"
 
 
@@ -172,7 +173,8 @@ def _(spark, d):
 
 fx.SQL["games_before"] = "SELECT _seq, side, TeamID, (row_number() OVER (PARTITION BY Season, TeamID ORDER BY DayNum, side, _seq) - 1)::INT AS games_asof FROM rollrows"
 fx.SQL["prior_ab"] = "SELECT r._seq, r.side, p.AdjOE, p.AdjDE, p.AdjEM, p.AdjTempo FROM rollrows r JOIN effx p ON p.Season + 1 = r.Season AND p.TeamID = r.TeamID"
-fx.SQL["rollab"] = "SELECT a._seq, a.men_women, a.Season, x.bs_OE_asof AS a_o, x.bs_DE_asof AS a_d, x.bs_Tempo_asof AS a_t, y.bs_OE_asof AS b_o, y.bs_DE_asof AS b_d, y.bs_Tempo_asof AS b_t FROM game_raw a JOIN rolling x ON x._seq = a._seq AND x.side = 0 JOIN rolling y ON y._seq = a._seq AND y.side = 1"
+_ab = ", ".join(f"max(bs_{m}_asof) FILTER (side = {s}) AS {p}_{m[0].lower()}" for s, p in ((0, "a"), (1, "b")) for m in ("OE", "DE", "Tempo"))
+fx.SQL["rollab"] = f"SELECT * FROM (SELECT _seq, {_ab} FROM rolling GROUP BY _seq) JOIN (SELECT _seq, men_women, Season FROM game_raw) USING (_seq)"
 
 
 def rolling_ab(spark, d):
