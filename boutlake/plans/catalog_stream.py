@@ -117,7 +117,17 @@ def _(spark, d):
     closing = [c for c in CUTS if c <= last]
     w = results.refresh_snapshots(stream, cal, closing, f"{base}/log", f"{base}/out", rounds=3)
     w.option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.parquet(f"{base}/out").drop("epoch")
+
+
+@query("r4_snapshot_refresh_all", "cutsx", f"SELECT Season, TeamID, make_date(Season, 1, 1) + cut AS ArchiveDate, {', '.join(f'{c} AS adjself_{c}_asof' for c in EFF.split())} FROM cutsx", " ".join(f"adjself_{c}_asof" for c in EFF.split()))
+def _(spark, d):
+    """All seasons one after the other: each season's cuts once, the last cuts closed by the next season or the cut's day."""
+    base = f"{shared_folder(spark)}/refresh-{uuid.uuid4().hex}"
+    stream = feed(spark, d, fx.reg(spark, d), parts=2, closing=False, whole=True)
+    w = results.refresh_snapshots(stream, fx.cal(spark, d), CUTS, f"{base}/log", f"{base}/out", rounds=3)
+    w.option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("epoch")
 
 
 def last_word(spark, d, p, **landed):

@@ -7,6 +7,7 @@ and is put right by the next batch rebuild. ``late_rows`` separates such games.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -163,18 +164,27 @@ def daily_accuracy(predictions: DataFrame, delay: str = "2 days") -> DataFrame:
     return predictions.withWatermark("at", delay).groupBy(F.window("at", "1 day")).agg(F.count(F.lit(1)).alias("n"), F.avg(miss).alias("signed_miss"), F.avg(F.abs(miss)).alias("abs_miss"))
 
 
+def refresh_batch(batch: DataFrame, epoch: int, calendar: DataFrame, cuts: list[int], store: str, out: str, rounds: int | None = None) -> None:
+    """Stores a micro-batch of symmetric rows and computes the cuts that have closed since, season by season.
+
+    A cut of a season is closed when a row of its day or a later one has come, or a row
+    of a later season. Rows and snapshots are written to a folder of the epoch, so an
+    epoch that is run again replaces what it wrote; which cuts are done is read from the
+    snapshots of earlier epochs, so a restart goes on where the stream stopped.
+    """
+    spark = batch.sparkSession
+    batch.write.mode("overwrite").parquet(f"{store}/epoch={epoch}")
+    log = spark.read.parquet(store).where(F.col("epoch") <= epoch).drop("epoch")
+    last = {r.Season: r.last for r in log.groupBy("Season").agg(F.max("DayNum").alias("last")).collect()}  # a row per season
+    nothing = efficiency_snapshots(log.limit(0), calendar, cuts, 1)
+    nothing.write.mode("overwrite").parquet(f"{out}/epoch=-1")
+    earlier = spark.read.parquet(out).where(F.col("epoch") < epoch).select("Season", "ArchiveDate").distinct()
+    done = {(r.Season, r.cut) for r in earlier.join(F.broadcast(calendar), "Season").select("Season", F.datediff("ArchiveDate", "DayZero").alias("cut")).collect()}  # seasons x cuts rows
+    new = {s: [c for c in cuts if (c <= day or s < max(last)) and (s, c) not in done] for s, day in last.items()}
+    parts = [efficiency_snapshots(log.where(F.col("Season") == s), calendar, own, rounds) for s, own in sorted(new.items()) if own]
+    reduce(DataFrame.unionByName, parts, nothing).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+
 def refresh_snapshots(stream: DataFrame, calendar: DataFrame, cuts: list[int], store: str, out: str, rounds: int | None = None):
-    """A writer that stores each micro-batch of symmetric rows and computes the cuts that have closed since."""
-    spark = stream.sparkSession
-    done: set[int] = set()
-
-    def batch(df: DataFrame, epoch: int) -> None:
-        df.write.mode("append").parquet(store)
-        log = spark.read.parquet(store)
-        last = log.agg(F.max("DayNum")).first()[0]
-        new = [c for c in cuts if last is not None and c <= last and c not in done]
-        if new:
-            efficiency_snapshots(log, calendar, new, rounds).write.mode("append").parquet(out)
-            done.update(new)
-
-    return stream.writeStream.foreachBatch(batch)
+    """A writer that keeps the log of symmetric rows in ``store`` and each closed (Season, cut) once in ``out``."""
+    return stream.writeStream.foreachBatch(lambda df, epoch: refresh_batch(df, epoch, calendar, cuts, store, out, rounds))
