@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boutlake.functions.scores import scores_from
+from boutlake.tables import pinned
 
 IDENTITY = ["_seq", "Season", "men_women", "DayNum", "A_TeamID", "B_TeamID", "Margin", "Total", "Outcome"]
 
@@ -44,7 +46,7 @@ def fit_calibrator(df: DataFrame, s: Settings, margin: str = "pred_margin") -> L
     """Outcome on predicted margin with an L2 penalty of 1 / (c * n)."""
     n = max(1, df.count())
     v = VectorAssembler(inputCols=[margin], outputCol="m").transform(df)
-    return LogisticRegression(featuresCol="m", labelCol="Outcome", regParam=1.0 / (s.c * n), elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-9).fit(v)
+    return LogisticRegression(featuresCol="m", labelCol="Outcome", regParam=1.0 / (s.c * n), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-12).fit(v)
 
 
 def probability(df: DataFrame, model: LogisticRegressionModel, margin: str = "pred_margin", out: str = "pred_prob") -> DataFrame:
@@ -55,12 +57,16 @@ def probability(df: DataFrame, model: LogisticRegressionModel, margin: str = "pr
 
 @dataclass
 class TwoHeads:
-    margin: object
-    total: object
+    """Margin, total and calibrated probability. ``before`` is a hook on the frame to be scored, such as one that adds a column."""
+
+    margin: GBTRegressionModel
+    total: GBTRegressionModel
     calibrator: LogisticRegressionModel
     features: list[str]
+    before: Callable[[DataFrame], DataFrame] | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
+        df = self.before(df) if self.before else df
         scored = self.total.transform(self.margin.transform(assembled(df, self.features)))
         return probability(scored, self.calibrator).drop("x")
 
@@ -69,6 +75,40 @@ class TwoHeads:
         return self.transform(df).withColumns({"pred_a": a, "pred_b": b})
 
 
+    def save(self, path: str) -> None:
+        """Writes heads, calibrator and feature names to a folder; the hook is code and isn't written."""
+        for name in ("margin", "total", "calibrator"):
+            getattr(self, name).write().overwrite().save(f"{path}/{name}")
+        SparkSession.active().createDataFrame([(self.features,)], "features array<string>").write.mode("overwrite").json(f"{path}/features")
+
+    @staticmethod
+    def load(path: str, before: Callable[[DataFrame], DataFrame] | None = None) -> TwoHeads:
+        features = SparkSession.active().read.schema("features array<string>").json(f"{path}/features").first()[0]
+        return TwoHeads(GBTRegressionModel.load(f"{path}/margin"), GBTRegressionModel.load(f"{path}/total"), LogisticRegressionModel.load(f"{path}/calibrator"), list(features), before)
+
+
+class TwoHeadsModel(Model):
+    """``TwoHeads`` as a stage of a Spark ML pipeline."""
+
+    def __init__(self, heads: TwoHeads):
+        super().__init__()
+        self.heads = heads
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return self.heads.transform(dataset)
+
+
+class TwoHeadsTrainer(Estimator):
+    """``train`` as a stage of a Spark ML pipeline."""
+
+    def __init__(self, features: list[str], settings: Settings, weight: str | None = None):
+        super().__init__()
+        self.features, self.settings, self.weight = features, settings, weight
+
+    def _fit(self, dataset: DataFrame) -> TwoHeadsModel:
+        return TwoHeadsModel(train(dataset, self.features, self.settings, self.weight))
+
+
 def train(df: DataFrame, features: list[str], s: Settings, weight: str | None = None) -> TwoHeads:
     """Both heads and the calibrator on all rows of ``df``."""
     x = assembled(df.where("Margin IS NOT NULL"), features).persist()
@@ -84,7 +124,8 @@ def leave_one_out(df: DataFrame, features: list[str], s: Settings, fold: str = "
 
     Folds are independent jobs from a small driver pool; the frame is cached once
     for all of them. The calibrator is cross-fitted: a season's is fitted on the
-    other seasons' out-of-fold margins.
+    other seasons' out-of-fold margins. The out-of-fold frame is written once to the
+    shared folder; the cached one is released.
     """
     used = df.where(~F.col(fold).isin(*holdout)) if holdout else df
     x = assembled(used.where("Margin IS NOT NULL"), features).persist()
@@ -98,9 +139,21 @@ def leave_one_out(df: DataFrame, features: list[str], s: Settings, fold: str = "
 
         with ThreadPoolExecutor(parallel) as pool:
             scored = list(pool.map(one, folds))
-        oof = reduce(lambda a, b: a.unionByName(b), scored).persist()
-        parts = [probability(oof.where(F.col(fold) == k), fit_calibrator(oof.where(F.col(fold) != k), s)) for k in folds]
-        return reduce(lambda a, b: a.unionByName(b), parts)
+        oof = pinned(reduce(lambda a, b: a.unionByName(b), scored))
+    finally:
+        x.unpersist()
+    z = F.lit(None).cast("double")
+    for k in folds:
+        c = fit_calibrator(oof.where(F.col(fold) != k), s)
+        z = F.when(F.col(fold) == k, F.col("pred_margin") * float(c.coefficients[0]) + float(c.intercept)).otherwise(z)
+    return oof.withColumn("pred_prob", 1.0 / (1.0 + F.exp(-z)))
+
+
+def fold_models(df: DataFrame, features: list[str], s: Settings, fold: str = "Season", label: str = "Margin") -> list:
+    """One regressor per fold, each fitted on the other folds; the frame is cached for all of them and released."""
+    x = assembled(df, features).persist()
+    try:
+        return [fit_regressor(x.where(F.col(fold) != k), label, s) for k in sorted(r[0] for r in x.select(fold).distinct().collect())]
     finally:
         x.unpersist()
 
@@ -131,27 +184,27 @@ def path_attribution(model, df: DataFrame, features: list[str], id_col: str = "_
     credited to the feature split on, so base + all contributions = prediction.
     The forest (bounded by its settings) is flattened and sent to the executors.
     """
+    import numpy as np
     import pandas as pd
 
     trees = [(w, _flat(t._call_java("rootNode"))) for w, t in zip(model.treeWeights, model.trees)]
     shared = df.sparkSession.sparkContext.broadcast(trees)
 
     def run(frames):
+        names = np.array(features, dtype=object)
         for pdf in frames:
-            out = []
-            for row in pdf.to_dict("records"):
-                base, credit = 0.0, [0.0] * len(features)
-                for w, nodes in shared.value:
-                    at = 0
-                    base += w * nodes[0][3]
-                    while nodes[at][0] >= 0:
-                        f, threshold, (left, right), mean = nodes[at]
-                        to = left if row[features[f]] <= threshold else right
-                        credit[f] += w * (nodes[to][3] - mean)
-                        at = to
-                order = sorted(range(len(features)), key=lambda i: (-abs(credit[i]), i))[:top]
-                out.append((row[id_col], base, base + sum(credit), [features[i] for i in order], [credit[i] for i in order]))
-            yield pd.DataFrame(out, columns=[id_col, "base", "explained", "drivers", "contributions"])
+            x = pdf[features].to_numpy(float)
+            n, credit, base = len(x), np.zeros(x.shape), 0.0
+            for w, nodes in shared.value:
+                split, threshold, to_left, to_right, mean = (np.array(c) for c in zip(*[(f, t, *(to or (0, 0)), m) for f, t, to, m in nodes]))
+                base += w * mean[0]
+                at = np.zeros(n, int)
+                while len(rows := np.flatnonzero(split[at] >= 0)):  # all rows go down one level
+                    here, f = at[rows], split[at[rows]]
+                    at[rows] = np.where(x[rows, f] <= threshold[here], to_left[here], to_right[here])
+                    credit[rows, f] += w * (mean[at[rows]] - mean[here])
+            order = np.argsort(-np.abs(credit), axis=1, kind="stable")[:, :top]
+            yield pd.DataFrame({id_col: pdf[id_col], "base": base, "explained": base + credit.sum(axis=1), "drivers": list(names[order]), "contributions": list(np.take_along_axis(credit, order, 1))})
 
     return df.select(id_col, *features).fillna(0.0, subset=features).mapInPandas(run, f"{id_col} long, base double, explained double, drivers array<string>, contributions array<double>")
 
@@ -175,11 +228,3 @@ def _flat(root) -> list[tuple]:
 
     add(root)
     return out
-
-
-def save(model, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
-def load_pipeline(path: str) -> PipelineModel:
-    return PipelineModel.load(path)

@@ -169,9 +169,7 @@ def _(spark, d):
 def _(spark, d):
     """Mean spread over fold models, and their mean importances."""
     g = reg_games(spark, d)
-    x = tr.assembled(g.where("Season < 2001"), FEATURES).persist()
-    folds = sorted(r[0] for r in x.select("Season").distinct().collect())
-    models = [tr.fit_regressor(x.where(F.col("Season") != k), "Margin", SMALL) for k in folds]
+    models = tr.fold_models(g.where("Season < 2001"), FEATURES, SMALL)
     own = tr.assembled(g.where("Season = 2001"), FEATURES)
     for i, m in enumerate(models):
         own = m.transform(own).withColumnRenamed("pred_margin", f"m{i}")
@@ -268,3 +266,92 @@ def _(spark, d):
     pairs = match.field_pairs(field(spark, d, 16).where("Season = 2001"))
     x = symmetric.fan_out(symmetric.attach_both(pairs, tf, ["men_women", "Season"], feats), feats)
     return check(model.transform(x), ~F.col("pred_prob").between(0, 1))
+
+
+# --- models whose predictions SQL can compute: with the venue as only feature, a forest's leaves are means by venue
+
+EXACT = tr.Settings(trees=2, depth=3, step=1.0, subsample=1.0)
+_sign = "CASE WLoc WHEN 'H' THEN 1 WHEN 'A' THEN -1 ELSE 0 END"
+fx.SQL["sided"] = f"SELECT _seq, Season, 1 AS Outcome, {_sign} AS A_home, WScore - LScore AS Margin, WScore + LScore AS Total FROM game_raw UNION ALL SELECT _seq, Season, 0, -{_sign}, LScore - WScore, WScore + LScore FROM game_raw"
+fx.SQL["venues"] = "SELECT Season, A_home, count(*) AS n, sum(Margin) AS m, sum(Total) AS t, sum(Outcome) AS w FROM sided GROUP BY Season, A_home"
+#: a fold's rows are predicted by the venue means of the other folds
+fx.SQL["oofm"] = "SELECT a.Season, a.A_home, any_value(a.n) AS n, any_value(a.w) AS w, sum(b.m) / sum(b.n) AS pm, sum(b.t) / sum(b.n) AS pt FROM venues a JOIN venues b ON b.Season <> a.Season AND b.A_home = a.A_home GROUP BY a.Season, a.A_home"
+fx.SQL["cal0"] = "SELECT DISTINCT Season AS k, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM oofm"
+_STEPS = 12
+for _i in range(_STEPS):  # Newton's method for each fold's calibrator, on the other folds' out-of-fold margins
+    fx.SQL[f"cal{_i + 1}"] = (
+        "SELECT k, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM ("
+        "SELECT k, a, b, sum((n * p - w) * pm) + a AS ga, sum(n * p - w) AS gb, sum(n * p * (1 - p) * pm * pm) + 1 AS haa, sum(n * p * (1 - p) * pm) AS hab, sum(n * p * (1 - p)) AS hbb FROM ("
+        f"SELECT c.k, c.a, c.b, o.pm, o.n, o.w, 1 / (1 + exp(-(c.a * o.pm + c.b))) AS p FROM cal{_i} c JOIN oofm o ON o.Season <> c.k) GROUP BY k, a, b)"
+    )
+fx.SQL["oofp"] = f"SELECT Season, A_home, n, w, pm, pt, 1 / (1 + exp(-(a * pm + b))) AS p FROM oofm JOIN cal{_STEPS} ON k = Season"
+
+
+def venue_games(spark, d):
+    """All games from both sides, with the venue and a constant."""
+    g = fx.game_raw(spark, d)
+    diff, total = F.col("WScore") - F.col("LScore"), F.col("WScore") + F.col("LScore")
+
+    def side(a_won: bool):
+        s, a, b = (1, "W", "L") if a_won else (-1, "L", "W")
+        return F.struct(F.col(f"{a}TeamID").alias("A_TeamID"), F.col(f"{b}TeamID").alias("B_TeamID"), (s * diff).cast("double").alias("Margin"), total.cast("double").alias("Total"), F.lit(int(a_won)).alias("Outcome"), scores.home_sign(F.col("WLoc"), a_won).cast("double").alias("A_home"), F.lit(0.0).alias("constant"))
+
+    return g.select("_seq", "Season", "men_women", "DayNum", F.explode(F.array(side(True), side(False))).alias("r")).select("_seq", "Season", "men_women", "DayNum", "r.*")
+
+
+@query("m1_fold_predictions", "oofp", "SELECT Season, A_home, n, pm AS pred_margin, pt AS pred_total, round(p, 4) AS pred_prob, round((w * (1 - p) * (1 - p) + (n - w) * p * p) / n, 4) AS brier FROM oofp", "pred_margin pred_total")
+def _(spark, d):
+    """Both heads and the cross-fitted calibrator, out of fold: a fold that leaks, swapped heads or a calibrator fitted on its own fold change the numbers."""
+    oof = tr.leave_one_out(venue_games(spark, d), ["A_home"], EXACT)
+    return oof.groupBy("Season", F.col("A_home").cast("int").alias("A_home")).agg(F.count(F.lit(1)).alias("n"), F.avg("pred_margin").alias("pred_margin"), F.avg("pred_total").alias("pred_total"), F.round(F.avg("pred_prob"), 4).alias("pred_prob"), F.round(metrics.brier("pred_prob", "Outcome"), 4).alias("brier"))
+
+
+@query("m5_m6_log_predictions", "venues", "SELECT CASE WHEN a.Season < 2001 THEN 'oof' ELSE 'holdout' END AS source, a.Season, a.A_home, any_value(a.n) AS n, sum(b.m) / sum(b.n) AS pred_margin, sum(b.t) / sum(b.n) AS pred_total FROM venues a JOIN venues b ON b.Season < 2001 AND b.Season <> a.Season AND b.A_home = a.A_home GROUP BY a.Season, a.A_home", "pred_margin pred_total")
+def _(spark, d):
+    """The log of out-of-fold and holdout predictions: the holdout season is seen by no model."""
+    g = venue_games(spark, d)
+    oof = tr.leave_one_out(g, ["A_home"], EXACT, holdout=[2001]).select(*tr.IDENTITY, "A_home", "pred_margin", "pred_total", "pred_prob")
+    held = tr.train(g.where("Season < 2001"), ["A_home"], EXACT).transform(g.where("Season = 2001"))
+    log = tr.predictions_log(oof, held).join(g.select("_seq", "A_TeamID", "A_home"), ["_seq", "A_TeamID"])
+    return log.groupBy("source", "Season", F.col("A_home").cast("int").alias("A_home")).agg(F.count(F.lit(1)).alias("n"), F.avg("pred_margin").alias("pred_margin"), F.avg("pred_total").alias("pred_total"))
+
+
+@query("m17_ablation_scores", "sided oofp venues", "SELECT 'with' AS variant, count(*) AS n, avg(abs(Margin - pm)) AS mae_margin, avg(abs(Total - pt)) AS mae_total, round(avg((Outcome - p) ** 2), 4) AS brier FROM sided JOIN oofp USING (Season, A_home) UNION ALL SELECT 'without', count(*), avg(abs(Margin)), avg(abs(Total - pt)), 0.25 FROM sided JOIN (SELECT a.Season, sum(b.t) / sum(b.n) AS pt FROM (SELECT DISTINCT Season FROM venues) a JOIN venues b ON b.Season <> a.Season GROUP BY a.Season) USING (Season)", "mae_margin mae_total")
+def _(spark, d):
+    """What the venue is worth: scores of the same folds with it and with a constant in its place."""
+    g = pinned(venue_games(spark, d))
+    parts = []
+    for label, features in (("with", ["A_home"]), ("without", ["constant"])):
+        oof = tr.leave_one_out(g, features, EXACT)
+        mae = {f"mae_{c.lower()}": F.avg(F.abs(F.col(c) - F.col(f"pred_{c.lower()}"))) for c in ("Margin", "Total")}
+        parts.append(oof.agg(F.count(F.lit(1)).alias("n"), *[x.alias(c) for c, x in mae.items()], F.round(metrics.brier("pred_prob", "Outcome"), 4).alias("brier")).select(F.lit(label).alias("variant"), "*"))
+    return parts[0].unionByName(parts[1])
+
+
+@query("a32_home_edge_value", "venues", "SELECT (SELECT sum(n)::BIGINT FROM venues WHERE Season = 2001) AS n_rows, sum(m) FILTER (A_home = 1) / sum(n) FILTER (A_home = 1) - sum(m) FILTER (A_home = -1) / sum(n) FILTER (A_home = -1) AS edge FROM venues WHERE Season < 2001", "edge")
+def _(spark, d):
+    """The home edge in points: two counterfactual copies of a season through a model of the earlier ones."""
+    g = venue_games(spark, d)
+    model = tr.train(g.where("Season < 2001"), ["A_home"], EXACT)
+    both = g.where("Season = 2001").drop("A_home").withColumn("A_home", F.explode(F.array(F.lit(1.0), F.lit(-1.0))))
+    margin = lambda v: F.avg(F.when(F.col("A_home") == v, F.col("pred_margin")))
+    return model.transform(both).agg((F.count(F.lit(1)) / 2).cast("long").alias("n_rows"), (margin(1.0) - margin(-1.0)).alias("edge"))
+
+
+@query("m13_fold_spread", "venues", "SELECT A_home, any_value(n) AS n, avg(pm) AS spread FROM (SELECT v.A_home, v.n, k.Season AS k, sum(b.m) / sum(b.n) AS pm FROM venues v, (SELECT DISTINCT Season FROM venues WHERE Season < 2001) k, venues b WHERE v.Season = 2001 AND b.Season < 2001 AND b.Season <> k.Season AND b.A_home = v.A_home GROUP BY ALL) GROUP BY A_home", "spread")
+def _(spark, d):
+    """The mean of the fold models' spreads for an unseen season."""
+    g = venue_games(spark, d)
+    own = tr.assembled(g.where("Season = 2001"), ["A_home"])
+    models = tr.fold_models(g.where("Season < 2001"), ["A_home"], EXACT)
+    for i, m in enumerate(models):
+        own = m.transform(own).withColumnRenamed("pred_margin", f"m{i}")
+    spread = sum(F.col(f"m{i}") for i in range(len(models))) / len(models)
+    return own.groupBy(F.col("A_home").cast("int").alias("A_home")).agg(F.count(F.lit(1)).alias("n"), F.avg(spread).alias("spread"))
+
+
+@query("m14_known_importances", "venues", "SELECT feature, (CASE WHEN feature = 'A_home' THEN 1 ELSE 0 END)::DOUBLE AS importance, folds FROM (SELECT unnest(['A_home', 'constant']) AS feature, (SELECT count(DISTINCT Season) FROM venues WHERE Season < 2001) AS folds)", "importance")
+def _(spark, d):
+    """Mean importances where the answer is known: the constant can split nothing."""
+    models = tr.fold_models(venue_games(spark, d).where("Season < 2001"), ["constant", "A_home"], EXACT)
+    return tr.importances(models, ["constant", "A_home"], spark).withColumn("folds", F.lit(len(models)).cast("long"))
