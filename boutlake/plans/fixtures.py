@@ -134,20 +134,20 @@ def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lpad(((F.col("r") - 1) % 16 + 1).cast("string"), 2, "0"),
         F.when(F.col("r") % 20 == 0, "a").when(F.col("r") % 10 == 0, "b").otherwise(""),
     )
-    return cal(spark, sf_dir).select("Season").crossJoin(t.select("men_women", "TeamID", "r", seed.alias("Seed")))
+    return F.broadcast(cal(spark, sf_dir).select("Season")).crossJoin(t.select("men_women", "TeamID", "r", seed.alias("Seed")))
 
 
 def ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     men = teams(spark, sf_dir).where("men_women = 0").select("TeamID")
     systems = F.explode(F.array(*[F.struct(F.lit(s).alias("SystemName"), F.lit(i).alias("si")) for i, s in enumerate(("POM", "MOR", "XXX"))]))
-    grid = cal(spark, sf_dir).select("Season", systems.alias("s")).select("Season", "s.*", F.explode(F.array(*map(F.lit, (100, 128, 133, 140)))).alias("RankingDayNum")).crossJoin(men)
+    grid = F.broadcast(cal(spark, sf_dir)).select("Season", systems.alias("s")).select("Season", "s.*", F.explode(F.array(*map(F.lit, (100, 128, 133, 140)))).alias("RankingDayNum")).crossJoin(men)
     w = Window.partitionBy("Season", "SystemName", "RankingDayNum").orderBy(F.expr("(TeamID * 37 + si * 11 + RankingDayNum) % 101"), "TeamID")
     return grid.withColumn("OrdinalRank", F.row_number().over(w).cast("int")).select("Season", "SystemName", "RankingDayNum", "TeamID", "OrdinalRank")
 
 
 def snaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = teams(spark, sf_dir).select("TeamID", "s_suppkey")
-    g = cal(spark, sf_dir).crossJoin(t).withColumn("day", F.explode(F.sequence(F.lit(-1), F.lit(363), F.lit(7))))
+    g = F.broadcast(cal(spark, sf_dir)).crossJoin(t).withColumn("day", F.explode(F.sequence(F.lit(-1), F.lit(363), F.lit(7))))
     oe, de = F.expr("95 + (s_suppkey * 7 + day) % 25").cast("double"), F.expr("90 + (s_suppkey * 11 + day) % 25").cast("double")
     tempo = F.when((F.col("day") < 363) | (F.col("s_suppkey") % 3 != 0), F.expr("62 + (s_suppkey + day) % 12").cast("double"))
     return g.select("Season", "TeamID", F.date_add("DayZero", F.col("day")).alias("ArchiveDate"), oe.alias("kp_AdjOE_asof"), de.alias("kp_AdjDE_asof"), (oe - de).alias("kp_AdjEM_asof"), tempo.alias("kp_AdjTempo_asof"))
