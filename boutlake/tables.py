@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder, its lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written once to the shared folder, its lineage cut.
+
+    A written table is computed once (an eager checkpoint computes twice) and its
+    known size lets Spark broadcast it where it is small.
+    """
+    at = f"{shared_folder(df.sparkSession)}/pinned-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
