@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,32 +63,36 @@ def _expected(a: float, b: float, width: float) -> float:
 def pregame_elo(games: DataFrame, base: float = 1000.0, k: float = 100.0, width: float = 400.0, carry: float = 0.75) -> DataFrame:
     """Both sides' Elo before each game, carried over seasons: an ordered fold.
 
-    A fold is sequential within a pool, so a pool is one group, of narrow rows
-    (ids and day only); with carry 0 seasons are independent and are groups of
-    their own. The streaming form keeps the same state instead of replaying it.
+    A fold is sequential within a pool. A pool's games are sorted by Spark, which
+    may spill, and pass through in Arrow batches: a task holds a batch and one
+    rating per team, never the pool. With carry 0 seasons are independent and are
+    folded side by side. The streaming form keeps the same state instead of replaying it.
     """
     keys = ["men_women"] if carry else ["men_women", "Season"]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["Season", "DayNum", "_seq"])
-        now: dict[int, float] = {}
-        season, played, before_w, before_l = None, set(), [], []
-        for s, w, l in zip(pdf["Season"].tolist(), pdf["WTeamID"].tolist(), pdf["LTeamID"].tolist()):
-            if s != season:
-                season, played = s, set()
-            for t in (w, l):
-                if t not in played:
-                    played.add(t)
-                    now[t] = base + carry * (now[t] - base) if t in now else base
-            before_w.append(now[w])
-            before_l.append(now[l])
-            delta = k * (1.0 - _expected(now[w], now[l], width))
-            now[w] += delta
-            now[l] -= delta
-        return pdf.assign(W_Elo_pre=before_w, L_Elo_pre=before_l)
+    def fold(batches):
+        group, season, now, played = None, None, {}, set()
+        for pdf in batches:
+            before_w, before_l = [], []
+            for g, s, w, l in zip(zip(*[pdf[c].tolist() for c in keys]), pdf["Season"].tolist(), pdf["WTeamID"].tolist(), pdf["LTeamID"].tolist()):
+                if g != group:
+                    group, season, now, played = g, None, {}, set()
+                if s != season:
+                    season, played = s, set()
+                for t in (w, l):
+                    if t not in played:
+                        played.add(t)
+                        now[t] = base + carry * (now[t] - base) if t in now else base
+                before_w.append(now[w])
+                before_l.append(now[l])
+                delta = k * (1.0 - _expected(now[w], now[l], width))
+                now[w] += delta
+                now[l] -= delta
+            yield pdf.assign(W_Elo_pre=before_w, L_Elo_pre=before_l)
 
     slim = games.select("_seq", "men_women", "Season", "DayNum", "WTeamID", "LTeamID")
-    return slim.groupBy(*keys).applyInPandas(fold, "_seq long, men_women int, Season int, DayNum int, WTeamID int, LTeamID int, W_Elo_pre double, L_Elo_pre double")
+    ordered = slim.repartition(*keys).sortWithinPartitions("men_women", "Season", "DayNum", "_seq")
+    return ordered.mapInPandas(fold, "_seq long, men_women int, Season int, DayNum int, WTeamID int, LTeamID int, W_Elo_pre double, L_Elo_pre double")
 
 
 def season_elo(games: DataFrame, base: float = 1000.0, k: float = 100.0, width: float = 400.0) -> DataFrame:

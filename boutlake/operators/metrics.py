@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def brier(p: str | Column, y: str | Column) -> Column:
@@ -67,50 +68,77 @@ def best_of_grid(df: DataFrame, by: list[str], loss_of, values: list[float], nam
 
 
 def fit_grid(df: DataFrame, by: list[str], loss_of, low: float, high: float, name: str, points: int = 21, rounds: int = 3) -> dict[tuple, float]:
-    """A bounded minimum per group by grids that close in: one aggregation a round; the driver sees one row per group."""
+    """A bounded minimum per group by grids that close in: one aggregation over all groups a round; the driver sees one row per group (segments, a fixed few)."""
     found: dict[tuple, float] = {}
     spans: dict[tuple, tuple[float, float]] = {}
-    groups = [tuple(r) for r in df.select(*by).distinct().collect()] if by else [()]
-    for g in groups:
-        spans[g] = (low, high)
-    for _ in range(rounds):
-        for g, (lo, hi) in spans.items():
-            step = (hi - lo) / (points - 1)
-            part = reduce(lambda d, kv: d.where(F.col(kv[0]) == kv[1]), zip(by, g), df)
-            best = best_of_grid(part, [], loss_of, [lo + step * i for i in range(points)], name).first()
-            found[g] = best[name]
-            spans[g] = (max(low, best[name] - step), min(high, best[name] + step))
+    kinds = T.StructType([*df.select(*by).schema.fields, T.StructField("_low", T.DoubleType()), T.StructField("_step", T.DoubleType())])
+    for k in range(rounds):
+        if k == 0:
+            at = df.withColumns({"_low": F.lit(low), "_step": F.lit((high - low) / (points - 1))})
+        else:
+            grid = F.broadcast(df.sparkSession.createDataFrame([(*g, lo, (hi - lo) / (points - 1)) for g, (lo, hi) in spans.items()], kinds))  # one row per group
+            at = df.alias("d").join(grid.alias("s"), reduce(lambda x, y: x & y, [F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by], F.lit(True))).select("d.*", "_low", "_step")
+        losses = at.groupBy(*by).agg(F.first("_low").alias("_low"), F.first("_step").alias("_step"), *[F.avg(loss_of(F.col("_low") + F.col("_step") * i)).alias(f"_l{i}") for i in range(points)])
+        for r in losses.collect():
+            g = tuple(r[c] for c in by)
+            told = [(r[f"_l{i}"], r["_low"] + r["_step"] * i) for i in range(points) if r[f"_l{i}"] is not None]
+            if told:
+                found[g] = min(told)[1]
+                spans[g] = (max(low, found[g] - r["_step"]), min(high, found[g] + r["_step"]))
+        if not spans:
+            break
     return found
 
 
-def ks_statistic(df: DataFrame, value: str, is_current: Column, buckets: int = 100) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov statistic and its asymptotic p-value.
+def _by_range(v: DataFrame, sums: dict[str, Column], buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Rows folded by value ``v`` with the named sums, each with its running sum ``to_*`` (itself included), and one row of all sums.
 
-    Values are folded by value, dealt into ranges by approximate quantiles (which
-    only balance the work), and cumulated range by range with the ranges' totals
-    as offsets, so nothing is ordered in one task and the result is exact.
+    Ranges come from approximate quantiles, which only balance the work. A range is
+    cumulated by itself and the ranges' totals are its offset, so nothing is ordered in one task.
     """
-    v = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), is_current.cast("int").alias("c"))
     edges = sorted(set(v.approxQuantile("v", [i / buckets for i in range(1, buckets)], 0.01)))
     at = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("v"))) if edges else F.lit(0)
-    folded = v.groupBy("v").agg(F.sum("c").alias("cur"), F.sum(1 - F.col("c")).alias("ref")).withColumn("b", at)
-    totals = folded.groupBy("b").agg(F.sum("cur").alias("tc"), F.sum("ref").alias("tr"))
+    folded = v.groupBy("v").agg(*[c.alias(n) for n, c in sums.items()]).withColumn("b", at)
+    totals = folded.groupBy("b").agg(*[F.sum(n).alias(f"all_{n}") for n in sums])
     before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    offsets = totals.select("b", F.coalesce(F.sum("tc").over(before), F.lit(0)).alias("oc"), F.coalesce(F.sum("tr").over(before), F.lit(0)).alias("orf"))
-    all_of = totals.agg(F.sum("tc").alias("nc"), F.sum("tr").alias("nr"))
+    offsets = totals.select("b", *[F.coalesce(F.sum(f"all_{n}").over(before), F.lit(0)).alias(f"o_{n}") for n in sums])
     w = Window.partitionBy("b").orderBy("v")
-    gap = F.abs((F.sum("cur").over(w) + F.col("oc")) / F.col("nc") - (F.sum("ref").over(w) + F.col("orf")) / F.col("nr"))
-    d = folded.join(F.broadcast(offsets), "b").crossJoin(F.broadcast(all_of)).select(gap.alias("gap"), "nc", "nr").agg(F.max("gap").alias("ks"), F.first("nc").alias("nc"), F.first("nr").alias("nr"))  # one row, and one per range
+    run = folded.join(F.broadcast(offsets), "b").select("v", *sums, *[(F.sum(n).over(w) + F.col(f"o_{n}")).alias(f"to_{n}") for n in sums])  # one row per range
+    return run, totals.agg(*[F.sum(f"all_{n}").alias(f"all_{n}") for n in sums])
+
+
+def ks_statistic(df: DataFrame, value: str, is_current: Column, buckets: int = 100) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov statistic and its asymptotic p-value, exact and cumulated range by range."""
+    v = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), is_current.cast("int").alias("c"))
+    run, total = _by_range(v, {"cur": F.sum("c"), "ref": F.sum(1 - F.col("c"))}, buckets)
+    nc, nr = F.col("all_cur"), F.col("all_ref")
+    gap = F.abs(F.col("to_cur") / nc - F.col("to_ref") / nr)
+    d = run.crossJoin(F.broadcast(total)).select(gap.alias("gap"), nc.alias("nc"), nr.alias("nr")).agg(F.max("gap").alias("ks"), F.first("nc").alias("nc"), F.first("nr").alias("nr"))  # one row
     ne = F.sqrt(F.col("nc") * F.col("nr") / (F.col("nc") + F.col("nr")))
     lam = (ne + 0.12 + 0.11 / ne) * F.col("ks")
     p = sum((2.0 * (-1) ** (k - 1) * F.exp(-2.0 * k * k * lam * lam) for k in range(1, 21)), F.lit(0.0))
     return d.select("ks", F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)).alias("p_value"))
 
 
+def exact_quantiles(df: DataFrame, value: str, shares: list[float], buckets: int = 100) -> DataFrame:
+    """One row with the array ``q`` of exact quantiles, interpolated between neighbours; null without values.
+
+    Values are folded and cumulated range by range, so no task holds all distinct values.
+    """
+    v = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    run, total = _by_range(v, {"n": F.count(F.lit(1))}, buckets)
+    place = [F.lit(s) * (F.col("all_n") - 1) for s in shares]
+    holds = lambda at: (F.col("to_n") - F.col("n") <= at) & (at < F.col("to_n"))
+    ends = [F.max(F.when(holds(f(p)), F.col("v"))).alias(f"{k}{i}") for i, p in enumerate(place) for k, f in (("lo", F.floor), ("hi", F.ceil))]
+    found = run.crossJoin(F.broadcast(total)).agg(F.first("all_n").alias("all_n"), *ends)  # one row
+    between = [F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (p - F.floor(p)) for i, p in enumerate(place)]
+    return found.select(F.when(F.col("all_n").isNotNull(), F.array(*between)).alias("q"))
+
+
 def population_stability(df: DataFrame, value: str, is_current: Column, bins: int = 10, least: float = 1e-4) -> DataFrame:
     """PSI over bins at the reference's quantiles; an empty share counts as ``least``."""
     v = df.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), is_current.alias("c"))
-    edges = v.where(~F.col("c")).agg(F.percentile("v", F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("edges"))
+    edges = exact_quantiles(v.where(~F.col("c")), "v", [i / bins for i in range(1, bins)]).withColumnRenamed("q", "edges")
     at = F.size(F.filter("edges", lambda e: e < F.col("v")))
     counts = v.crossJoin(F.broadcast(edges)).groupBy(at.alias("bin")).agg(F.count_if("c").alias("cur"), F.count_if(~F.col("c")).alias("ref"))  # one row of edges
     every = edges.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")).join(counts, "bin", "left").fillna(0)

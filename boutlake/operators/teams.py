@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,16 +115,19 @@ def adjusted_efficiency(log: DataFrame, rounds: int | None = None, max_rounds: i
             at = pinned(_efficiency_round(g, at, keys))
         done = at.withColumn("iters", F.lit(rounds))
     else:
-        moving, done = first, None
+        moving, parts = first, []
         for k in range(1, max_rounds + 1):
             moving = pinned(_efficiency_round(g, moving, keys))
             still = F.col("change") >= tol
             still = still if k < max_rounds else F.lit(False)
-            settled = moving.where(~still).withColumn("iters", F.lit(k))
-            done = settled if done is None else done.unionByName(settled)
-            moving = moving.where(still)
-            if moving.isEmpty():
+            flags = moving.agg(F.count_if(still).alias("on"), F.count_if(~still).alias("off")).first()
+            if flags["off"]:
+                parts.append(moving.where(~still).withColumn("iters", F.lit(k)))
+            if not flags["on"]:
                 break
+            moving = moving.where(still) if flags["off"] else moving
+        done = reduce(DataFrame.unionByName, parts) if parts else moving.withColumn("iters", F.lit(0))
+        done = pinned(done)
     opp = first.select(*keys, F.col("t").alias("o"), F.col("tempo").alias("o_tempo"))
     lg = done.select(*keys, F.col("t"), "lg_tempo")
     tempo = g.join(opp, [*keys, "o"], "left").join(lg, [*keys, "t"]).groupBy(*keys, "t").agg(F.avg(F.col("poss") / floor_at(F.coalesce("o_tempo", "lg_tempo"), 1) * F.col("lg_tempo")).alias("AdjTempo"))
@@ -132,10 +135,15 @@ def adjusted_efficiency(log: DataFrame, rounds: int | None = None, max_rounds: i
     return out.select(*keys, F.col("t").alias("TeamID"), "AdjOE", "AdjDE", (F.col("AdjOE") - F.col("AdjDE")).alias("AdjEM"), "AdjTempo", "iters")
 
 
-def efficiency_snapshots(log: DataFrame, calendar: DataFrame, cuts: list[int], rounds: int | None = None) -> DataFrame:
-    """As-of efficiency for every cut day: one run with the cut as a further group key, over games strictly before it."""
+def efficiency_snapshots(log: DataFrame, calendar: DataFrame, cuts: list[int], rounds: int | None = None, only: dict[int, list[int]] | None = None) -> DataFrame:
+    """As-of efficiency for every cut day: one run with the cut as a further group key, over games strictly before it. ``only`` names the cuts of each season where these differ; other seasons have none."""
+    mine = F.array(*map(F.lit, cuts))
+    if only is not None:
+        mine = F.array().cast("array<int>")
+        for season, own in only.items():
+            mine = F.when(F.col("Season") == season, F.array(*map(F.lit, own)).cast("array<int>")).otherwise(mine)
     games = efficiency_games(log)
-    games = games.withColumn("cut", F.explode(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col("DayNum"))))
+    games = games.withColumn("cut", F.explode(F.filter(mine, lambda c: c > F.col("DayNum"))))
     adj = adjusted_efficiency(log, rounds=rounds, extra_keys=("cut",), games=games)
     dated = adj.join(F.broadcast(calendar.select("Season", "DayZero")), "Season")  # one row per season
     return dated.select("Season", "TeamID", F.date_add("DayZero", F.col("cut")).alias("ArchiveDate"), *[F.col(c).alias(f"adjself_{c}_asof") for c in ("AdjOE", "AdjDE", "AdjEM", "AdjTempo")])
@@ -162,26 +170,41 @@ def laplacian(log: DataFrame) -> DataFrame:
     return log.groupBy(*KEYS, "T1_TeamID", "T2_TeamID").agg(F.count(F.lit(1)).alias("n"), F.sum("PointDiff").alias("m"))
 
 
-def least_squares_quality(log: DataFrame) -> DataFrame:
+def least_squares_quality(log: DataFrame, tol: float = 1e-11, max_rounds: int = 500) -> DataFrame:
     """Minimum-norm least-squares team quality: coefficients sum to 0 in each connected component.
 
-    A group is one season of one pool, so its pairs are bounded by the square of a
-    league's teams; the games themselves are folded before they get there.
+    Conjugate gradients on the normal equations of all seasons at once, each round
+    a join of the folded pairs with a row per team and two aggregations, so no
+    matrix is formed and no season is solved in one task. From 0 the solution stays in the
+    range of the matrix, which makes it the one of least norm. Seasons whose
+    residual is below ``tol`` of its start are set aside; the driver sees one flag a
+    round. Rows without a margin don't count.
     """
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        teams, at = np.unique(np.concatenate([pdf["T1_TeamID"], pdf["T2_TeamID"]]), return_inverse=True)
-        i, j = at[: len(pdf)], at[len(pdf) :]
-        n, m = pdf["n"].to_numpy(float), pdf["m"].to_numpy(float)
-        a, b = np.zeros((len(teams), len(teams))), np.zeros(len(teams))
-        for r, c, s in ((i, i, 1), (j, j, 1), (i, j, -1), (j, i, -1)):
-            np.add.at(a, (r, c), s * n)
-        np.add.at(b, i, m)
-        np.add.at(b, j, -m)
-        q = np.linalg.pinv(a, hermitian=True, rcond=1e-12) @ b
-        return pd.DataFrame({"men_women": pdf["men_women"].iloc[0], "Season": pdf["Season"].iloc[0], "TeamID": teams, "Quality": q})
-
-    return laplacian(log).groupBy(*KEYS).applyInPandas(solve, "men_women int, Season int, TeamID int, Quality double")
+    side = lambda t, o, m: F.struct(F.col(t).alias("t"), F.col(o).alias("o"), m.alias("m"))
+    both = F.explode(F.array(side("T1_TeamID", "T2_TeamID", F.col("PointDiff")), side("T2_TeamID", "T1_TeamID", -F.col("PointDiff")))).alias("r")
+    pairs = pinned(log.where(F.col("PointDiff").isNotNull()).select(*KEYS, both).select(*KEYS, "r.*").groupBy(*KEYS, "t", "o").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("m").cast("double").alias("m")))
+    start = pairs.groupBy(*KEYS, "t").agg(F.sum("n").alias("deg"), F.sum("m").alias("r"))
+    size = start.groupBy(*KEYS).agg(F.sum(F.col("r") * F.col("r")).alias("rr0"))
+    zero = F.lit(0.0)
+    moving, parts = pinned(start.join(size, KEYS).select(*KEYS, "t", "deg", zero.alias("x"), "r", F.col("r").alias("p"), "rr0", F.col("rr0").alias("rr"))), []
+    for k in range(max_rounds + 1):
+        still = (F.col("rr") > tol * tol * F.col("rr0")) if k < max_rounds else F.lit(False)
+        flags = moving.agg(F.count_if(still).alias("on"), F.count_if(~still).alias("off")).first()
+        if flags["off"] or not flags["on"]:
+            parts.append(moving.where(~still).select(*KEYS, F.col("t").alias("TeamID"), F.col("x").alias("Quality")))
+        if not flags["on"]:
+            break
+        moving = moving.where(still) if flags["off"] else moving
+        near = pairs.join(moving.select(*KEYS, F.col("t").alias("o"), "p"), [*KEYS, "o"]).groupBy(*KEYS, "t").agg(F.sum(F.col("n") * F.col("p")).alias("near"))
+        moved = moving.join(near, [*KEYS, "t"]).withColumn("ap", F.col("deg") * F.col("p") - F.col("near"))
+        prod = lambda a, b: F.sum(F.col(a) * F.col(b))
+        sums = moved.groupBy(*KEYS).agg(prod("p", "ap").alias("pap"), prod("r", "r").alias("now"), prod("r", "ap").alias("rap"), prod("ap", "ap").alias("apap"))
+        step = F.when(F.col("pap") > 0, F.col("now") / F.col("pap")).otherwise(0.0)
+        left = F.greatest(F.col("now") - 2 * F.col("a") * F.col("rap") + F.col("a") * F.col("a") * F.col("apap"), zero)
+        sums = sums.withColumn("a", step).select(*KEYS, "now", "a", F.when(F.col("now") > 0, left / F.col("now")).otherwise(0.0).alias("turn"))
+        rest = F.col("r") - F.col("a") * F.col("ap")
+        moving = pinned(moved.join(sums, KEYS).select(*KEYS, "t", "deg", (F.col("x") + F.col("a") * F.col("p")).alias("x"), rest.alias("r"), (rest + F.col("turn") * F.col("p")).alias("p"), "rr0", F.col("now").alias("rr")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def latest_per_column(snaps: DataFrame, keys: list[str], at: str, columns: list[str]) -> DataFrame:

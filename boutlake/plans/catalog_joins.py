@@ -304,6 +304,19 @@ def _(spark, d):
     return g.agg(F.sum("n").alias("n_rows"), F.count_if(F.abs(F.col("m") - 1000) > 1e-6).cast("int").alias("n_violations"))
 
 
+_pools = "men_women, Season"
+fx.SQL["elo_games"] = f"SELECT g.*, w.i AS wi, l.i AS li, row_number() OVER (PARTITION BY g.men_women, g.Season ORDER BY DayNum, _seq) AS n FROM game_raw g JOIN elo_teams w ON w.men_women = g.men_women AND w.Season = g.Season AND w.TeamID = WTeamID JOIN elo_teams l ON l.men_women = g.men_women AND l.Season = g.Season AND l.TeamID = LTeamID"
+fx.SQL["elo_teams"] = f"SELECT *, row_number() OVER (PARTITION BY {_pools} ORDER BY TeamID) AS i FROM (SELECT DISTINCT {_pools}, unnest([WTeamID, LTeamID]) AS TeamID FROM game_raw)"
+_won = "100.0 * (1.0 - 1.0 / (1.0 + 10.0 ** ((e[li] - e[wi]) / 400.0)))"
+_elo_loop = f"WITH RECURSIVE g AS MATERIALIZED (SELECT {_pools}, n, wi, li FROM elo_games), s AS (SELECT {_pools}, 0::BIGINT AS n, list_transform(range(count(*)), lambda x: 1000.0::DOUBLE) AS e FROM elo_teams GROUP BY ALL UNION ALL SELECT {_pools}, n, list_transform(e, lambda x, i: CASE WHEN i = wi THEN x + delta WHEN i = li THEN x - delta ELSE x END) FROM (SELECT g.men_women, g.Season, g.n, wi, li, e, {_won} AS delta FROM s JOIN g ON g.men_women = s.men_women AND g.Season = s.Season AND g.n = s.n + 1)) SELECT {_pools}, e FROM s QUALIFY n = max(n) OVER (PARTITION BY {_pools})"
+
+
+@query("w2_season_elo_values", "elo_games", f"SELECT t.men_women, t.Season, t.TeamID, e[i] AS Elo FROM elo_teams t JOIN ({_elo_loop}) f ON f.men_women = t.men_women AND f.Season = t.Season", "Elo")
+def _(spark, d):
+    """End-of-season ratings, game after game."""
+    return history.season_elo(fx.game_raw(spark, d))
+
+
 @query("w3_games_before", "games_before", "SELECT _seq, side, TeamID, games_asof FROM games_before")
 def _(spark, d):
     return history.games_before(fx.game_raw(spark, d)).select("_seq", "side", "TeamID", "games_asof")

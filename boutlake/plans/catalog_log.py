@@ -33,10 +33,23 @@ def _efficiency_sql(prefix: str, source: str, keys: str, rounds: int) -> dict[st
     return out
 
 
+def _converged_sql(prefix: str, keys: str) -> dict[str, str]:
+    """The fixed point itself from the games and start of ``_efficiency_sql``: rounds until a group's largest change is below 1e-4, at most 50; settled groups stay as they are."""
+    mine, g_keys = keys.split(", "), ", ".join(f"g.{x}" for x in keys.split(", "))
+    on = " AND ".join(f"{{a}}.{k} = {{b}}.{k}" for k in mine)
+    own, opp = on.format(a="m", b="g") + " AND m.t = g.t", on.format(a="r", b="g") + " AND r.t = g.o"
+    inner = f"SELECT {g_keys}, g.t, avg(g.oe / greatest(coalesce(r.AdjDE, m.lg), 1) * m.lg) AS n_oe, avg(g.de / greatest(coalesce(r.AdjOE, m.lg), 1) * m.lg) AS n_de, any_value(m.AdjOE) AS AdjOE, any_value(m.AdjDE) AS AdjDE, any_value(m.tempo) AS tempo, any_value(m.lg) AS lg, any_value(m.lgt) AS lgt, any_value(m.k) AS k FROM games g JOIN steps m ON {own} LEFT JOIN steps r ON {opp} WHERE m.k < 50 AND m.change >= 1e-4 GROUP BY {g_keys}, g.t"
+    scaled = f"SELECT {keys}, t, n_oe * lg / greatest(avg(n_oe) OVER w, 1) AS n_oe, n_de * lg / greatest(avg(n_de) OVER w, 1) AS n_de, AdjOE, AdjDE, tempo, lg, lgt, k FROM ({inner}) WINDOW w AS (PARTITION BY {keys})"
+    step = f"SELECT {keys}, t, n_oe, n_de, tempo, lg, lgt, max(greatest(abs(n_oe - AdjOE), abs(n_de - AdjDE))) OVER (PARTITION BY {keys}), k + 1 FROM ({scaled})"
+    loop = f"WITH RECURSIVE games AS MATERIALIZED (SELECT {keys}, t, o, oe, de FROM {prefix}g), steps({keys}, t, AdjOE, AdjDE, tempo, lg, lgt, change, k) AS (SELECT {keys}, t, AdjOE, AdjDE, tempo, lg, lgt, 'inf'::DOUBLE, 0 FROM {prefix}0 UNION ALL {step}) SELECT {keys}, t, AdjOE, AdjDE, k AS iters FROM steps QUALIFY k = max(k) OVER (PARTITION BY {keys})"
+    return {f"{prefix}conv": f"SELECT {keys}, TeamID, l.AdjOE, l.AdjDE, l.AdjOE - l.AdjDE AS AdjEM, x.AdjTempo, l.iters FROM {prefix}x x JOIN ({loop}) l USING ({keys}) WHERE l.t = x.TeamID"}
+
+
 CUTS = [35, 70, 105, 133]
 fx.SQL |= _efficiency_sql("eff", "reg", "men_women, Season", 3)
 fx.SQL["reg_cuts"] = f"SELECT reg.*, cut::INT AS cut FROM reg, (SELECT unnest({CUTS}) AS cut) WHERE DayNum < cut"
 fx.SQL |= _efficiency_sql("cuts", "reg_cuts", "men_women, Season, cut", 3)
+fx.SQL |= _converged_sql("eff", "men_women, Season") | _converged_sql("cuts", "men_women, Season, cut")
 _mean = "sum({0}::DECIMAL(18, 9))::DOUBLE / count({0})".format
 _avg = ", ".join(f"{_mean(f'T1_{c}')} AS avg_{c}, {_mean(f'T2_{c}')} AS avg_opp_{c}" for c in BOX)
 fx.SQL["avgs"] = f"SELECT men_women, Season, T1_TeamID AS TeamID, {_mean('PointDiff')} AS avg_PointDiff, {_avg} FROM reg GROUP BY ALL"
@@ -471,6 +484,12 @@ def _(spark, d):
     return teams.adjusted_efficiency(fx.reg(spark, d), rounds=3)
 
 
+@query("a5_adjusted_efficiency_converged", "effconv", "SELECT * FROM effconv", EFF)
+def _(spark, d):
+    """The fixed point to its tolerance, with the rounds that each season took."""
+    return teams.adjusted_efficiency(fx.reg(spark, d))
+
+
 @query("a5_fixed_point", "reg", "SELECT (SELECT count(*) FROM (SELECT DISTINCT men_women, Season, T1_TeamID FROM reg)) AS n_rows, 0 AS n_violations")
 def _(spark, d):
     """The tolerance-based fixed point: one more round must move nobody by more than ten times the tolerance."""
@@ -490,6 +509,14 @@ def _(spark, d):
     return teams.efficiency_snapshots(fx.reg(spark, d), fx.cal(spark, d), CUTS, rounds=3)
 
 
+DATED = f"SELECT Season, TeamID, make_date(Season, 1, 1) + cut AS ArchiveDate, {', '.join(f'{c} AS adjself_{c}_asof' for c in EFF.split())} FROM cutsconv"
+
+
+@query("a6_efficiency_snapshots_converged", "cutsconv", DATED, ADJ)
+def _(spark, d):
+    return teams.efficiency_snapshots(fx.reg(spark, d), fx.cal(spark, d), CUTS)
+
+
 @query("a7_least_squares_quality", "reg", "SELECT count(*) AS n_rows, 0 AS n_violations FROM (SELECT DISTINCT men_women, Season, T1_TeamID FROM reg)")
 def _(spark, d):
     """Normal equations hold for every team, and a season's coefficients sum to 0."""

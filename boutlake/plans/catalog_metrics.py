@@ -136,7 +136,7 @@ def _(spark, d):
 @query("a25_quantile_bins", "plog", "SELECT len(list_filter(e, lambda x: x < Total)) AS bin, count(*) AS n, avg(Margin) AS mean_margin FROM plog, (SELECT quantile_cont(Total, [0.25, 0.5, 0.75]) AS e FROM plog) GROUP BY bin", "mean_margin")
 def _(spark, d):
     p = fx.plog(spark, d)
-    e = p.agg(F.percentile("Total", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("e"))
+    e = metrics.exact_quantiles(p, "Total", [0.25, 0.5, 0.75]).withColumnRenamed("q", "e")
     b = F.size(F.filter("e", lambda x: x < F.col("Total"))).cast("long")
     return p.crossJoin(F.broadcast(e)).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("Margin").alias("mean_margin"))  # one row of edges
 
@@ -167,7 +167,7 @@ def _(spark, d):
     """Loss by seed gap and outcome; what the worst quarter looks like."""
     loss = (F.col("pred_prob") - F.col("Outcome")) * (F.col("pred_prob") - F.col("Outcome"))
     p = fx.plog(spark, d).withColumn("loss", loss)
-    q = p.agg(F.percentile("loss", F.lit(0.75)).alias("q"))
+    q = metrics.exact_quantiles(p, "loss", [0.75]).select(F.col("q")[0].alias("q"))
     g = p.join(seed_gap(spark, d), "_seq").where("sd IS NOT NULL").crossJoin(F.broadcast(q))  # one row
     gap = F.when(F.abs("sd") <= 3, "close").when(F.abs("sd") <= 8, "mid").otherwise("wide")
     top = F.col("loss") >= F.col("q")

@@ -93,6 +93,17 @@ def _(spark, d):
     return files.read_csv(spark, at, "ID string, Pred double")
 
 
+@query("s7_submissions_by_season", "seeds", "SELECT a.Season, a.Season || '_' || a.TeamID || '_' || b.TeamID AS ID, 1.0 / (1.0 + exp((a.r - b.r) / 16.0)) AS Pred FROM seeds a JOIN seeds b ON a.Season = b.Season AND a.men_women = b.men_women AND a.TeamID < b.TeamID WHERE a.r <= 68 AND b.r <= 68", "Pred")
+def _(spark, d):
+    """Every season's field, each pair predicted from the two places in it, written and read back."""
+    at = landing(spark)
+    place = fx.seeds(spark, d).select("Season", "TeamID", "r")
+    pairs = match.field_pairs(field(spark, d)).join(place.withColumnsRenamed({"TeamID": "A_TeamID", "r": "a"}), ["Season", "A_TeamID"]).join(place.withColumnsRenamed({"TeamID": "B_TeamID", "r": "b"}), ["Season", "B_TeamID"])
+    pred = 1.0 / (1.0 + F.exp((F.col("a") - F.col("b")) / 16.0))
+    files.write_submissions(pairs.select("Season", F.concat_ws("_", "Season", "A_TeamID", "B_TeamID").alias("ID"), pred.alias("Pred")), at, "Season", "ID")
+    return files.read_csv(spark, at, "ID string, Pred double, Season int")
+
+
 @query("s8_published_json", "plog", "SELECT Season AS season, count(*) AS n, count(DISTINCT DayNum) AS n_dates, (SELECT max(Season) FROM plog) AS latest FROM plog GROUP BY Season")
 def _(spark, d):
     """Nested JSON by season and date, an index and a pointer, read back."""

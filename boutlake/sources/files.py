@@ -70,6 +70,11 @@ def write_one_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_submissions(df: DataFrame, path: str, by: str, order: str) -> None:
+    """Submissions of several seasons: CSV files in a folder per value of ``by``, sorted within; each written by a task of its own."""
+    df.repartition(by).sortWithinPartitions(by, order).write.mode("overwrite").partitionBy(by).option("header", True).csv(path)
+
+
 def write_published(df: DataFrame, path: str, by: tuple[str, ...] = ("season",)) -> None:
     """Nested JSON, a line per season and date, then the index, then the pointer, so that a reader never follows a pointer to nothing.
 

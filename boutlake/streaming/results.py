@@ -7,7 +7,6 @@ and is put right by the next batch rebuild. ``late_rows`` separates such games.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -181,8 +180,9 @@ def refresh_batch(batch: DataFrame, epoch: int, calendar: DataFrame, cuts: list[
     earlier = spark.read.parquet(out).where(F.col("epoch") < epoch).select("Season", "ArchiveDate").distinct()
     done = {(r.Season, r.cut) for r in earlier.join(F.broadcast(calendar), "Season").select("Season", F.datediff("ArchiveDate", "DayZero").alias("cut")).collect()}  # seasons x cuts rows
     new = {s: [c for c in cuts if (c <= day or s < max(last)) and (s, c) not in done] for s, day in last.items()}
-    parts = [efficiency_snapshots(log.where(F.col("Season") == s), calendar, own, rounds) for s, own in sorted(new.items()) if own]
-    reduce(DataFrame.unionByName, parts, nothing).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+    new = {s: own for s, own in sorted(new.items()) if own}
+    told = efficiency_snapshots(log.where(F.col("Season").isin(list(new))), calendar, cuts, rounds, only=new) if new else nothing
+    told.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
 
 def refresh_snapshots(stream: DataFrame, calendar: DataFrame, cuts: list[int], store: str, out: str, rounds: int | None = None):
