@@ -5,6 +5,9 @@ vector v gives the mask that drops the positions whose vectors are orthogonal to
 over GF(2). Any r positions span less than the whole space, so some v is orthogonal
 to all of them: two fingerprints at distance r or less agree under that mask, and
 collide in its table. Nothing within the radius is missed.
+
+Links within the radius may be checked exactly afterwards, by the similarity of the
+two texts' sets of word shingles.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boutlake.llm.common import hot_keys, join_hot, pinned
+from boutlake.llm.common import hot_keys, join_hot, lanes, pinned, quoted
 
 BITS = 64
 BLOCK = 1024
@@ -35,15 +38,16 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id, fp) of every whole text; fp holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, also: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp) of every whole text, and the columns ``also``; fp holds the 64 bits as a signed long."""
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], names=[id_col, "fp", *also])
 
-    return docs.select(id_col, F.col(text_col)).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in also)
+    return docs.select(id_col, F.col(text_col), *also).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long{kept}")
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
@@ -62,39 +66,43 @@ def table_keys(fp: Column, radius: int) -> Column:
 
 
 def spanning_links(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (i, j) that connect just what the graph of distances <= radius among ``fp`` connects; fewer than ``fp`` has."""
+    """Links (i, j), each within ``radius``, that connect just what all pairs within it connect: at any smaller radius too.
+
+    They are a minimum spanning forest of the distances, grown from one fingerprint
+    after the other, so there are fewer of them than of fingerprints.
+    """
     n = len(fp)
-    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius
-    label = np.arange(n)
-    while True:
-        low = np.where(near, label[None, :], n).min(axis=1)
-        low = np.minimum(label, low)
-        low = low[low]
-        if (low == label).all():
-            break
-        label = low
-    moved = np.flatnonzero(label != np.arange(n))
-    return moved, label[moved]
+    apart = np.bitwise_count(fp[:, None] ^ fp[None, :])
+    apart[apart > radius] = BITS + 1
+    outside, least, parent = np.ones(n, bool), np.full(n, BITS + 1, apart.dtype), np.full(n, -1)
+    for _ in range(n):
+        at = int(np.where(outside, least, BITS + 2).argmin())
+        outside[at] = False
+        closer = outside & (apart[at] < least)
+        least[closer], parent[closer] = apart[at][closer], at
+    linked = np.flatnonzero(parent >= 0)
+    return linked, parent[linked]
 
 
 def links(nodes: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) of node ids that connect all distinct fingerprints (id, fp) within ``radius``, transitively.
+    """Links (a, b) of node ids, each within ``radius``, that connect all nodes (id, fp) within ``radius``, transitively.
 
     A bucket of a table with more than ``block`` fingerprints is cut into blocks
     by a hash of the fingerprint, and every pair of its blocks is compared in a
     group of its own, so no task holds a bucket whole and no pair is left out.
     Only spanning links leave a group, never all pairs.
     """
-    keyed = nodes.select("id", "fp", F.explode(table_keys(F.col("fp"), radius)).alias("k")).select("id", "fp", "k.t", "k.key")
+    dealt = nodes.repartition(lanes(nodes.sparkSession), "id")  # a node becomes a row for each table: small tasks before that
+    keyed = dealt.select("id", "fp", F.explode(table_keys(F.col("fp"), radius)).alias("k")).select("id", "fp", "k.t", "k.key")
     sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
     many = keyed.join(sizes, ["t", "key"])
     mine = F.pmod(F.xxhash64("fp", F.lit(77)), F.col("blocks")).cast("int")
-    dealt = (
+    blocks = (
         many.withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("t", "key", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), F.struct("fp", "id").alias("x"))
     )
-    groups = dealt.groupBy("t", "key", "b1", "b2").agg(F.collect_list("x").alias("xs")).where(F.size("xs") > 1).select("xs")
+    groups = blocks.groupBy("t", "key", "b1", "b2").agg(F.collect_list("x").alias("xs")).where(F.size("xs") > 1).select("xs")
     id_type = nodes.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -114,7 +122,8 @@ def links(nodes: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
                 i, j = spanning_links(fp[lo:hi], radius)
                 out_a.append(ids[lo:hi][i])
                 out_b.append(ids[lo:hi][j])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+            id_arrow = values.field(1).type
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), id_arrow) for x in (out_a, out_b)], names=["a", "b"])
 
     found = groups.mapInArrow(run, f"a {id_type}, b {id_type}")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -152,22 +161,64 @@ def components(edges: DataFrame) -> DataFrame:
     return at
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_sets(texts: DataFrame, words: int = 5) -> DataFrame:
+    """(node, n, hashes) of every whole text (node, text): its distinct word shingles as XXH64, n of them.
+
+    Words are those of ``fingerprint``; fewer words than ``words`` are one shingle, none give an empty set.
+    """
+
+    def run(batches):
+        for b in batches:
+            sets = []
+            for t in b.column(1):
+                w = (t.as_py() or "").encode("utf-8").lower().split()
+                grams = {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else ()
+                sets.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(g) for g in grams), np.uint64, len(grams))).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "n", "hashes"])
+
+    return texts.select("node", "text").mapInArrow(run, f"node {texts.schema['node'].dataType.simpleString()}, n int, hashes array<long>")
+
+
+def alike(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The links (a, b) whose shingle sets have a Jaccard similarity of ``least`` or more; two empty sets are equal."""
+    one, two = (sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("hashes").alias(f"h_{c}")) for c in "ab")
+    # no more than the smaller set can be shared, which spares most pairs of unequal lengths
+    both = edges.join(one, "a").join(two, "b").where(F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b"))
+    shared = F.size(F.array_intersect("h_a", "h_b"))
+    return both.where((F.col("n_a") + F.col("n_b") == 0) | (shared >= F.lit(least) * (F.col("n_a") + F.col("n_b") - shared))).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, similar_words: int = 5) -> DataFrame:
     """(id, fingerprint as 16 lowercase hex digits, component_id) of every row.
 
     Fingerprints at ``radius`` or fewer differing bits link; component_id is the
     smallest id that links reach, the row's own included. Texts without words
     (and null texts) have fingerprint 0 and link like any other. Repeated rows
     are all returned; a null id takes part, but is never a component_id unless
-    its component has no other id. Copies are folded to one fingerprint before any
+    its component has no other id. Copies are folded to one node before any
     bucket is made.
+
+    With ``similarity``, nodes are distinct texts instead of distinct fingerprints, and
+    a link counts only if the Jaccard similarity of the texts' sets of ``similar_words``
+    words is that or more, exactly. The links checked are minimum spanning forests of
+    the buckets, so each text is compared with its nearest fingerprints rather than with all.
     """
-    fps = pinned(fingerprints(docs, id_col, text_col, words).withColumnRenamed(id_col, "id"))
-    # ids of nodes are the fingerprints themselves: every distinct one is one node
-    nodes = pinned(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
-    reached = components(links(nodes.select(F.col("fp").alias("id"), "fp"), radius))
-    known = reached.withColumnRenamed("id", "fp").join(nodes, "fp")
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
+    if similarity is None:
+        fps = pinned(fingerprints(rows, "id", "text", words).withColumn("node", F.col("fp")))
+    else:
+        rows = rows.withColumn("node", F.unhex(F.md5(F.coalesce("text", F.lit("")))))  # 16 bytes, so that no two texts meet in one node
+        fps = pinned(fingerprints(rows, "id", "text", words, ("node",)))
+    nodes = pinned(fps.groupBy("node").agg(F.min("fp").alias("fp"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
+    edges = links(nodes.select(F.col("node").alias("id"), "fp"), radius)
+    if similarity is not None:
+        edges = pinned(edges)
+        ends = pinned(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        texts = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+        edges = alike(edges, pinned(shingle_sets(texts, similar_words)), similarity)
+    reached = components(edges)
+    known = reached.withColumnRenamed("id", "node").join(nodes, "node")
     least = known.groupBy("rep").agg(F.min("least").alias("component_id"))
-    named = nodes.join(known.select("fp", "rep").join(least, "rep").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    rows = join_hot(fps, pinned(named), hot_keys(nodes, "fp", fps.count()), "fp")
-    return rows.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = nodes.join(known.select("node", "rep").join(least, "rep").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
+    out = join_hot(fps, pinned(named), hot_keys(nodes, "node", fps.count()), "node")
+    return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

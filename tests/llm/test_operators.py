@@ -553,6 +553,72 @@ def test_chains_and_hot_groups(spark, block):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values()))
 
 
+def similar(a: str | None, b: str | None) -> float:
+    def grams(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    x, y = grams(a), grams(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def edited_copies(groups: int = 60, seed: int = 12) -> list[str]:
+    """Texts of 60 to 300 words, each with up to five copies that differ by up to a twelfth of their words."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    out = []
+    for _ in range(groups):
+        base = rng.choices(vocabulary, k=rng.randrange(60, 300))
+        out.append(" ".join(base))
+        for _ in range(rng.randrange(0, 6)):
+            copy = list(base)
+            for _ in range(rng.randrange(1, max(2, len(copy) // 12))):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            out.append(" ".join(copy))
+    return out
+
+
+def test_similar_texts_by_brute_force(spark):
+    """No link below the similarity; what all pairs within radius and similarity connect is connected."""
+    texts = [*edited_copies(), None, "", " \n", "one", "ONE", "one two", *edited_copies(3)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, 6, similarity=0.8).collect()}
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    fp = [slow_fingerprint(t) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 6 and similar(texts[i], texts[j]) >= 0.8]
+    for i, j in near:
+        x, y = find(i), find(j)
+        root[max(x, y)] = min(x, y)
+    assert all(find(i) == find(c) for i, c in got.items())
+    assert sum(got[i] == find(i) for i in got) >= 0.98 * len(got)
+    far = [(i, j) for i in range(len(texts)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 6 and similar(texts[i], texts[j]) < 0.8]
+    assert len(near) > 40 and len(far) > 5 and any(got[i] != got[j] for i, j in far)
+
+
+def test_similar_texts_in_one_hot_group(spark):
+    """Thousands of copies and hundreds of near copies of one text are one component, whatever their ids."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    near = [" ".join(base[:k] + ["changed"] + base[k + 1 :]) for k in rng.sample(range(150), 120)]
+    texts = [" ".join(base)] * 3000 + near + ["something else entirely"]
+    docs = spark.createDataFrame([(5 if i % 3 else None, t, i) for i, t in enumerate(texts)], "doc_id long, text string, node int").repartition(7)
+    got = simhash.near_duplicates(docs, 6, similarity=0.8).groupBy("component_id").count().collect()
+    assert sorted(r["count"] for r in got)[-1] >= 3100 and sum(r["count"] for r in got) == len(texts)
+
+
+def test_no_similar_texts(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert simhash.near_duplicates(docs, 5, similarity=0.8).count() == 0
+    alone = spark.createDataFrame([(1, "a b c d e f g"), (2, "t u v w x y z")], docs.schema)
+    assert sorted(map(tuple, simhash.near_duplicates(alone, 5, similarity=0.8).select("doc_id", "component_id").collect())) == [(1, 1), (2, 2)]
+
+
 # --- bounds, hot keys and names
 
 
