@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boutlake.functions.scores import possessions
@@ -21,22 +24,32 @@ def games_before(games: DataFrame) -> DataFrame:
     return team_rows(games).select("_seq", "Season", "DayNum", "TeamID", "side", (F.row_number().over(w) - 1).cast("int").alias("games_asof"))
 
 
+#: What a side's rates are made of, from one game.
+FACTS = ("points", "points_against", "possessions", "possessions_against", "pace")
+
+
+def game_facts(own: str, other: str) -> dict[str, Column]:
+    """A game's facts for the side with the column prefix ``own``; pace is possessions in regular time."""
+    used = {s: possessions(*[F.col(s + c) for c in ("FGA", "OR", "TO", "FTA")]) for s in (own, other)}
+    regular = 40 / (40 + 5 * F.coalesce(F.col("NumOT"), F.lit(0)))
+    return dict(zip(FACTS, (F.col(f"{own}Score"), F.col(f"{other}Score"), used[own], used[other], used[own] * regular)))
+
+
 def rolling_rates(games: DataFrame, min_games: int = 3) -> DataFrame:
     """Season-to-date pace and points per 100 possessions before the day of each game, per side.
 
     A day's games count as simultaneous: the frame ends the day before. Games
     without box statistics are not counted. Below ``min_games`` everything is null.
     """
-    poss = {s: possessions(*[F.col(s + c) for c in ("FGA", "OR", "TO", "FTA")]) for s in "WL"}
-    length = (40 + 5 * F.coalesce(F.col("NumOT"), F.lit(0))) / 40.0
-    known = poss["W"].isNotNull() & poss["L"].isNotNull()
-    side = lambda k, a, b: F.struct(F.lit(k).alias("side"), F.col(f"{a}TeamID").alias("TeamID"), *[F.when(known, x).alias(n) for n, x in (("pf", F.col(f"{a}Score")), ("pa", F.col(f"{b}Score")), ("posf", poss[a]), ("posa", poss[b]), ("pace", poss[a] / length), ("one", F.lit(1)))])
+    side = lambda k, a, b: F.struct(F.lit(k).alias("side"), F.col(f"{a}TeamID").alias("TeamID"), *[c.alias(n) for n, c in game_facts(a, b).items()])
     rows = games.select("_seq", "men_women", "Season", "DayNum", F.explode(F.array(side(0, "W", "L"), side(1, "L", "W"))).alias("r")).select("_seq", "men_women", "Season", "DayNum", "r.*")
+    whole = reduce(and_, [F.col(c).isNotNull() for c in FACTS])
     w = Window.partitionBy("men_women", "Season", "TeamID").orderBy("DayNum").rangeBetween(Window.unboundedPreceding, -1)
-    sums = rows.select("_seq", "men_women", "Season", "DayNum", "side", "TeamID", *[F.sum(c).over(w).alias(c) for c in ("pf", "pa", "posf", "posa", "pace", "one")])
-    enough = (F.col("one") >= min_games) & (F.col("posf") > 0) & (F.col("posa") > 0)
-    oe, de = 100.0 * F.col("pf") / F.col("posf"), 100.0 * F.col("pa") / F.col("posa")
-    out = {"bs_Tempo_asof": F.col("pace") / F.col("one"), "bs_OE_asof": oe, "bs_DE_asof": de, "bs_NetEff_asof": oe - de}
+    before = {c: F.sum(F.when(whole, F.col(c))).over(w) for c in FACTS} | {"counted": F.count_if(whole).over(w)}
+    sums = rows.select("_seq", "men_women", "Season", "DayNum", "side", "TeamID", *[c.alias(n) for n, c in before.items()])
+    enough = (F.col("counted") >= min_games) & (F.col("possessions") > 0) & (F.col("possessions_against") > 0)
+    oe, de = 100.0 * F.col("points") / F.col("possessions"), 100.0 * F.col("points_against") / F.col("possessions_against")
+    out = {"bs_Tempo_asof": F.col("pace") / F.col("counted"), "bs_OE_asof": oe, "bs_DE_asof": de, "bs_NetEff_asof": oe - de}
     return sums.select("_seq", "men_women", "Season", "DayNum", "side", "TeamID", *[F.when(enough, c).alias(n) for n, c in out.items()])
 
 

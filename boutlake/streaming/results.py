@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from boutlake.functions.scores import possessions
+from boutlake.operators.history import FACTS, game_facts
 from boutlake.operators.teams import efficiency_snapshots
 
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
@@ -33,86 +34,80 @@ def late_rows(batch: DataFrame, watermark) -> tuple[DataFrame, DataFrame]:
 
 
 class _ByDay(StatefulProcessor):
-    """Holds rows until the watermark has passed their day, then works off the days in order."""
+    """Holds rows by their day until the watermark has passed it, then works off the days in order. A timer reads its own days' rows only."""
 
     columns: list[str] = []
     schema = ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", self.schema)
+        self.held = handle.getMapState("held", "day long", f"games array<struct<{self.schema}>>")
         self.prepare(handle)
 
     def prepare(self, handle: StatefulProcessorHandle) -> None:
         raise NotImplementedError
 
-    def days(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+    def play(self, games: list[tuple]) -> Iterator[pd.DataFrame]:
+        """What is told of one day's ``games``, and the state after them."""
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            values = list(pdf[self.columns].itertuples(index=False, name=None))
-            self.held.appendList(values)
-            for day in {int(at.value // 1_000_000) for at in pdf["at"]}:
-                self.handle.registerTimer(day + 1)
+            for day, own in pdf.groupby("ms"):
+                new = [tuple(x.tolist() if isinstance(x, np.ndarray) else x for x in r) for r in own[self.columns].itertuples(index=False, name=None)]
+                waiting = [tuple(g) for g in self.held.getValue((day,))[0]] if self.held.containsKey((day,)) else []
+                self.held.updateValue((day,), (waiting + new,))
+                self.handle.registerTimer(int(day) + 1)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs() - 1
-        rows = [tuple(r) for r in self.held.get()]
-        day = self.columns.index("ms")
-        now, later = [r for r in rows if r[day] <= due], [r for r in rows if r[day] > due]
-        if not now:
-            return
-        if later:
-            self.held.put(later)
-        else:
-            self.held.clear()
-        yield from self.days(sorted(now))
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        for day in sorted(d for (d,) in list(self.held.keys()) if d < now):
+            games = sorted(tuple(g) for g in self.held.getValue((day,))[0])
+            self.held.removeKey((day,))
+            yield from self.play(games)
 
     def close(self) -> None:
         pass
 
 
 class RatesProcessor(_ByDay):
-    """Season-to-date sums of one team; each game is told what was known before its day."""
+    """A team's season so far as one vector of totals; each game is told the rates of the days before it."""
 
-    columns = ["ms", "seq", "side", "pf", "pa", "posf", "posa", "pace"]
-    schema = "ms long, seq long, side int, pf double, pa double, posf double, posa double, pace double"
-    out = "men_women int, Season int, TeamID int, seq long, side int, bs_Tempo_asof double, bs_OE_asof double, bs_DE_asof double, bs_NetEff_asof double"
+    columns = ["seq", "side", "facts"]
+    schema = "seq: bigint, side: int, facts: array<double>"
+    told = ["bs_Tempo_asof", "bs_OE_asof", "bs_DE_asof", "bs_NetEff_asof"]
+    out = "men_women int, Season int, TeamID int, seq long, side int, " + ", ".join(f"{c} double" for c in told)
 
     def __init__(self, min_games: int = 3):
         self.min_games = min_games
 
     def prepare(self, handle) -> None:
-        self.sums = handle.getValueState("sums", "pf double, pa double, posf double, posa double, pace double, n long")
+        self.season = handle.getValueState("season", "totals array<double>, counted long")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         for pdf in super().handleExpiredTimer(key, timerValues, expiredTimerInfo):
             yield pdf.assign(men_women=key[0], Season=key[1], TeamID=key[2])[[c.split()[0] for c in self.out.split(", ")]]
 
-    def days(self, rows):
-        have = self.sums.get() if self.sums.exists() else (0.0, 0.0, 0.0, 0.0, 0.0, 0)
-        pf, pa, posf, posa, pace, n = have
-        told = []
-        if n >= self.min_games and posf > 0 and posa > 0:
-            oe, de = 100.0 * pf / posf, 100.0 * pa / posa
-            rates = (pace / n, oe, de, oe - de)
-        else:
-            rates = (None, None, None, None)
-        for _, seq, side, *stats in rows:
-            told.append((seq, side, *rates))
-            if all(x is not None and x == x for x in stats):
-                pf, pa, posf, posa, pace, n = pf + stats[0], pa + stats[1], posf + stats[2], posa + stats[3], pace + stats[4], n + 1
-        self.sums.update((pf, pa, posf, posa, pace, n))
-        yield pd.DataFrame(told, columns=["seq", "side", "bs_Tempo_asof", "bs_OE_asof", "bs_DE_asof", "bs_NetEff_asof"]).astype({c: "float64" for c in ("bs_Tempo_asof", "bs_OE_asof", "bs_DE_asof", "bs_NetEff_asof")})
+    def rates(self, total: dict[str, float], counted: int) -> list[float]:
+        if counted < self.min_games or min(total["possessions"], total["possessions_against"]) <= 0:
+            return [np.nan] * 4
+        offence = 100.0 * total["points"] / total["possessions"]
+        defence = 100.0 * total["points_against"] / total["possessions_against"]
+        return [total["pace"] / counted, offence, defence, offence - defence]
+
+    def play(self, games):
+        totals, counted = self.season.get() if self.season.exists() else ([0.0] * len(FACTS), 0)
+        rates = self.rates(dict(zip(FACTS, totals)), counted)
+        facts = np.array([g[2] for g in games], dtype=float)  # an unknown fact is NaN
+        whole = facts[~np.isnan(facts).any(axis=1)]
+        self.season.update(((np.array(totals) + whole.sum(axis=0)).tolist(), counted + len(whole)))
+        yield pd.DataFrame({"seq": [g[0] for g in games], "side": [g[1] for g in games]}).assign(**dict(zip(self.told, rates)))
 
 
 def rolling_rates_stream(games: DataFrame, delay: str = "1 day") -> DataFrame:
     """Season-to-date rates per team kept as state, told before they are updated."""
-    poss = {s: possessions(*[F.col(s + c) for c in ("FGA", "OR", "TO", "FTA")]) for s in "WL"}
-    length = (40 + 5 * F.coalesce(F.col("NumOT"), F.lit(0))) / 40.0
-    side = lambda k, a, b: F.struct(F.lit(k).alias("side"), F.col(f"{a}TeamID").alias("TeamID"), F.col(f"{a}Score").alias("pf"), F.col(f"{b}Score").alias("pa"), poss[a].alias("posf"), poss[b].alias("posa"), (poss[a] / length).alias("pace"))
+    side = lambda k, a, b: F.struct(F.lit(k).alias("side"), F.col(f"{a}TeamID").alias("TeamID"), F.array(*[c.cast("double") for c in game_facts(a, b).values()]).alias("facts"))
     rows = games.withWatermark("at", delay).select("at", (F.unix_micros("at") / 1000).cast("long").alias("ms"), F.col("_seq").alias("seq"), "men_women", "Season", F.explode(F.array(side(0, "W", "L"), side(1, "L", "W"))).alias("r")).select("at", "ms", "seq", "men_women", "Season", "r.*")
     return rows.groupBy("men_women", "Season", "TeamID").transformWithStateInPandas(statefulProcessor=RatesProcessor(), outputStructType=RatesProcessor.out, outputMode="Append", timeMode="EventTime").withColumnRenamed("seq", "_seq")
 
@@ -120,8 +115,8 @@ def rolling_rates_stream(games: DataFrame, delay: str = "1 day") -> DataFrame:
 class EloProcessor(_ByDay):
     """Ratings of one pool; each game is told both ratings before it moves them."""
 
-    columns = ["ms", "seq", "Season", "WTeamID", "LTeamID"]
-    schema = "ms long, seq long, Season int, WTeamID int, LTeamID int"
+    columns = ["seq", "Season", "WTeamID", "LTeamID"]
+    schema = "seq: bigint, Season: int, WTeamID: int, LTeamID: int"
     out = "men_women int, seq long, WTeamID int, LTeamID int, W_Elo_pre double, L_Elo_pre double"
 
     def __init__(self, base: float = 1000.0, k: float = 60.0, width: float = 400.0, carry: float = 0.9):
@@ -140,9 +135,9 @@ class EloProcessor(_ByDay):
         elo, seen = self.ratings.getValue((team,))
         return elo if seen == season else self.base + self.carry * (elo - self.base)
 
-    def days(self, rows):
+    def play(self, games):
         told = []
-        for _, seq, season, w, l in rows:
+        for seq, season, w, l in games:
             a, b = self._now(w, season), self._now(l, season)
             told.append((seq, w, l, a, b))
             delta = self.k * (1.0 - 1.0 / (1.0 + 10.0 ** ((b - a) / self.width)))
