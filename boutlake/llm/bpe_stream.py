@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boutlake.llm.common import Recent, quoted
-from boutlake.llm.token_counts import SEGMENT, SPACES
 
 # The pattern of the byte-level pre-tokeniser; printable bytes that stand for themselves.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"  # the same for ASCII texts
 PLAIN = "!-~\xa1-\xac\xae-\xff"
 
-NEVER = 1 << 60
-FEW = 48
+NEVER, NONE = 1 << 60, np.iinfo(np.int32).max
+FEW, PART, TOGETHER = 48, 1 << 22, 4096
 
 
 def byte_letters() -> dict[str, int]:
@@ -54,6 +54,9 @@ class MergeList:
     def __init__(self, rules: list[tuple[int, int, int]], size: dict[int, int]):
         self.rank = {(a, b): (i, c) for i, (a, b, c) in reversed(list(enumerate(rules)))}
         self.size = size
+        pairs = np.array([a << 32 | b for a, b, _ in rules], np.int64)
+        self._pairs, self._rules = np.unique(pairs, return_index=True)
+        self._results = np.array([c for _, _, c in rules], np.int32)
         self.lookahead = self._sufficient(rules, size)
 
     @staticmethod
@@ -116,11 +119,57 @@ class MergeList:
         return [t for t in alive if t >= 0]
 
 
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rule of each pair, or NONE."""
+        key = a.astype(np.int64) << 32 | b
+        at = np.minimum(np.searchsorted(self._pairs, key), max(0, len(self._pairs) - 1))
+        return np.where(self._pairs[at] == key, self._rules[at], NONE).astype(np.int32) if len(self._pairs) else np.full(len(a), NONE, np.int32)
+
+    def merge_each(self, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``merge`` of many pieces at once, which lie one behind the other: tokens and lengths.
+
+        A round makes every piece's lowest rule wherever it applies; as a rule's result is only used by later rules, nothing lower can turn up in between.
+        """
+        piece = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        rank = np.full(len(tokens), NONE, np.int32)
+        rank[:-1] = self._ranks(tokens[:-1], tokens[1:])
+        rank[:-1][piece[1:] != piece[:-1]] = NONE
+        done = []
+        while len(tokens):
+            start = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
+            size = np.diff(np.r_[start, len(tokens)])
+            least = np.minimum.reduceat(rank, start)
+            if (least == NONE).any():
+                over = np.repeat(least == NONE, size)
+                done.append((piece[over], tokens[over]))
+                tokens, rank, piece, size, least = tokens[~over], rank[~over], piece[~over], size[least != NONE], least[least != NONE]
+                if not len(tokens):
+                    break
+            hit = np.flatnonzero(rank == np.repeat(least, size))
+            nth = np.arange(len(hit))
+            run = np.maximum.accumulate(np.where(np.r_[True, np.diff(hit) != 1], nth, 0))
+            hit = hit[(nth - run) % 2 == 0]  # of pairs that overlap (one token again and again) the first, third, ...
+            tokens[hit] = self._results[rank[hit]]
+            kept = np.ones(len(tokens), bool)
+            kept[hit + 1] = False
+            at = hit - np.arange(len(hit))
+            tokens, piece = tokens[kept], piece[kept]
+            rank = rank[kept]
+            near = np.zeros(len(tokens), bool)
+            near[at] = near[at[at > 0] - 1] = True
+            again = np.flatnonzero(near[:-1])
+            rank[at[at == len(tokens) - 1]] = NONE
+            rank[again] = np.where(piece[again] == piece[again + 1], self._ranks(tokens[again], tokens[again + 1]), NONE)
+        piece = np.concatenate([p for p, _ in done]) if done else piece
+        out = np.concatenate([t for _, t in done]) if done else tokens
+        return out[np.argsort(piece, kind="stable")], np.bincount(piece, minlength=len(lengths))
+
+
 class Transducer:
     """Bytes in, token ids out once they are stable. Holds at most ``held`` bytes, whatever the length of the input."""
 
     def __init__(self, merges: MergeList, byte_ids: list[int]):
-        self.merges, self.byte_ids = merges, byte_ids
+        self.merges, self.byte_ids, self._table = merges, byte_ids, np.array(byte_ids, np.int32)
         self.held = max(256, 8 * merges.lookahead)
         self.tail = b""
 
@@ -151,6 +200,22 @@ class Transducer:
     def encode(self, piece: bytes) -> list[int]:
         return [*chain.from_iterable(self.feed(piece)), *self.finish()]
 
+    def encode_each(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of every piece as little-endian 32-bit integers. Pieces that fit what is held end before any of them must be emitted; they are merged together, some at a time."""
+        out: list[bytes] = [b""] * len(pieces)
+        short = [i for i, p in enumerate(pieces) if len(p) <= self.held]
+        for i, p in enumerate(pieces):
+            if len(p) > self.held:
+                out[i] = np.array(self.encode(p), "<u4").tobytes()
+        for lo in range(0, len(short), TOGETHER):
+            some = short[lo : lo + TOGETHER]
+            tokens = self._table[np.frombuffer(b"".join([pieces[i] for i in some]), np.uint8)]
+            tokens, lengths = self.merges.merge_each(tokens, np.array([len(pieces[i]) for i in some], np.int64))
+            raw, ends = tokens.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(4 * lengths)]).tolist()
+            for i, a, b in zip(some, ends, ends[1:]):
+                out[i] = raw[a:b]
+        return out
+
 
 class TextMachine:
     """Token ids in, text out: an incremental machine from bytes to code points.
@@ -216,19 +281,17 @@ class TextMachine:
 class Codec:
     """Encoding and decoding of whole texts by a byte-level BPE file of the tokenizers library.
 
-    Texts are cut where white space follows a character that is none: the pattern always
-    starts a piece there, and no special token of the file holds white space, which is
-    checked. Special strings in a text are their token. Ids of segments met before are
-    remembered, in bounded memory.
+    Special strings in a text are their token, found first; between them the pattern cuts
+    pieces, each encoded on its own. Ids of pieces met before are remembered, in bounded memory.
     """
 
-    def __init__(self, vocabulary: str, max_segments: int = 400_000):
+    def __init__(self, vocabulary: str, max_pieces: int = 400_000):
         spec = json.loads(vocabulary)
         model, added = spec["model"], spec.get("added_tokens") or []
         before = spec.get("pre_tokenizer") or {}
         plain = model["type"] == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not spec.get("normalizer")
         odd = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
-        if not plain or odd or any(t["single_word"] or t["lstrip"] or t["rstrip"] or re.search(f"[{SPACES}]", t["content"]) for t in added):
+        if not plain or odd or any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
             raise ValueError("not a plain byte-level BPE file")
         letters, ids = byte_letters(), model["vocab"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -242,29 +305,39 @@ class Codec:
         by_byte = {b: ids[c] for c, b in letters.items()}
         self.fst = Transducer(MergeList(rules, dict(enumerate(map(len, self.tokens)))), [by_byte[b] for b in range(256)])
         self.machine = TextMachine(self.tokens)
-        self.find = regex.compile(PATTERN).findall
-        self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else lambda s: [s]
-        self.known = Recent(max_segments)
-
-    def _segment(self, segment: str) -> bytes:
-        ids = self.known.get(segment)
-        if ids is None:
-            out = []
-            for part in self.cut(segment):
-                if part in self.special:
-                    out.append(self.special[part])
-                else:
-                    for piece in self.find(part):
-                        out += self.fst.encode(piece.encode("utf-8"))
-            ids = np.array(out, "<u4").tobytes()
-            if len(segment) <= 64:
-                self.known.put(segment, ids)
-        return ids
+        self.find, self.find_ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
+        self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else lambda t: [t]
+        self.known = Recent(max_pieces)
+
+    def pieces(self, text: str) -> list[str]:
+        """The text cut into special strings and pieces of the pattern."""
+        parts = self.cut(text)
+        find = self.find_ascii if text.isascii() else self.find
+        return find(text) if len(parts) == 1 else [p for i, part in enumerate(parts) for p in ([part] if i % 2 else find(part))]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; pieces that are new are encoded together."""
+        cut = [self.pieces(t) for t in texts]
+        met = set().union(*cut)
+        known = self.known
+        if len(known.new) + len(met) > known.most:
+            known.new, known.old = {}, known.new
+        missing = met.difference(known.new, self.special)
+        long = {t: np.array([i], "<u4").tobytes() for t, i in self.special.items()}
+        new = []
+        for p in missing:
+            ids = known.old.get(p)
+            if ids is None:
+                new.append(p)
+            else:
+                known.new[p] = ids
+        for p, ids in zip(new, self.fst.encode_each([p.encode("utf-8") for p in new])):
+            (known.new if len(p) <= 64 else long)[p] = ids
+        get, rest = known.new.get, long.__getitem__
+        return [b"".join([get(p) or rest(p) for p in pieces]) for pieces in cut]
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        get, new = self.known.new.get, self._segment
-        return b"".join([get(s) or new(s) for s in SEGMENT.findall(text)])
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         return self.machine.decode(np.frombuffer(ids, "<u4"))
@@ -289,7 +362,14 @@ def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     def run(batches):
         codec = _codec(shared.value)
         for b in batches:
-            ids = [codec.encode(t.as_py() or "") for t in b.column(1)]
+            ids, texts, size = [], [], 0
+            for t in b.column(1):
+                texts.append(t.as_py() or "")
+                size += len(texts[-1])
+                if size >= PART:
+                    ids += codec.encode_all(texts)
+                    texts, size = [], 0
+            ids += codec.encode_all(texts)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["k", "n_tokens", "ids"])
 
     plain = docs.select(F.col(quoted(id_col)).alias("k"), F.col(quoted(text_col)).alias("x"))

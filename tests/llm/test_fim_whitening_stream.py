@@ -214,6 +214,8 @@ def test_stream_of_toy_merges():
         want = by_definition(merges, whole)
         raw = bytes(97 + t for t in whole)
         assert fst.encode(raw) == want == merges._merge_many(list(whole))
+        parts = [raw[i : i + n] for i, n in enumerate(rng.choices(range(1, 12), k=50))] + [raw]
+        assert [np.frombuffer(i, "<u4").tolist() for i in fst.encode_each(parts)] == [by_definition(merges, [b - 97 for b in p]) for p in parts]
         got, at = [], 0
         while at < len(raw):  # in parts of any length
             n = rng.randrange(1, 30)
