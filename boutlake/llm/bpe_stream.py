@@ -13,13 +13,13 @@ from __future__ import annotations
 
 import heapq
 import json
-import os
 import re
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +32,7 @@ ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0
 PLAIN = "!-~\xa1-\xac\xae-\xff"
 
 NEVER, NONE = 1 << 60, np.iinfo(np.int32).max
-FEW, PART, TOGETHER = 48, 1 << 22, 4096
+FEW, PART, TOGETHER = 48, 1 << 21, 4096
 
 
 def byte_letters() -> dict[str, int]:
@@ -278,14 +278,25 @@ class TextMachine:
         return "".join(out) + self.finish()
 
 
-class Codec:
-    """Encoding and decoding of whole texts by a byte-level BPE file of the tokenizers library.
+def token_bytes(spec: dict) -> list[bytes]:
+    """The bytes of each id of a parsed tokenizers file, special tokens included."""
+    letters, ids, special = byte_letters(), spec["model"]["vocab"], {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
+    out = [b""] * (max([*ids.values(), *special.values()]) + 1)
+    for token, i in ids.items():
+        out[i] = bytes(map(letters.__getitem__, token)) if all(c in letters for c in token) else token.encode("utf-8")
+    for token, i in special.items():
+        out[i] = token.encode("utf-8")
+    return out
+
+
+class Encoder:
+    """Encoding of whole texts by a byte-level BPE file of the tokenizers library.
 
     Special strings in a text are their token, found first; between them the pattern cuts
     pieces, each encoded on its own. Ids of pieces met before are remembered, in bounded memory.
     """
 
-    def __init__(self, vocabulary: str, max_pieces: int = 400_000):
+    def __init__(self, vocabulary: str, max_pieces: int = 200_000):
         spec = json.loads(vocabulary)
         model, added = spec["model"], spec.get("added_tokens") or []
         before = spec.get("pre_tokenizer") or {}
@@ -297,14 +308,9 @@ class Codec:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         rules = [(ids[a], ids[b], ids[a + b]) for a, b in pairs]
         self.special = {t["content"]: t["id"] for t in added}
-        self.tokens = [b""] * (max([*ids.values(), *self.special.values()]) + 1)
-        for token, i in ids.items():
-            self.tokens[i] = bytes(map(letters.__getitem__, token)) if all(c in letters for c in token) else token.encode("utf-8")
-        for token, i in self.special.items():
-            self.tokens[i] = token.encode("utf-8")
+        self.tokens = token_bytes(spec)
         by_byte = {b: ids[c] for c, b in letters.items()}
         self.fst = Transducer(MergeList(rules, dict(enumerate(map(len, self.tokens)))), [by_byte[b] for b in range(256)])
-        self.machine = TextMachine(self.tokens)
         self.find, self.find_ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
         self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else lambda t: [t]
         self.known = Recent(max_pieces)
@@ -339,14 +345,25 @@ class Codec:
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
-    def decode(self, ids: bytes) -> str:
-        return self.machine.decode(np.frombuffer(ids, "<u4"))
+
+@lru_cache(maxsize=1)
+def _encoder(vocabulary: str) -> Encoder:
+    return Encoder(vocabulary)
+
+
+@lru_cache(maxsize=1)
+def _machine(vocabulary: str) -> TextMachine:
+    return TextMachine(token_bytes(json.loads(vocabulary)))
 
 
-@lru_cache(maxsize=2)
-def _codec(vocabulary: str) -> Codec:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Codec(vocabulary)
+def parts_of(sizes: list[int], most: int = PART):
+    """(from, to) of runs of rows of about ``most`` in all."""
+    at = total = 0
+    for i, size in enumerate(sizes, 1):
+        total += size
+        if total >= most or i == len(sizes):
+            yield at, i
+            at, total = i, 0
 
 
 def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -360,17 +377,11 @@ def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        codec = _codec(shared.value)
+        encoder = _encoder(shared.value)
         for b in batches:
-            ids, texts, size = [], [], 0
-            for t in b.column(1):
-                texts.append(t.as_py() or "")
-                size += len(texts[-1])
-                if size >= PART:
-                    ids += codec.encode_all(texts)
-                    texts, size = [], 0
-            ids += codec.encode_all(texts)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["k", "n_tokens", "ids"])
+            for lo, hi in parts_of(pc.binary_length(b.column(1)).fill_null(0).to_pylist()):
+                ids = encoder.encode_all([t or "" for t in b.column(1)[lo:hi].to_pylist()])
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["k", "n_tokens", "ids"])
 
     plain = docs.select(F.col(quoted(id_col)).alias("k"), F.col(quoted(text_col)).alias("x"))
     return plain.mapInArrow(run, f"k {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids binary").withColumnRenamed("k", id_col)
@@ -385,10 +396,11 @@ def decode_ids(encoded: DataFrame, vocabulary: str) -> DataFrame:
     plain = kept.toDF(*names)
 
     def run(batches):
-        codec = _codec(shared.value)
+        machine = _machine(shared.value)
         for b in batches:
-            texts = [None if i is None else codec.decode(i) for i in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*names, "text"])
+            for lo, hi in parts_of(pc.binary_length(b.column(at)).fill_null(0).to_pylist()):
+                texts = [None if i is None else machine.decode(np.frombuffer(i, "<u4")) for i in b.column(at)[lo:hi].to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, pa.array(texts, pa.string())], names=[*names, "text"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
     return plain.mapInArrow(run, f"{fields}, text string").toDF(*kept.columns, "text")
