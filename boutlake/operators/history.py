@@ -24,15 +24,16 @@ def games_before(games: DataFrame) -> DataFrame:
     return team_rows(games).select("_seq", "Season", "DayNum", "TeamID", "side", (F.row_number().over(w) - 1).cast("int").alias("games_asof"))
 
 
-#: What a side's rates are made of, from one game.
-FACTS = ("points", "points_against", "possessions", "possessions_against", "pace")
+#: What a side's rates are made of, from one game, and the decimal places it is kept with: sums of decimals don't depend on the order of the games.
+FACTS = {"points": 3, "points_against": 3, "possessions": 3, "possessions_against": 3, "pace": 9}
 
 
 def game_facts(own: str, other: str) -> dict[str, Column]:
-    """A game's facts for the side with the column prefix ``own``; pace is possessions in regular time."""
-    used = {s: possessions(*[F.col(s + c) for c in ("FGA", "OR", "TO", "FTA")]) for s in (own, other)}
-    regular = 40 / (40 + 5 * F.coalesce(F.col("NumOT"), F.lit(0)))
-    return dict(zip(FACTS, (F.col(f"{own}Score"), F.col(f"{other}Score"), used[own], used[other], used[own] * regular)))
+    """A game's facts for the side with the column prefix ``own``, as decimals; pace is possessions in regular time."""
+    used = {s: possessions(*[F.col(s + c) for c in ("FGA", "OR", "TO", "FTA")]).cast("decimal(18,3)") for s in (own, other)}
+    pace = used[own].cast("double") * 8 / (8 + F.coalesce(F.col("NumOT"), F.lit(0)))
+    facts = (F.col(f"{own}Score"), F.col(f"{other}Score"), used[own], used[other], pace)
+    return {name: c.cast(f"decimal(18,{places})") for (name, places), c in zip(FACTS.items(), facts)}
 
 
 def rolling_rates(games: DataFrame, min_games: int = 3) -> DataFrame:
@@ -48,8 +49,9 @@ def rolling_rates(games: DataFrame, min_games: int = 3) -> DataFrame:
     before = {c: F.sum(F.when(whole, F.col(c))).over(w) for c in FACTS} | {"counted": F.count_if(whole).over(w)}
     sums = rows.select("_seq", "men_women", "Season", "DayNum", "side", "TeamID", *[c.alias(n) for n, c in before.items()])
     enough = (F.col("counted") >= min_games) & (F.col("possessions") > 0) & (F.col("possessions_against") > 0)
-    oe, de = 100.0 * F.col("points") / F.col("possessions"), 100.0 * F.col("points_against") / F.col("possessions_against")
-    out = {"bs_Tempo_asof": F.col("pace") / F.col("counted"), "bs_OE_asof": oe, "bs_DE_asof": de, "bs_NetEff_asof": oe - de}
+    total = {c: F.col(c).cast("double") for c in FACTS}
+    oe, de = 100.0 * total["points"] / total["possessions"], 100.0 * total["points_against"] / total["possessions_against"]
+    out = {"bs_Tempo_asof": total["pace"] / F.col("counted"), "bs_OE_asof": oe, "bs_DE_asof": de, "bs_NetEff_asof": oe - de}
     return sums.select("_seq", "men_women", "Season", "DayNum", "side", "TeamID", *[F.when(enough, c).alias(n) for n, c in out.items()])
 
 

@@ -146,15 +146,24 @@ def _(spark, d):
     return kept.groupBy("Season").agg(F.count(F.lit(1)).alias("n"), F.max("DayNum").alias("last_day"))
 
 
-ROLL_SQL = """SELECT g._seq, g.side, g.TeamID, CASE WHEN one >= 3 AND posf > 0 AND posa > 0 THEN pace / one END AS bs_Tempo_asof, CASE WHEN one >= 3 AND posf > 0 AND posa > 0 THEN 100.0 * pf / posf END AS bs_OE_asof, CASE WHEN one >= 3 AND posf > 0 AND posa > 0 THEN 100.0 * pa / posa END AS bs_DE_asof,
- CASE WHEN one >= 3 AND posf > 0 AND posa > 0 THEN 100.0 * pf / posf - 100.0 * pa / posa END AS bs_NetEff_asof FROM (SELECT _seq, side, TeamID, sum(pf) OVER w AS pf, sum(pa) OVER w AS pa, sum(posf) OVER w AS posf, sum(posa) OVER w AS posa, sum(posf / ((40 + 5 * NumOT) / 40.0)) OVER w AS pace, count(*) OVER w AS one
- FROM rollrows WINDOW w AS (PARTITION BY men_women, Season, TeamID ORDER BY DayNum RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) g"""
-_ps = {s: f"({s}FGA - {s}OR + {s}TO + 0.475 * {s}FTA)" for s in "WL"}
-fx.SQL["rollrows"] = " UNION ALL ".join(f"SELECT _seq, men_women, Season, DayNum, NumOT, {i} AS side, {a}TeamID AS TeamID, {a}Score AS pf, {b}Score AS pa, {_ps[a]} AS posf, {_ps[b]} AS posa FROM game_raw" for i, a, b in ((0, "W", "L"), (1, "L", "W")))
-fx.SQL["rolling"] = ROLL_SQL
+# a side's rates before a day: totals of decimals over its games of earlier days, once it has three
+_rates = {"bs_Tempo_asof": "pace", "bs_OE_asof": "offence", "bs_DE_asof": "defence", "bs_NetEff_asof": "offence - defence"}
+_total = ", ".join(f"sum({c}) OVER before AS {c}" for c in ("scored", "allowed", "used", "given", "even"))
+_known = "SELECT _seq, side, TeamID, {} FROM (SELECT *, even::DOUBLE / n AS pace, 100.0 * scored::DOUBLE / used::DOUBLE AS offence, 100.0 * allowed::DOUBLE / given::DOUBLE AS defence FROM ({})) x"
 
 
-@query("p11_upcoming_rows", "rollrows", "SELECT * FROM (" + ROLL_SQL.replace("FROM rollrows", "FROM (SELECT _seq, men_women, Season, DayNum, NumOT, side, TeamID, CASE WHEN _seq % 97 <> 0 THEN pf END AS pf, CASE WHEN _seq % 97 <> 0 THEN pa END AS pa, CASE WHEN _seq % 97 <> 0 THEN posf END AS posf, CASE WHEN _seq % 97 <> 0 THEN posa END AS posa FROM rollrows)").replace("count(*) OVER w", "count(posf) OVER w") + ") WHERE _seq % 97 = 0", "bs_Tempo_asof bs_OE_asof bs_DE_asof bs_NetEff_asof")
+def _rolling_sql(games: str) -> str:
+    sums = f"SELECT _seq, side, TeamID, count(even) OVER before AS n, {_total} FROM {games} WINDOW before AS (PARTITION BY men_women, Season, TeamID ORDER BY DayNum RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return _known.format(", ".join(f"CASE WHEN n >= 3 AND used > 0 AND given > 0 THEN {e} END AS {c}" for c, e in _rates.items()), sums)
+
+
+_ps = {s: f"({s}FGA - {s}OR + {s}TO + 0.475 * {s}FTA)::DECIMAL(18, 3)" for s in "WL"}
+fx.SQL["rollrows"] = " UNION ALL ".join(f"SELECT _seq, men_women, Season, DayNum, {i} AS side, {a}TeamID AS TeamID, {a}Score::DECIMAL(18, 3) AS scored, {b}Score::DECIMAL(18, 3) AS allowed, {_ps[a]} AS used, {_ps[b]} AS given, ({_ps[a]}::DOUBLE * 8 / (8 + NumOT))::DECIMAL(18, 9) AS even FROM game_raw" for i, a, b in ((0, "W", "L"), (1, "L", "W")))
+fx.SQL["rolling"] = _rolling_sql("rollrows")
+_played = ", ".join(f"CASE WHEN _seq % 97 <> 0 THEN {c} END AS {c}" for c in ("scored", "allowed", "used", "given", "even"))
+
+
+@query("p11_upcoming_rows", "rollrows", f"SELECT * FROM ({_rolling_sql(f'(SELECT * REPLACE ({_played}) FROM rollrows)')}) WHERE _seq % 97 = 0", "bs_Tempo_asof bs_OE_asof bs_DE_asof bs_NetEff_asof")
 def _(spark, d):
     """Games without a result, appended to the log: they see history and add nothing to it."""
     g = fx.game_raw(spark, d)

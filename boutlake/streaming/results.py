@@ -72,7 +72,10 @@ class _ByDay(StatefulProcessor):
 
 
 class RatesProcessor(_ByDay):
-    """A team's season so far as one vector of totals; each game is told the rates of the days before it."""
+    """A team's season so far as one vector of totals; each game is told the rates of the days before it.
+
+    Facts come as whole numbers of their last decimal place, so that totals are exact in any order.
+    """
 
     columns = ["seq", "side", "facts"]
     schema = "seq: bigint, side: int, facts: array<double>"
@@ -98,7 +101,7 @@ class RatesProcessor(_ByDay):
 
     def play(self, games):
         totals, counted = self.season.get() if self.season.exists() else ([0.0] * len(FACTS), 0)
-        rates = self.rates(dict(zip(FACTS, totals)), counted)
+        rates = self.rates({c: t / 10.0**places for (c, places), t in zip(FACTS.items(), totals)}, counted)
         facts = np.array([g[2] for g in games], dtype=float)  # an unknown fact is NaN
         whole = facts[~np.isnan(facts).any(axis=1)]
         self.season.update(((np.array(totals) + whole.sum(axis=0)).tolist(), counted + len(whole)))
@@ -107,7 +110,7 @@ class RatesProcessor(_ByDay):
 
 def rolling_rates_stream(games: DataFrame, delay: str = "1 day") -> DataFrame:
     """Season-to-date rates per team kept as state, told before they are updated."""
-    side = lambda k, a, b: F.struct(F.lit(k).alias("side"), F.col(f"{a}TeamID").alias("TeamID"), F.array(*[c.cast("double") for c in game_facts(a, b).values()]).alias("facts"))
+    side = lambda k, a, b: F.struct(F.lit(k).alias("side"), F.col(f"{a}TeamID").alias("TeamID"), F.array(*[(c * 10**FACTS[n]).cast("double") for n, c in game_facts(a, b).items()]).alias("facts"))
     rows = games.withWatermark("at", delay).select("at", (F.unix_micros("at") / 1000).cast("long").alias("ms"), F.col("_seq").alias("seq"), "men_women", "Season", F.explode(F.array(side(0, "W", "L"), side(1, "L", "W"))).alias("r")).select("at", "ms", "seq", "men_women", "Season", "r.*")
     return rows.groupBy("men_women", "Season", "TeamID").transformWithStateInPandas(statefulProcessor=RatesProcessor(), outputStructType=RatesProcessor.out, outputMode="Append", timeMode="EventTime").withColumnRenamed("seq", "_seq")
 
