@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from boutlake.tables import pinned
+
 
 def brier(p: str | Column, y: str | Column) -> Column:
     p, y = (F.col(x) if isinstance(x, str) else x for x in (p, y))
@@ -90,6 +92,30 @@ def fit_grid(df: DataFrame, by: list[str], loss_of, low: float, high: float, nam
     return found
 
 
+def bounded_minimum(df: DataFrame, by: list[str], loss_of, weight: str, low: Column, high: Column, points: int = 33, rounds: int = 4) -> DataFrame:
+    """(by, at, loss): per group, where between ``low`` and ``high`` (functions of the group) the weighted mean loss is least, by grids that close in.
+
+    A round is one aggregation over all groups at once with one sum for each point of
+    the grid, so rows are neither multiplied nor gathered; the next grid spans the best
+    point's neighbours. Groups (segments, a fixed few) are all that is ever joined.
+    Equal losses go to the smaller value; groups without weight are left out.
+    """
+    total = F.sum(weight)
+    span = df.groupBy(*by).agg(total.alias("_w")).where("_w > 0").withColumns({"_from": low, "_to": high}).drop("_w")
+    span = pinned(span.withColumns({"_low": F.col("_from"), "_step": (F.col("_to") - F.col("_from")) / (points - 1)}))
+    found = span
+    for _ in range(rounds):
+        same = reduce(lambda x, c: x & F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}")), by, F.lit(True))
+        at = df.alias("d").join(F.broadcast(found.alias("s")), same).select("d.*", "_from", "_to", "_low", "_step")  # a row per group
+        value = [F.col("_low") + F.col("_step") * i for i in range(points)]
+        sums = at.groupBy(*by, "_from", "_to", "_low", "_step").agg(*[(F.sum(F.col(weight) * loss_of(v)) / total).alias(f"_l{i}") for i, v in enumerate(value)])
+        best = F.array_min(F.array(*[F.struct(F.col(f"_l{i}").alias("loss"), v.alias("at")) for i, v in enumerate(value)]))
+        told = sums.select(*by, "_from", "_to", "_step", best.alias("b"))
+        lo, hi = F.greatest("_from", F.col("b.at") - F.col("_step")), F.least("_to", F.col("b.at") + F.col("_step"))
+        found = pinned(told.select(*by, "_from", "_to", lo.alias("_low"), ((hi - lo) / (points - 1)).alias("_step"), F.col("b.at").alias("at"), F.col("b.loss").alias("loss")))
+    return found.select(*by, "at", "loss")
+
+
 def _by_range(v: DataFrame, sums: dict[str, Column], buckets: int) -> tuple[DataFrame, DataFrame]:
     """Rows folded by value ``v`` with the named sums, each with its running sum ``to_*`` (itself included), and one row of all sums.
 

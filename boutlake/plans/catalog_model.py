@@ -9,11 +9,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from boutlake.functions import scores
+from boutlake.model import tournament
 from boutlake.model import training as tr
 from boutlake.operators import history, metrics, symmetric
 from boutlake.plans import fixtures as fx
 from boutlake.plans.catalog_joins import matchups
-from boutlake.plans.catalog_log import rolling_ab
+from boutlake.plans.catalog_log import rolling_ab, seed_numbers
 from boutlake.plans.registry import query
 from boutlake.tables import pinned
 
@@ -355,3 +356,72 @@ def _(spark, d):
     """Mean importances where the answer is known: the constant can split nothing."""
     models = tr.fold_models(venue_games(spark, d).where("Season < 2001"), ["constant", "A_home"], EXACT)
     return tr.importances(models, ["constant", "A_home"], spark).withColumn("folds", F.lit(len(models)).cast("long"))
+
+
+# --- leave-one-tournament-out as a whole: weights, in-fold calibrators, temperatures by segment, market blend
+
+_loo_weight = "CASE WHEN Season >= 1998 THEN 1.5 + (Season - 1998) / greatest(1, max(Season) OVER () - 1998)::DOUBLE * 1.5 ELSE 1.0 END"
+_fair = "ph / (ph + pv)"
+fx.SQL["tourney"] = f"""SELECT s._seq, s.Season, g.men_women, s.Outcome, s.A_home, s.Margin, w.w, abs(a.SeedNum - b.SeedNum) AS gap, coalesce(a.SeedNum = b.SeedNum, false) AS playin,
+ CASE WHEN s._seq % 3 = 0 THEN CASE WHEN i.home_id = CASE WHEN s.Outcome = 1 THEN WTeamID ELSE LTeamID END THEN {_fair} ELSE 1 - {_fair} END END AS v
+ FROM sided s JOIN game_raw g USING (_seq) JOIN (SELECT _seq, {_loo_weight} AS w FROM game_raw WHERE DayNum >= 134) w USING (_seq) LEFT JOIN implied i ON i._seq = s._seq
+ LEFT JOIN seednum a ON a.men_women = g.men_women AND a.Season = g.Season AND a.TeamID = CASE WHEN s.Outcome = 1 THEN WTeamID ELSE LTeamID END
+ LEFT JOIN seednum b ON b.men_women = g.men_women AND b.Season = g.Season AND b.TeamID = CASE WHEN s.Outcome = 1 THEN LTeamID ELSE WTeamID END"""
+#: each fold's regressor: weighted means by venue of the other seasons; and what its calibrator sees
+fx.SQL["lotom"] = "SELECT k.Season AS k, t.A_home, sum(t.w * t.Margin) / sum(t.w) AS pm, count(*) AS n, sum(t.Outcome) AS won FROM (SELECT DISTINCT Season FROM tourney) k JOIN tourney t ON t.Season <> k.Season GROUP BY k.Season, t.A_home"
+fx.SQL["lotoc0"] = "SELECT DISTINCT k, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM lotom"
+for _i in range(_STEPS):
+    fx.SQL[f"lotoc{_i + 1}"] = (
+        "SELECT k, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM ("
+        "SELECT k, a, b, sum((n * p - won) * pm) + a AS ga, sum(n * p - won) AS gb, sum(n * p * (1 - p) * pm * pm) + 1 AS haa, sum(n * p * (1 - p) * pm) AS hab, sum(n * p * (1 - p)) AS hbb FROM ("
+        f"SELECT c.k, c.a, c.b, o.pm, o.n, o.won, 1 / (1 + exp(-(c.a * o.pm + c.b))) AS p FROM lotoc{_i} c JOIN lotom o USING (k)) GROUP BY k, a, b)"
+    )
+fx.SQL["lotor"] = f"SELECT t.*, CASE men_women WHEN 0 THEN 'M' ELSE 'W' END || CASE WHEN NOT playin AND gap > CASE men_women WHEN 0 THEN 10 ELSE 8 END THEN '_wide' ELSE '_close' END AS segment, 1 / (1 + exp(-(c.a * m.pm + c.b))) AS raw FROM tourney t JOIN lotom m ON m.k = t.Season AND m.A_home = t.A_home JOIN lotoc{_STEPS} c ON c.k = t.Season"
+_heat = "1.0 / (1.0 + exp(-ln(raw / (1.0 - raw)) / {t}))"
+
+
+def _closing_grids(name: str, rows: str, key: str, loss: str, low: str, high: str, points: int = 33, rounds: int = 4) -> str:
+    """Registers grids that close in on the least weighted loss as CTEs name0, name1, ...; the last one has (key, t)."""
+    fx.SQL[f"{name}0"] = f"SELECT {key}, {low} AS lo, {high} AS hi, {low} AS low, ({high} - {low}) / {points - 1} AS step, 0.0::DOUBLE AS t FROM {rows} GROUP BY {key}"
+    for k in range(rounds):
+        each = f"SELECT g.{key}, lo, hi, step, low + step * i AS t, sum(w * {loss.format(t='(low + step * i)')}) / sum(w) AS l FROM {name}{k} g JOIN {rows} r ON r.{key} = g.{key}, range({points}) grid(i) GROUP BY ALL"
+        fx.SQL[f"{name}{k + 1}"] = f"SELECT {key}, lo, hi, greatest(lo, t - step) AS low, (least(hi, t + step) - greatest(lo, t - step)) / {points - 1} AS step, t FROM (SELECT {key}, lo, hi, step, arg_min(t, l) AS t FROM ({each}) GROUP BY ALL)"
+    return f"{name}{rounds}"
+
+
+fx.SQL["lotof"] = "SELECT segment, raw, Outcome, sum(w) AS w FROM lotor WHERE NOT playin GROUP BY ALL"
+_T_LAST = _closing_grids("lotot", "lotof", "segment", f"({_heat} - Outcome) ** 2", "(CASE WHEN segment LIKE '%wide' THEN 0.05 ELSE 0.5 END)::DOUBLE", "5.0::DOUBLE")
+fx.SQL["lotop"] = f"SELECT r.*, {_heat.format(t='coalesce(t, 1.0)')} AS p FROM lotor r LEFT JOIN {_T_LAST} USING (segment)"
+fx.SQL["lotov"] = "SELECT 1 AS one, p, v, Outcome, w FROM lotop WHERE v IS NOT NULL"
+_A_LAST = _closing_grids("lotoa", "lotov", "one", "({t} * p + (1 - {t}) * v - Outcome) ** 2", "0.0::DOUBLE", "1.0::DOUBLE", rounds=5)
+fx.SQL["lotoq"] = f"SELECT Season, playin, w, Outcome, coalesce(a.t * p + (1 - a.t) * v, p) AS p FROM lotop, {_A_LAST} a"
+
+
+def tournament_sides(spark, d):
+    """Tournament games from both sides with venue, seeds, season weight and, for a third of them, the market's chance."""
+    g = venue_games(spark, d).where("DayNum >= 134")
+    seed = seed_numbers(spark, d).select("men_women", "Season", "TeamID", "SeedNum")
+    teams = fx.game_raw(spark, d).select("_seq", "WTeamID", "LTeamID")
+    g = g.join(teams, "_seq").withColumn("B_TeamID", F.when(F.col("A_TeamID") == F.col("WTeamID"), F.col("LTeamID")).otherwise(F.col("WTeamID"))).drop("WTeamID", "LTeamID")
+    for s in "AB":
+        g = g.join(seed.withColumnsRenamed({"TeamID": f"{s}_TeamID", "SeedNum": f"{s}_Seed"}), ["men_women", "Season", f"{s}_TeamID"], "left")
+    top = g.agg(F.max("Season").alias("top"))
+    recent = 1.5 + (F.col("Season") - 1998) / F.greatest(F.lit(1), F.col("top") - 1998) * 1.5
+    g = g.crossJoin(F.broadcast(top)).withColumn("sample_weight", F.when(F.col("Season") >= 1998, recent).otherwise(1.0)).drop("top")  # one row
+    home, vis = (scores.implied_probability(F.col(c)) for c in ("home_ml", "vis_ml"))
+    m = fx.lines_market(spark, d).where("_seq % 3 = 0").select("_seq", "home_id", (home / (home + vis)).alias("fair"))
+    return g.join(m, "_seq", "left").withColumn("market_prob", F.when(F.col("home_id") == F.col("A_TeamID"), F.col("fair")).otherwise(1 - F.col("fair"))).drop("home_id", "fair")
+
+
+@query(
+    "m1_segments_and_market",
+    f"lotoq {_T_LAST} {_A_LAST}",
+    f"SELECT 'temperature ' || segment AS what, round(t, 3) AS value FROM {_T_LAST} UNION ALL SELECT 'market weight', round(t, 3) FROM {_A_LAST} UNION ALL SELECT 'brier', round(sum(w * (p - Outcome) ** 2) / sum(w), 5) FROM lotoq WHERE NOT playin UNION ALL SELECT 'brier ' || Season, round(avg((p - Outcome) ** 2), 5) FROM lotoq WHERE NOT playin GROUP BY Season",
+)
+def _(spark, d):
+    """Season weights, in-fold calibrators, four temperatures, the market's share and Brier scores without play-ins: every number that leaving one tournament out gives."""
+    t = tournament.leave_one_tournament_out(tournament_sides(spark, d), ["A_home"], EXACT)
+    fitted = {**{f"temperature {k}": v for k, v in t.temperatures.items()}, "market weight": t.market_weight}
+    scored = {"brier": t.brier, **{f"brier {k}": v for k, v in t.by_season.items()}}
+    told = [(k, float(v), 3) for k, v in fitted.items()] + [(k, float(v), 5) for k, v in scored.items()]
+    return spark.createDataFrame(told, "what string, value double, places int").select("what", F.when(F.col("places") == 3, F.round("value", 3)).otherwise(F.round("value", 5)).alias("value"))  # a few numbers
