@@ -2,39 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField
 
-MASK64 = (1 << 64) - 1
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables, through Spark's reader so that any store works."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from boutlake.tables import pinned, shared_folder, table  # noqa: F401  used by the operators
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point checkpoint() at the shared folder named in ``spark.checkpoint.dir``.
-
-    Where neither the session nor the context names one, a local master (one machine)
-    gets a temporary folder and a cluster an error.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="boutlake-"))
-
-
-def pinned(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+MASK64 = (1 << 64) - 1
 
 
 def fold_of(doc_id: Column | str, parts: int) -> Column:

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boutlake.llm.common import lanes, pinned
+from boutlake.llm.common import lanes, pinned, quoted
 
 #: Permitted sequence lengths of production, in words, and the fixed cost of opening a sequence.
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -141,7 +141,7 @@ def pack(docs: DataFrame, length: Column, capacities: tuple[int, ...] = CAPACITI
     """(id, piece, start, length, bin_id, bin_offset, capacity) of every piece of every row.
 
     A row longer than the largest capacity is cut into pieces of that length and a
-    rest. A row of length 0 (empty or null text) is returned with null bin. Equal
+    rest. A row of length 0 (empty or null text, or a null length) is returned with null bin. Equal
     ids and null ids are packed like others; other columns are not read. Ranks within
     a length are counted in ``rank_parts`` parts (None: as the cluster has lanes) whose
     totals give offsets. Rows are dealt to the parts by their place in the input, so
@@ -152,7 +152,7 @@ def pack(docs: DataFrame, length: Column, capacities: tuple[int, ...] = CAPACITI
     """
     spark, top = docs.sparkSession, max(capacities)
     pieces = (
-        docs.select(F.col(id_col).alias("id"), length.cast("int").alias("n"))
+        docs.select(F.col(quoted(id_col)).alias("id"), F.coalesce(length.cast("int"), F.lit(0)).alias("n"))
         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / top).cast("int") - 1, F.lit(0)))))
         .select("id", "piece", (F.col("piece") * top).alias("start"), F.least(F.lit(top), F.col("n") - F.col("piece") * top).alias("length"))
     )

@@ -180,14 +180,92 @@ def shingle_sets(texts: DataFrame, words: int = 5) -> DataFrame:
 
 
 def alike(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The links (a, b) whose shingle sets have a Jaccard similarity of ``least`` or more; two empty sets are equal."""
+    """The links (a, b) whose shingle sets have a Jaccard similarity of ``least`` or more; two empty sets are equal.
+
+    A text with very many links, such as a star's pivot, is sent to where its links are.
+    """
     one, two = (sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("hashes").alias(f"h_{c}")) for c in "ab")
+    total = edges.count()
+    hot = {c: pinned(hot_keys(edges.groupBy(c).agg(F.count(F.lit(1)).alias("n")), c, total)) for c in "ab"}
     # no more than the smaller set can be shared, which spares most pairs of unequal lengths
-    both = edges.join(one, "a").join(two, "b").where(F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b"))
+    both = join_hot(join_hot(edges, one, hot["a"], "a"), two, hot["b"], "b").where(F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b"))
     shared = F.size(F.array_intersect("h_a", "h_b"))
     return both.where((F.col("n_a") + F.col("n_b") == 0) | (shared >= F.lit(least) * (F.col("n_a") + F.col("n_b") - shared))).select("a", "b")
 
 
+def star_pairs(nodes: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) within ``radius``: in every bucket each node with the bucket's first by a hash that is the same in all tables.
+
+    So a large group of close fingerprints mostly has one pivot, and each of its nodes few pairs.
+    """
+    keyed = nodes.repartition(lanes(nodes.sparkSession), "id").select("id", "fp", F.explode(table_keys(F.col("fp"), radius)).alias("k")).select("id", "fp", "k.t", "k.key")
+    order = F.struct(F.xxhash64("fp", F.lit(5)).alias("h"), F.col("fp").alias("pivot_fp"), F.col("id").alias("pivot"))
+    first = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("p")).where("n > 1").select("t", "key", "p.pivot_fp", "p.pivot")
+    met = keyed.join(first, ["t", "key"]).where((F.col("id") != F.col("pivot")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot_fp"))) <= radius))
+    return met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+
+
+def crossing_pairs(nodes: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
+    """All pairs (a, b) within ``radius`` of nodes (id, fp, rep) that differ in ``rep``.
+
+    In a bucket everything meets what isn't of the bucket's largest ``rep``, in blocks
+    of both: a large group that is connected already costs no more than its nodes times
+    the others in its buckets.
+    """
+    keyed = nodes.repartition(lanes(nodes.sparkSession), "id").select("id", "fp", "rep", F.explode(table_keys(F.col("fp"), radius)).alias("k")).select("id", "fp", "rep", "k.t", "k.key")
+    parts = keyed.groupBy("t", "key", "rep").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("t", "key").agg(F.count(F.lit(1)).alias("reps"), F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("rep", "n").alias("main")).where("reps > 1")
+    of = lambda n: F.ceil(n / block).cast("int")
+    rows = keyed.join(mixed.select("t", "key", "main", of(F.col("n")).alias("blocks"), of(F.col("n") - F.col("most")).alias("others")), ["t", "key"])
+    place = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    every = rows.select("t", "key", place(77, "blocks").alias("b"), each("others").alias("o"), "fp", "id", "rep", F.lit(0).alias("side"))
+    other = rows.where("rep != main").select("t", "key", each("blocks").alias("b"), place(78, "others").alias("o"), "fp", "id", "rep", F.lit(1).alias("side"))
+    groups = every.unionByName(other).groupBy("t", "key", "b", "o").agg(F.collect_list(F.struct("fp", "id", "rep", "side")).alias("xs")).where(F.size("xs") > 1).select("xs")
+    id_type = nodes.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(0)
+            values = lists.flatten()
+            fp, side = (values.field(i).to_numpy(zero_copy_only=False) for i in (0, 3))
+            fp, ids, reps = fp.view(np.uint64), values.field(1).to_numpy(zero_copy_only=False), values.field(2).to_numpy(zero_copy_only=False)
+            ends = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
+            out_a, out_b = [ids[:0]], [ids[:0]]
+            for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                one, two = lo + np.flatnonzero(side[lo:hi] == 0), lo + np.flatnonzero(side[lo:hi] == 1)
+                i, j = np.nonzero(np.bitwise_count(fp[one][:, None] ^ fp[two][None, :]) <= radius)
+                i, j = one[i], two[j]
+                apart = reps[i] != reps[j]
+                out_a.append(ids[i[apart]])
+                out_b.append(ids[j[apart]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), values.field(1).type) for x in (out_a, out_b)], names=["a", "b"])
+
+    found = groups.mapInArrow(run, f"a {id_type}, b {id_type}")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, radius: int, least: float, words: int = 5) -> DataFrame:
+    """Links (a, b) of nodes (id, fp) that connect just what all pairs within ``radius`` and of a similarity of ``least`` connect.
+
+    Stars are checked first. What they leave apart meets again, in full: a pair that is
+    within the radius and not yet connected is checked, however many there are.
+    ``texts`` has (node, text), a row or more for each node.
+    """
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        own = texts.join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+        return pinned(alike(pairs, pinned(shingle_sets(own, words)), least))
+
+    stars = pinned(star_pairs(nodes, radius))
+    linked = checked(stars)
+    rep = components(linked).withColumnRenamed("rep", "_rep")
+    apart = nodes.join(rep, "id", "left").select("id", "fp", F.coalesce("_rep", "id").alias("rep"))
+    rest = pinned(crossing_pairs(pinned(apart), radius).join(stars, ["a", "b"], "left_anti"))
+    return linked.unionByName(checked(rest))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, similar_words: int = 5) -> DataFrame:
     """(id, fingerprint as 16 lowercase hex digits, component_id) of every row.
 
@@ -200,8 +278,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3, id_col: st
 
     With ``similarity``, nodes are distinct texts instead of distinct fingerprints, and
     a link counts only if the Jaccard similarity of the texts' sets of ``similar_words``
-    words is that or more, exactly. The links checked are minimum spanning forests of
-    the buckets, so each text is compared with its nearest fingerprints rather than with all.
+    words is that or more, exactly. Components are those of all such links, of which only
+    as many are checked as connect them; pairs that fail are all checked.
     """
     rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
     if similarity is None:
@@ -210,12 +288,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3, id_col: st
         rows = rows.withColumn("node", F.unhex(F.md5(F.coalesce("text", F.lit("")))))  # 16 bytes, so that no two texts meet in one node
         fps = pinned(fingerprints(rows, "id", "text", words, ("node",)))
     nodes = pinned(fps.groupBy("node").agg(F.min("fp").alias("fp"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
-    edges = links(nodes.select(F.col("node").alias("id"), "fp"), radius)
-    if similarity is not None:
-        edges = pinned(edges)
-        ends = pinned(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        texts = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-        edges = alike(edges, pinned(shingle_sets(texts, similar_words)), similarity)
+    ids = nodes.select(F.col("node").alias("id"), "fp")
+    edges = links(ids, radius) if similarity is None else similar_links(ids, rows.select("node", "text"), radius, similarity, similar_words)
     reached = components(edges)
     known = reached.withColumnRenamed("id", "node").join(nodes, "node")
     least = known.groupBy("rep").agg(F.min("least").alias("component_id"))
