@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boutlake.llm import language_id, packing, quality, simhash
-from boutlake.llm.common import ensure_checkpoint_dir, fold_of, fresh, quoted, table
+from boutlake.llm.common import fold_of, fresh, quoted, shared_folder, table
 
 #: A document is rejected below this probability of being good; low, as a wrongly kept document costs less than a wrongly lost one.
 MIN_QUALITY = 0.2
@@ -75,8 +75,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``, each written as Parquet in the shared folder and read again."""
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{base}/{name}"

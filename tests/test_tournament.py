@@ -27,7 +27,7 @@ def games():
         y = int(rng.random() < true)
         if gap == 0:
             raw = 0.999 if y == 0 else 0.001
-        rows.append((i, 1995 + i % 5, pool, float(gap + 1), 1.0, y, raw, float(1 + i % 3), float(np.clip(true + rng.normal(0, 0.1), 0.01, 0.99)) if i % 3 == 0 else None))
+        rows.append((i, 1995 + i % 5, pool, float(gap + 1), 1.0, y, raw, float(1 + i % 3), float(np.clip(true + rng.normal(0, 0.3), 0.01, 0.99)) if i % 3 == 0 and gap else None))
     return rows
 
 
