@@ -193,26 +193,31 @@ def alike(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where((F.col("n_a") + F.col("n_b") == 0) | (shared >= F.lit(least) * (F.col("n_a") + F.col("n_b") - shared))).select("a", "b")
 
 
-def star_pairs(nodes: DataFrame, radius: int) -> DataFrame:
-    """Pairs (a, b) within ``radius``: in every bucket each node with the bucket's first by a hash that is the same in all tables.
+def bucket_members(nodes: DataFrame, radius: int) -> DataFrame:
+    """(t, key, id, fp, pivot, pivot_fp) of the nodes (id, fp) in buckets of several, with the bucket's first node by a hash that is the same in all tables.
 
-    So a large group of close fingerprints mostly has one pivot, and each of its nodes few pairs.
+    Most nodes are alone in most buckets, so what is left is written once and read by all that follows.
     """
     keyed = nodes.repartition(lanes(nodes.sparkSession), "id").select("id", "fp", F.explode(table_keys(F.col("fp"), radius)).alias("k")).select("id", "fp", "k.t", "k.key")
     order = F.struct(F.xxhash64("fp", F.lit(5)).alias("h"), F.col("fp").alias("pivot_fp"), F.col("id").alias("pivot"))
     first = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("p")).where("n > 1").select("t", "key", "p.pivot_fp", "p.pivot")
-    met = keyed.join(first, ["t", "key"]).where((F.col("id") != F.col("pivot")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot_fp"))) <= radius))
+    return pinned(keyed.join(first, ["t", "key"]))
+
+
+def star_pairs(members: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) within ``radius``: in every bucket each node with the pivot, so a large group of close fingerprints mostly has one, and each of its nodes few pairs."""
+    met = members.where((F.col("id") != F.col("pivot")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot_fp"))) <= radius))
     return met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
 
-def crossing_pairs(nodes: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
-    """All pairs (a, b) within ``radius`` of nodes (id, fp, rep) that differ in ``rep``.
+def crossing_pairs(members: DataFrame, reps: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
+    """All pairs (a, b) within ``radius`` of bucket members that differ in their rep; ``reps`` has (id, rep), nodes without a row are their own.
 
     In a bucket everything meets what isn't of the bucket's largest ``rep``, in blocks
     of both: a large group that is connected already costs no more than its nodes times
     the others in its buckets.
     """
-    keyed = nodes.repartition(lanes(nodes.sparkSession), "id").select("id", "fp", "rep", F.explode(table_keys(F.col("fp"), radius)).alias("k")).select("id", "fp", "rep", "k.t", "k.key")
+    keyed = members.join(reps.select("id", F.col("rep").alias("_rep")), "id", "left").select("t", "key", "id", "fp", F.coalesce("_rep", "id").alias("rep"))
     parts = keyed.groupBy("t", "key", "rep").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("t", "key").agg(F.count(F.lit(1)).alias("reps"), F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("rep", "n").alias("main")).where("reps > 1")
     of = lambda n: F.ceil(n / block).cast("int")
@@ -222,7 +227,7 @@ def crossing_pairs(nodes: DataFrame, radius: int, block: int = BLOCK) -> DataFra
     every = rows.select("t", "key", place(77, "blocks").alias("b"), each("others").alias("o"), "fp", "id", "rep", F.lit(0).alias("side"))
     other = rows.where("rep != main").select("t", "key", each("blocks").alias("b"), place(78, "others").alias("o"), "fp", "id", "rep", F.lit(1).alias("side"))
     groups = every.unionByName(other).groupBy("t", "key", "b", "o").agg(F.collect_list(F.struct("fp", "id", "rep", "side")).alias("xs")).where(F.size("xs") > 1).select("xs")
-    id_type = nodes.schema["id"].dataType.simpleString()
+    id_type = members.schema["id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
@@ -258,11 +263,10 @@ def similar_links(nodes: DataFrame, texts: DataFrame, radius: int, least: float,
         own = texts.join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
         return pinned(alike(pairs, pinned(shingle_sets(own, words)), least))
 
-    stars = pinned(star_pairs(nodes, radius))
+    members = bucket_members(nodes, radius)
+    stars = pinned(star_pairs(members, radius))
     linked = checked(stars)
-    rep = components(linked).withColumnRenamed("rep", "_rep")
-    apart = nodes.join(rep, "id", "left").select("id", "fp", F.coalesce("_rep", "id").alias("rep"))
-    rest = pinned(crossing_pairs(pinned(apart), radius).join(stars, ["a", "b"], "left_anti"))
+    rest = pinned(crossing_pairs(members, components(linked), radius).join(stars, ["a", "b"], "left_anti"))
     return linked.unionByName(checked(rest))
 
 

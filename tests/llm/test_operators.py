@@ -619,7 +619,7 @@ def test_near_copies_are_compared_with_few(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
     rows = docs.withColumn("node", F.unhex(F.md5("text")))
     nodes = simhash.fingerprints(rows, "node", "text").select(F.col("node").alias("id"), "fp").persist()
-    stars = simhash.star_pairs(nodes, 5).count()
+    stars = simhash.star_pairs(simhash.bucket_members(nodes, 5), 5).count()
     assert stars < 32 * 4000  # at most one a table and node, of 8 million pairs
     got = simhash.near_duplicates(docs, 5, similarity=0.8).groupBy("component_id").count().orderBy(F.desc("count")).first()
     assert (got[0], got[1]) >= (0, 3900)
