@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,41 +172,94 @@ def laplacian(log: DataFrame) -> DataFrame:
     return log.groupBy(*KEYS, "T1_TeamID", "T2_TeamID").agg(F.count(F.lit(1)).alias("n"), F.sum("PointDiff").alias("m"))
 
 
-def least_squares_quality(log: DataFrame, tol: float = 1e-11, max_rounds: int = 500) -> DataFrame:
-    """Minimum-norm least-squares team quality: coefficients sum to 0 in each connected component.
+def _products(vectors: DataFrame, m: int) -> dict[tuple, np.ndarray]:
+    """Per season and pool, the inner products of all of a team's numbers: ``m`` vectors w, their images lw, and r. Tasks send a matrix a season, added up by Spark."""
+    width = 2 * m + 1
+
+    def run(batches):
+        held: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            rows = np.column_stack([*(b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, m) for c in (2, 3)), b.column(4).to_numpy(zero_copy_only=False)])
+            keys = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1)], axis=1)
+            names, at = np.unique(keys, axis=0, return_inverse=True)
+            for k, name in enumerate(names.tolist()):
+                own = rows[at.ravel() == k]
+                held[tuple(name)] = held.get(tuple(name), 0.0) + own.T @ own
+        for name, p in held.items():
+            yield pa.RecordBatch.from_arrays([*[pa.array([k] * width * width, pa.int32()) for k in name], pa.array(range(width * width), pa.int32()), pa.array(p.ravel())], names=[*KEYS, "at", "p"])
+
+    schema = ", ".join(f"{k} int" for k in KEYS) + ", at int, p double"
+    parts = vectors.select(*KEYS, "w", "lw", "r").mapInArrow(run, schema).groupBy(*KEYS, "at").agg(F.sum("p").alias("p"))
+    out: dict[tuple, np.ndarray] = {}
+    for r in parts.collect():  # a matrix of fixed size per season and pool
+        out.setdefault(tuple(r[k] for k in KEYS), np.zeros((width, width)))[divmod(r["at"], width)] = r.p
+    return out
+
 
-    Conjugate gradients on the normal equations of all seasons at once, each round
-    a join of the folded pairs with a row per team and two aggregations, so no
-    matrix is formed and no season is solved in one task. From 0 the solution stays in the
-    range of the matrix, which makes it the one of least norm. Seasons whose
-    residual is below ``tol`` of its start are set aside; the driver sees one flag a
-    round. Rows without a margin don't count.
+def least_squares_quality(log: DataFrame, tol: float = 1e-10, most_rounds: int = 60, steps: int = 6) -> DataFrame:
+    """Minimum-norm least-squares team quality: (KEYS, TeamID, Quality, residual); coefficients sum to 0 in each connected component.
+
+    Conjugate gradients in blocks on the normal equations of all seasons at once. A round
+    makes the next ``steps`` vectors of every season's Krylov space (a Chebyshev basis, so
+    that they stay apart), each a join of the folded pairs with a row per team and one
+    aggregation, all in one plan that is written once. One aggregation then gives each season's
+    small matrix of inner products; the driver solves these (a row per season and pool) and the
+    best combination, with the last round's direction among the vectors, moves the solution.
+    From 0 it stays in the range of the matrix, which makes it the one of least norm. Seasons
+    whose residual is below ``tol`` of its start are set aside; ``residual`` is that share. One
+    that isn't after ``most_rounds`` raises. Rows without a margin don't count.
     """
+    spark = log.sparkSession
     side = lambda t, o, m: F.struct(F.col(t).alias("t"), F.col(o).alias("o"), m.alias("m"))
     both = F.explode(F.array(side("T1_TeamID", "T2_TeamID", F.col("PointDiff")), side("T2_TeamID", "T1_TeamID", -F.col("PointDiff")))).alias("r")
-    pairs = pinned(log.where(F.col("PointDiff").isNotNull()).select(*KEYS, both).select(*KEYS, "r.*").groupBy(*KEYS, "t", "o").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("m").cast("double").alias("m")))
-    start = pairs.groupBy(*KEYS, "t").agg(F.sum("n").alias("deg"), F.sum("m").alias("r"))
-    size = start.groupBy(*KEYS).agg(F.sum(F.col("r") * F.col("r")).alias("rr0"))
+    folded = pinned(log.where(F.col("PointDiff").isNotNull()).select(*KEYS, both).select(*KEYS, "r.*").groupBy(*KEYS, "t", "o").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("m").cast("double").alias("m")))
+    start = folded.groupBy(*KEYS, "t").agg(F.sum("n").alias("deg"), F.sum("m").alias("r"))
+    span = start.groupBy(*KEYS).agg((2 * F.max("deg")).alias("span"))  # no eigenvalue is larger
     zero = F.lit(0.0)
-    moving, parts = pinned(start.join(size, KEYS).select(*KEYS, "t", "deg", zero.alias("x"), "r", F.col("r").alias("p"), "rr0", F.col("rr0").alias("rr"))), []
-    for k in range(max_rounds + 1):
-        still = (F.col("rr") > tol * tol * F.col("rr0")) if k < max_rounds else F.lit(False)
-        flags = moving.agg(F.count_if(still).alias("on"), F.count_if(~still).alias("off")).first()
-        if flags["off"] or not flags["on"]:
-            parts.append(moving.where(~still).select(*KEYS, F.col("t").alias("TeamID"), F.col("x").alias("Quality")))
-        if not flags["on"]:
-            break
-        moving = moving.where(still) if flags["off"] else moving
-        near = pairs.join(moving.select(*KEYS, F.col("t").alias("o"), "p"), [*KEYS, "o"]).groupBy(*KEYS, "t").agg(F.sum(F.col("n") * F.col("p")).alias("near"))
-        moved = moving.join(near, [*KEYS, "t"]).withColumn("ap", F.col("deg") * F.col("p") - F.col("near"))
-        prod = lambda a, b: F.sum(F.col(a) * F.col(b))
-        sums = moved.groupBy(*KEYS).agg(prod("p", "ap").alias("pap"), prod("r", "r").alias("now"), prod("r", "ap").alias("rap"), prod("ap", "ap").alias("apap"))
-        step = F.when(F.col("pap") > 0, F.col("now") / F.col("pap")).otherwise(0.0)
-        left = F.greatest(F.col("now") - 2 * F.col("a") * F.col("rap") + F.col("a") * F.col("a") * F.col("apap"), zero)
-        sums = sums.withColumn("a", step).select(*KEYS, "now", "a", F.when(F.col("now") > 0, left / F.col("now")).otherwise(0.0).alias("turn"))
-        rest = F.col("r") - F.col("a") * F.col("ap")
-        moving = pinned(moved.join(sums, KEYS).select(*KEYS, "t", "deg", (F.col("x") + F.col("a") * F.col("p")).alias("x"), rest.alias("r"), (rest + F.col("turn") * F.col("p")).alias("p"), "rr0", F.col("now").alias("rr")))
-    return reduce(DataFrame.unionByName, parts)
+    at = pinned(start.join(span, KEYS).select(*KEYS, "t", "deg", "span", zero.alias("x"), "r", zero.alias("d"), zero.alias("ld")))
+    # a row of a team with itself carries what is known of it through each aggregation
+    pairs = pinned(folded.select(*KEYS, "t", "o", "n", F.lit(False).alias("own")).unionByName(at.select(*KEYS, "t", F.col("t").alias("o"), zero.alias("n"), F.lit(True).alias("own")))).repartition(*KEYS, "o").persist()  # as every step joins it
+    first: dict[tuple, float] = {}
+    parts: list[DataFrame] = []
+
+    try:
+        for _ in range(most_rounds):
+            now = at.withColumn("h0", F.col("r"))
+            for j in range(steps):
+                v = F.col(f"h{j}")
+                known = ["deg", "span", "x", "r", "d", "ld", *(f"h{i}" for i in range(j + 1))]
+                met = pairs.join(now.select(*KEYS, F.col("t").alias("o"), *known), [*KEYS, "o"])
+                near = met.groupBy(*KEYS, "t").agg(F.sum(F.col("n") * v).alias("near"), *[F.max(F.when(F.col("own"), F.col(c))).alias(c) for c in known])  # numbers only, so that it stays a hash aggregation
+                turned = 2 * (F.col("deg") * v - F.col("near")) / F.col("span") - v
+                now = near.withColumn(f"h{j + 1}", turned if j == 0 else 2 * turned - F.col(f"h{j - 1}")).drop("near")
+            h = [F.col(f"h{j}") for j in range(steps + 1)]
+            image = [F.col("span") / 2 * ((h[1] if j == 0 else (h[j + 1] + h[j - 1]) / 2) + h[j]) for j in range(steps)]
+            vectors, images = F.array(*h[:steps], F.col("d")), F.array(*image, F.col("ld"))
+            now = pinned(now.select(*KEYS, "t", "deg", "span", "x", "r", vectors.alias("w"), images.alias("lw")))
+            size = range(steps + 1)
+            sums = _products(now, steps + 1)
+            moves = []
+            for key, p in sums.items():
+                m = steps + 1
+                g, hh, wr, lr, rr = p[:m, m : 2 * m], p[m : 2 * m, m : 2 * m], p[:m, -1], p[m : 2 * m, -1], float(p[-1, -1])
+                scale = 1 / np.sqrt(np.where(np.diag(g) > 0, np.diag(g), 1.0))
+                c = scale * (np.linalg.pinv((g + g.T) / 2 * np.outer(scale, scale), rcond=1e-13, hermitian=True) @ (scale * wr))
+                whole = first.setdefault(key, rr)
+                left = float(np.sqrt(max(0.0, rr - 2 * c @ lr + c @ hh @ c) / whole)) if whole else 0.0
+                moves.append((*key, c.tolist(), left))
+            step = F.broadcast(spark.createDataFrame(moves, ", ".join(f"{k} int" for k in KEYS) + ", c array<double>, residual double"))  # a row per season and pool
+            along = lambda a: sum((F.col(a)[i] * F.col("c")[i] for i in size), zero)  # noqa: B023, E731
+            at = now.join(step, KEYS).select(*KEYS, "t", "deg", "span", (F.col("x") + along("w")).alias("x"), (F.col("r") - along("lw")).alias("r"), along("w").alias("d"), along("lw").alias("ld"), "residual")
+            if any(left <= tol for *_, left in moves):
+                parts.append(at.where(F.col("residual") <= tol).select(*KEYS, F.col("t").alias("TeamID"), F.col("x").alias("Quality"), "residual"))
+            if all(left <= tol for *_, left in moves):
+                break
+            at = at.where(F.col("residual") > tol).drop("residual")
+        else:
+            raise ArithmeticError(f"least squares of a season did not come within {tol} of its start in {most_rounds} rounds")
+    finally:
+        pairs.unpersist()
+    return reduce(DataFrame.unionByName, parts) if parts else at.select(*KEYS, F.col("t").alias("TeamID"), F.col("x").alias("Quality"), F.lit(0.0).alias("residual"))
 
 
 def latest_per_column(snaps: DataFrame, keys: list[str], at: str, columns: list[str]) -> DataFrame:

@@ -296,6 +296,23 @@ def _(spark, d):
     return rows.select((F.abs(F.col("e") - want) > 1e-6).alias("bad")).agg((F.count(F.lit(1)) / 2).cast("long").alias("n_rows"), F.count_if("bad").cast("int").alias("n_violations"))
 
 
+# the games of a pool in order, with each side's place in the pool's list of ratings and whether a new season begins for it
+fx.SQL["pool_teams"] = "SELECT men_women, TeamID, row_number() OVER (PARTITION BY men_women ORDER BY TeamID) AS i FROM (SELECT DISTINCT men_women, unnest([WTeamID, LTeamID]) AS TeamID FROM game_raw)"
+fx.SQL["pool_games"] = "SELECT g._seq, g.men_women, g.Season, w.i AS wi, l.i AS li, row_number() OVER (PARTITION BY g.men_women ORDER BY g.Season, DayNum, _seq) AS n FROM game_raw g JOIN pool_teams w ON w.men_women = g.men_women AND w.TeamID = WTeamID JOIN pool_teams l ON l.men_women = g.men_women AND l.TeamID = LTeamID"
+_at = "CASE WHEN y[{i}] IS NULL THEN 1000.0 WHEN y[{i}] = Season THEN e[{i}] ELSE 1000.0 + 0.9 * (e[{i}] - 1000.0) END"
+_replay = f"""WITH RECURSIVE g AS MATERIALIZED (SELECT men_women, Season, n, wi, li, _seq FROM pool_games), s AS (
+ SELECT men_women, 0::BIGINT AS n, list_transform(range(count(*)), lambda x: 1000.0::DOUBLE) AS e, list_transform(range(count(*)), lambda x: NULL::INT) AS y, NULL::BIGINT AS _seq, NULL::DOUBLE AS a, NULL::DOUBLE AS b FROM pool_teams GROUP BY ALL
+ UNION ALL SELECT men_women, n, list_transform(e, lambda x, i: CASE WHEN i = wi THEN a + delta WHEN i = li THEN b - delta ELSE x END), list_transform(y, lambda x, i: CASE WHEN i = wi OR i = li THEN Season ELSE x END), _seq, a, b
+ FROM (SELECT *, 60.0 * (1.0 - 1.0 / (1.0 + 10.0 ** ((b - a) / 400.0))) AS delta FROM (SELECT g.men_women, g.Season, g.n, g._seq, wi, li, e, y, {_at.format(i='wi')} AS a, {_at.format(i='li')} AS b FROM s JOIN g ON g.men_women = s.men_women AND g.n = s.n + 1)))
+ SELECT _seq, a AS W_Elo_pre, b AS L_Elo_pre FROM s WHERE _seq IS NOT NULL"""
+
+
+@query("w1_pregame_elo_values", "pool_games pool_teams", _replay, "W_Elo_pre L_Elo_pre")
+def _(spark, d):
+    """Both ratings before every game, next to a replay of all games in order."""
+    return history.pregame_elo(fx.game_raw(spark, d), k=60.0, carry=0.9).select("_seq", "W_Elo_pre", "L_Elo_pre")
+
+
 @query("w2_season_elo", "game_raw", "SELECT count(DISTINCT (men_women, Season, TeamID)) AS n_rows, 0 AS n_violations FROM (SELECT men_women, Season, unnest([WTeamID, LTeamID]) AS TeamID FROM game_raw)")
 def _(spark, d):
     """Ratings of a season are zero-sum around the base."""

@@ -539,6 +539,21 @@ def _(spark, d):
     return zero.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if((F.abs("off") > 1e-6) | (F.abs("s") > 1e-6)).cast("int").alias("n_violations"))
 
 
+_g = "men_women, Season"
+fx.SQL["lsq_pairs"] = f"SELECT {_g}, T1_TeamID AS t, T2_TeamID AS o, count(*)::DOUBLE AS n, sum(PointDiff)::DOUBLE AS m FROM reg GROUP BY ALL"
+fx.SQL["lsq_teams"] = f"SELECT {_g}, t, row_number() OVER (PARTITION BY {_g} ORDER BY t) AS i, count(*) OVER (PARTITION BY {_g}) AS size, deg, m FROM (SELECT {_g}, t, sum(n) AS deg, sum(m) AS m FROM lsq_pairs GROUP BY ALL)"
+#: each season's matrix with 1/size added to all entries, which a connected season's zero sum makes regular, and the right side behind it
+fx.SQL["lsq_rows"] = f"SELECT a.men_women, a.Season, a.i, list(CASE WHEN a.i = b.i THEN a.deg ELSE -coalesce(p.n, 0) END + 1.0::DOUBLE / a.size ORDER BY b.i) || [any_value(a.m)] AS r FROM lsq_teams a JOIN lsq_teams b ON a.men_women = b.men_women AND a.Season = b.Season LEFT JOIN lsq_pairs p ON p.men_women = a.men_women AND p.Season = a.Season AND p.t = a.t AND p.o = b.t GROUP BY a.men_women, a.Season, a.i"
+_cleared = "list_transform(m, lambda row, i: CASE WHEN i = k + 1 THEN p ELSE list_transform(row, lambda v, j: v - row[k + 1] * p[j]) END)"
+_solved = f"WITH RECURSIVE s AS (SELECT {_g}, 0::BIGINT AS k, list(r ORDER BY i) AS m FROM lsq_rows GROUP BY ALL UNION ALL SELECT {_g}, k + 1, {_cleared} FROM (SELECT *, list_transform(m[k + 1], lambda v: v / m[k + 1][k + 1]) AS p FROM s WHERE k < len(m))) SELECT {_g}, m FROM s WHERE k = len(m)"
+
+
+@query("a7_quality_values", "lsq_rows lsq_teams", f"SELECT t.men_women, t.Season, t.t AS TeamID, s.m[t.i][-1] AS Quality FROM lsq_teams t JOIN ({_solved}) s ON s.men_women = t.men_women AND s.Season = t.Season", "Quality")
+def _(spark, d):
+    """Every team's quality, next to a direct solution of each season's equations."""
+    return teams.least_squares_quality(fx.reg(spark, d)).select("men_women", "Season", "TeamID", "Quality")
+
+
 @query("a8_latest_per_column", "snaps", "SELECT Season, TeamID, max_by(kp_AdjEM_asof, ArchiveDate) AS em, max_by(kp_AdjTempo_asof, ArchiveDate) FILTER (kp_AdjTempo_asof IS NOT NULL) AS tempo FROM snaps GROUP BY ALL", "em tempo")
 def _(spark, d):
     return teams.latest_per_column(fx.snaps(spark, d), ["Season", "TeamID"], "ArchiveDate", ["kp_AdjEM_asof", "kp_AdjTempo_asof"]).select("Season", "TeamID", F.col("kp_AdjEM_asof").alias("em"), F.col("kp_AdjTempo_asof").alias("tempo"))
