@@ -76,62 +76,65 @@ def efficiency_games(log: DataFrame, edge: float = HOME_EDGE) -> DataFrame:
 def _efficiency_start(games: DataFrame, keys: list[str]) -> DataFrame:
     first = games.groupBy(*keys, "t").agg(F.avg("oe").alias("AdjOE"), F.avg("de").alias("AdjDE"), F.avg("poss").alias("tempo"))
     lg = Window.partitionBy(*keys)
-    return first.withColumns({"lg": F.avg("AdjOE").over(lg), "lg_tempo": F.avg("tempo").over(lg), "change": F.lit(float("inf"))})
-
-
-def _efficiency_round(games: DataFrame, at: DataFrame, keys: list[str]) -> DataFrame:
-    """One round for the groups in ``at``: each game against the opponent's rating, the mean brought back to the league's."""
-    opp = at.select(*keys, F.col("t").alias("o"), F.col("AdjOE").alias("o_oe"), F.col("AdjDE").alias("o_de"))
-    league = at.groupBy(*keys).agg(F.first("lg").alias("lg"))
-    new = (
-        games.join(league, keys)
-        .join(opp, [*keys, "o"], "left")
-        .groupBy(*keys, "t")
-        .agg(
-            F.avg(F.col("oe") / floor_at(F.coalesce("o_de", "lg"), 1) * F.col("lg")).alias("n_oe"),
-            F.avg(F.col("de") / floor_at(F.coalesce("o_oe", "lg"), 1) * F.col("lg")).alias("n_de"),
-        )
-    )
+    return first.withColumns({"lg": F.avg("AdjOE").over(lg), "lg_tempo": F.avg("tempo").over(lg), "change": F.lit(float("inf")), "iters": F.lit(0)})
+
+
+def _efficiency_edges(games: DataFrame, first: DataFrame, keys: list[str]) -> DataFrame:
+    """The games with their league's mean, and a row of each team with itself: through it a round's one join also brings a team its own last rating."""
+    met = games.select(*keys, "t", "o", "oe", "de").join(first.select(*keys, "t", "lg"), [*keys, "t"])
+    itself = first.select(*keys, "t", F.col("t").alias("o"), F.lit(None).cast("double").alias("oe"), F.lit(None).cast("double").alias("de"), "lg")
+    return met.withColumn("own", F.lit(False)).unionByName(itself.withColumn("own", F.lit(True)))
+
+
+def _efficiency_round(edges: DataFrame, at: DataFrame, keys: list[str], tol: float | None = None) -> DataFrame:
+    """One round: each game against the opponent's rating, the mean brought back to the league's. Groups whose last change is below ``tol`` stay as they are.
+
+    ``at`` is read once, so the plan of several rounds grows with their number only.
+    """
+    opp = at.select(*keys, F.col("t").alias("o"), "AdjOE", "AdjDE", "change", "iters")
+    own = lambda c: F.max(F.when(F.col("own"), F.col(c))).alias(c)
+    against = lambda c, r: F.avg(F.col(c) / floor_at(F.coalesce(r, "lg"), 1) * F.col("lg"))
+    new = edges.join(opp, [*keys, "o"], "left").groupBy(*keys, "t").agg(against("oe", "AdjDE").alias("n_oe"), against("de", "AdjOE").alias("n_de"), *map(own, ("AdjOE", "AdjDE", "change", "iters")), F.max("lg").alias("lg"))
     w = Window.partitionBy(*keys)
-    scaled = new.join(at, [*keys, "t"]).withColumns({"n_oe": F.col("n_oe") * F.col("lg") / floor_at(F.avg("n_oe").over(w), 1), "n_de": F.col("n_de") * F.col("lg") / floor_at(F.avg("n_de").over(w), 1)})
+    scaled = new.withColumns({c: F.col(c) * F.col("lg") / floor_at(F.avg(c).over(w), 1) for c in ("n_oe", "n_de")})
     moved = F.greatest(F.abs(F.col("n_oe") - F.col("AdjOE")), F.abs(F.col("n_de") - F.col("AdjDE")))
-    return scaled.withColumn("change", F.max(moved).over(w)).select(*keys, "t", F.col("n_oe").alias("AdjOE"), F.col("n_de").alias("AdjDE"), "tempo", "lg", "lg_tempo", "change")
+    on = F.lit(True) if tol is None else F.col("change") >= tol
+    step = {"AdjOE": F.col("n_oe"), "AdjDE": F.col("n_de"), "change": F.max(moved).over(w), "iters": F.col("iters") + 1}
+    return scaled.select(*keys, "t", *[F.when(on, new).otherwise(F.col(c)).alias(c) for c, new in step.items()])
 
 
-def adjusted_efficiency(log: DataFrame, rounds: int | None = None, max_rounds: int = 50, tol: float = 1e-4, edge: float = HOME_EDGE, extra_keys: tuple[str, ...] = (), games: DataFrame | None = None) -> DataFrame:
+def adjusted_efficiency(log: DataFrame, rounds: int | None = None, max_rounds: int = 50, tol: float = 1e-4, edge: float = HOME_EDGE, extra_keys: tuple[str, ...] = (), games: DataFrame | None = None, stride: int = 5) -> DataFrame:
     """Opponent-adjusted efficiency as a fixed point of joins and aggregations.
 
     With ``rounds`` there are just that many rounds. Without, rounds go on until
-    every group's largest change is below ``tol``; groups that got there are set
-    aside and move no further, so late rounds work on few rows. A round reads its
-    predecessor several times, so each is written to the shared folder (a row per
-    team and group); the driver sees one flag a round.
+    every group's largest change is below ``tol``, ``max_rounds`` at most; a group that
+    got there moves no further and is set aside at the next write. ``stride`` rounds make one plan,
+    whose outcome (a row per team and group) is written to the shared folder; the
+    driver sees two counts each time.
     """
     keys = [*KEYS, *extra_keys]
     g = efficiency_games(log, edge) if games is None else games
     g = pinned(g.repartition(*keys, "t"))
     first = pinned(_efficiency_start(g, keys))
-    if rounds is not None:
-        at = first
-        for _ in range(rounds):
-            at = pinned(_efficiency_round(g, at, keys))
-        done = at.withColumn("iters", F.lit(rounds))
-    else:
-        moving, parts = first, []
-        for k in range(1, max_rounds + 1):
-            moving = pinned(_efficiency_round(g, moving, keys))
+    edges = pinned(_efficiency_edges(g, first, keys).repartition(*keys, "o"))
+    moving, parts, k, limit = first.select(*keys, "t", "AdjOE", "AdjDE", "change", "iters"), [], 0, max_rounds if rounds is None else rounds
+    while k < limit:
+        todo = min(stride, limit - k)
+        left = edges if not parts else edges.join(moving.select(*keys).distinct(), keys, "left_semi")
+        for _ in range(todo):
+            moving = _efficiency_round(left, moving, keys, tol if rounds is None else None)
+        moving, k = pinned(moving), k + todo
+        if rounds is None and k < limit:
             still = F.col("change") >= tol
-            still = still if k < max_rounds else F.lit(False)
             flags = moving.agg(F.count_if(still).alias("on"), F.count_if(~still).alias("off")).first()
-            if flags["off"]:
-                parts.append(moving.where(~still).withColumn("iters", F.lit(k)))
             if not flags["on"]:
                 break
-            moving = moving.where(still) if flags["off"] else moving
-        done = reduce(DataFrame.unionByName, parts) if parts else moving.withColumn("iters", F.lit(0))
-        done = pinned(done)
+            if flags["off"]:
+                parts.append(moving.where(~still))
+                moving = moving.where(still)
+    done = reduce(DataFrame.unionByName, [*parts, moving])
     opp = first.select(*keys, F.col("t").alias("o"), F.col("tempo").alias("o_tempo"))
-    lg = done.select(*keys, F.col("t"), "lg_tempo")
+    lg = first.select(*keys, "t", "lg_tempo")
     tempo = g.join(opp, [*keys, "o"], "left").join(lg, [*keys, "t"]).groupBy(*keys, "t").agg(F.avg(F.col("poss") / floor_at(F.coalesce("o_tempo", "lg_tempo"), 1) * F.col("lg_tempo")).alias("AdjTempo"))
     out = done.join(tempo, [*keys, "t"])
     return out.select(*keys, F.col("t").alias("TeamID"), "AdjOE", "AdjDE", (F.col("AdjOE") - F.col("AdjDE")).alias("AdjEM"), "AdjTempo", "iters")

@@ -505,8 +505,9 @@ def _(spark, d):
     log = fx.reg(spark, d)
     done = teams.adjusted_efficiency(log)
     g = teams.efficiency_games(log)
-    at = teams._efficiency_start(g, teams.KEYS).drop("AdjOE", "AdjDE", "change").join(done.select(*teams.KEYS, F.col("TeamID").alias("t"), "AdjOE", "AdjDE"), [*teams.KEYS, "t"]).withColumn("change", F.lit(0.0))
-    again = teams._efficiency_round(g, at, teams.KEYS)
+    edges = teams._efficiency_edges(g, teams._efficiency_start(g, teams.KEYS), teams.KEYS)
+    at = done.select(*teams.KEYS, F.col("TeamID").alias("t"), "AdjOE", "AdjDE", F.lit(0.0).alias("change"), "iters")
+    again = teams._efficiency_round(edges, at, teams.KEYS)
     return again.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("change") > 1e-3).cast("int").alias("n_violations"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from boutlake.operators import history, teams
 from boutlake.plans import fixtures as fx
-from boutlake.plans.catalog_log import CUTS, EFF
+from boutlake.plans.catalog_log import ADJ, CUTS, DATED, EFF
 from boutlake.plans.registry import query
 from boutlake.streaming import results
 from boutlake.tables import shared_folder
@@ -17,8 +17,8 @@ from boutlake.tables import shared_folder
 SEASON = 2001
 
 
-def feed(spark, d, df, parts: int = 4, closing: bool = True, whole: bool = False):
-    """``df`` (with Season and DayNum) landed in ``parts`` files by day, and the stream that reads them one by one.
+def feed(spark, d, df, parts: int = 4, closing: bool = True, whole: bool = False, at_once: int = 1, days: int = 366):
+    """``df`` (with Season and DayNum) landed in ``parts`` files by day, and the stream that reads ``at_once`` of them at a time.
 
     A ``whole`` log has ``parts`` files of each season, in the order of the seasons.
 
@@ -30,10 +30,10 @@ def feed(spark, d, df, parts: int = 4, closing: bool = True, whole: bool = False
     for season in seasons:
         own = dated.where(F.col("Season") == season) if whole else dated
         for k in range(parts):
-            own.where((F.col("DayNum") >= 366 * k // parts) & (F.col("DayNum") < 366 * (k + 1) // parts)).coalesce(1).write.mode("append").parquet(at)
+            own.where((F.col("DayNum") >= days * k // parts) & (F.col("DayNum") < days * (k + 1) // parts)).coalesce(1).write.mode("append").parquet(at)
     if closing:
         spark.createDataFrame([(-1,)], "_seq long").withColumn("at", F.lit(f"{max([SEASON, *seasons]) + 2}-01-01").cast("timestamp")).write.mode("append").parquet(at)
-    return spark.readStream.schema(dated.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    return spark.readStream.schema(dated.schema).option("maxFilesPerTrigger", at_once).parquet(at)
 
 
 @contextmanager
@@ -130,6 +130,16 @@ def _(spark, d):
     return spark.read.parquet(f"{base}/out").drop("epoch")
 
 
+@query("r4_snapshot_refresh_converged", "cutsconv", DATED, ADJ)
+def _(spark, d):
+    """All seasons to the tolerance, equal to the batch rebuild. Two files of a season, split at day 67, in two batches: the first ends within a season, whose first cut closes then and whose others close with the next."""
+    base = f"{shared_folder(spark)}/refresh-{uuid.uuid4().hex}"
+    stream = feed(spark, d, fx.reg(spark, d), parts=2, closing=False, whole=True, at_once=7, days=134)
+    w = results.refresh_snapshots(stream, fx.cal(spark, d), CUTS, f"{base}/log", f"{base}/out")
+    w.option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("epoch")
+
+
 def last_word(spark, d, p, **landed):
     """The last update of each day of each season."""
     base = f"{shared_folder(spark)}/daily-{uuid.uuid4().hex}"

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from boutlake.operators.history import FACTS, game_facts
@@ -161,25 +162,37 @@ def daily_accuracy(predictions: DataFrame, delay: str = "2 days") -> DataFrame:
     return predictions.withWatermark("at", delay).groupBy(F.window("at", "1 day")).agg(F.count(F.lit(1)).alias("n"), F.avg(miss).alias("signed_miss"), F.avg(F.abs(miss)).alias("abs_miss"))
 
 
+def closed_cuts(days: DataFrame, cuts: list[int]) -> dict[int, list[int]]:
+    """Season -> its closed cuts, of (Season, last) rows: a cut is closed when a row of its day or a later one has come, or a row of a later season."""
+    last = {r.Season: r.last for r in days.groupBy("Season").agg(F.max("last").alias("last")).collect()}  # a row per season
+    return {s: [c for c in cuts if c <= day or s < max(last)] for s, day in last.items()}
+
+
 def refresh_batch(batch: DataFrame, epoch: int, calendar: DataFrame, cuts: list[int], store: str, out: str, rounds: int | None = None) -> None:
     """Stores a micro-batch of symmetric rows and computes the cuts that have closed since, season by season.
 
-    A cut of a season is closed when a row of its day or a later one has come, or a row
-    of a later season. Rows and snapshots are written to a folder of the epoch, so an
-    epoch that is run again replaces what it wrote; which cuts are done is read from the
-    snapshots of earlier epochs, so a restart goes on where the stream stopped.
+    ``store`` holds ``rows``, by epoch and season, and ``days``, the last day of each season that
+    an epoch brought. What was closed before and what is closed now follow from ``days``
+    alone; rows are read only of seasons that have a newly closed cut, and snapshots are never read back. All
+    is written to folders of the epoch, so an epoch that is run again replaces what it wrote, and a
+    restart goes on where the stream stopped.
+
+    Each cut starts from its own averages, not from an earlier cut's ratings: where early games don't
+    connect all teams the fixed point isn't unique, so another start would give other numbers than the batch rebuild.
     """
     spark = batch.sparkSession
-    batch.write.mode("overwrite").parquet(f"{store}/epoch={epoch}")
-    log = spark.read.parquet(store).where(F.col("epoch") <= epoch).drop("epoch")
-    last = {r.Season: r.last for r in log.groupBy("Season").agg(F.max("DayNum").alias("last")).collect()}  # a row per season
-    nothing = efficiency_snapshots(log.limit(0), calendar, cuts, 1)
-    nothing.write.mode("overwrite").parquet(f"{out}/epoch=-1")
-    earlier = spark.read.parquet(out).where(F.col("epoch") < epoch).select("Season", "ArchiveDate").distinct()
-    done = {(r.Season, r.cut) for r in earlier.join(F.broadcast(calendar), "Season").select("Season", F.datediff("ArchiveDate", "DayZero").alias("cut")).collect()}  # seasons x cuts rows
-    new = {s: [c for c in cuts if (c <= day or s < max(last)) and (s, c) not in done] for s, day in last.items()}
-    new = {s: own for s, own in sorted(new.items()) if own}
-    told = efficiency_snapshots(log.where(F.col("Season").isin(list(new))), calendar, cuts, rounds, only=new) if new else nothing
+    batch = batch.persist()  # a micro-batch: written, and asked for its days
+    batch.write.mode("overwrite").partitionBy("Season").parquet(f"{store}/rows/epoch={epoch}")
+    batch.groupBy("Season").agg(F.max("DayNum").alias("last")).coalesce(1).write.mode("overwrite").parquet(f"{store}/days/epoch={epoch}")
+    batch.unpersist()
+    days = spark.read.schema("Season int, last int, epoch long").parquet(f"{store}/days")
+    before, now = closed_cuts(days.where(F.col("epoch") < epoch), cuts), closed_cuts(days.where(F.col("epoch") <= epoch), cuts)
+    new = {s: [c for c in own if c not in before.get(s, [])] for s, own in sorted(now.items())}
+    new = {s: own for s, own in new.items() if own}
+    kept = T.StructType([f for f in batch.schema.fields if f.name != "Season"]).add("epoch", T.LongType()).add("Season", T.IntegerType())
+    log = spark.read.schema(kept).parquet(f"{store}/rows") if new else spark.createDataFrame([], kept)
+    log = log.where((F.col("epoch") <= epoch) & F.col("Season").isin(list(new))).drop("epoch")
+    told = efficiency_snapshots(log, calendar, cuts, rounds if new else 0, only=new)
     told.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
 
