@@ -28,3 +28,9 @@ def asof_both(games: DataFrame, snaps: DataFrame, features: list[str], at: str =
         games = asof_join(games, side, ["Season", f"{s}_TeamID"], at, snap_at, features, allow_exact, prefix=f"{s}_")
     cols = {f"d_{f}": F.col(f"A_{f}") - F.col(f"B_{f}") for f in features} | {f"s_{f}": F.col(f"A_{f}") + F.col(f"B_{f}") for f in features}
     return games.withColumns(cols)
+
+
+def frozen_both(games: DataFrame, snaps: DataFrame, features: list[str], calendar: DataFrame, day: int) -> DataFrame:
+    """As-of features of both sides on one day of each season, whenever the game is: nothing that came after ``day`` is seen. ``calendar`` has a row per season."""
+    dated = games.join(F.broadcast(calendar.select("Season", "DayZero")), "Season").withColumn("frozen_date", F.date_add("DayZero", day)).drop("DayZero")
+    return asof_both(dated, snaps, features, at="frozen_date").drop("frozen_date")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boutlake.operators import teams
-from boutlake.plans import catalog_joins, catalog_log, catalog_metrics, catalog_model, catalog_sources, catalog_stream, fixtures  # noqa: F401  registers its queries
+from boutlake.plans import catalog_joins, catalog_log, catalog_metrics, catalog_model, catalog_sources, catalog_stream, catalog_values, fixtures  # noqa: F401  registers its queries
 from boutlake.plans.registry import QUERIES, oracle_sql  # noqa: F401
 
 
