@@ -1,4 +1,4 @@
-"""Model queries whose every number SQL computes: quotes of all games, a whole field's pairs, and the frozen tournament.
+"""Model queries whose every number SQL computes: quotes of all games, a whole field's pairs, the frozen tournament, and leaves.
 
 The models have one feature of three values, where a forest's leaves are means. SQL fits
 the calibrator by Newton's method on the leaves.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from boutlake.model import handicap
+from boutlake.model import handicap, leaves
 from boutlake.model import training as tr
 from boutlake.operators import asof, match, metrics, symmetric, teams
 from boutlake.plans import fixtures as fx
@@ -123,3 +123,28 @@ def _(spark, d):
     x = x.withColumn("round_num", F.dense_rank().over(Window.partitionBy("Season", "men_women").orderBy("DayNum")))
     oof = tr.leave_one_out(x, ["better"], EXACT).withColumn("p", F.round("pred_prob", 4))
     return oof.groupBy("round_num", F.col("A_home").cast("int").alias("A_home")).agg(F.count(F.lit(1)).alias("n"), metrics.brier("p", "Outcome").alias("brier"), F.avg(F.abs(F.col("pred_margin") - F.col("Margin"))).alias("mae_margin"), F.avg(F.abs(F.col("pred_total") - F.col("Total"))).alias("mae_total"))
+
+
+# --- calibration on leaves: a tree on the venue has a leaf for each, so SQL knows the words, their weights and the fit
+
+_counts = "SELECT A_home, sum(n)::DOUBLE AS n, sum(w)::DOUBLE AS won, (sum(sum(n)) OVER ())::DOUBLE AS allrows FROM venues WHERE Season < 2001 GROUP BY A_home"
+fx.SQL["leafcal0"] = f"SELECT *, ln((allrows + 1) / (n + 1)) AS z, 0.0::DOUBLE AS beta, 0.0::DOUBLE AS b FROM ({_counts})"
+for _i in range(STEPS):  # Newton's method: leaves meet in the intercept only, which is eliminated first
+    _rows = f"SELECT *, 1 / (1 + exp(-(b + beta * z))) AS p FROM leafcal{_i}"
+    _slopes = f"SELECT *, (n * p - won) * z / allrows + 0.01 * beta AS g, n * p * (1 - p) * z * z / allrows + 0.01 AS h, n * p * (1 - p) * z / allrows AS h0, sum((n * p - won) / allrows) OVER () AS g0, sum(n * p * (1 - p) / allrows) OVER () AS h00 FROM ({_rows})"
+    _common = f"SELECT *, (g0 - sum(h0 * g / h) OVER ()) / (h00 - sum(h0 * h0 / h) OVER ()) AS d0 FROM ({_slopes})"
+    fx.SQL[f"leafcal{_i + 1}"] = f"SELECT A_home, n, won, allrows, z, beta - (g - h0 * d0) / h AS beta, b - d0 AS b FROM ({_common})"
+
+
+@query(
+    "m12_leaf_values",
+    f"sided leafcal{STEPS}",
+    f"SELECT Season, A_home, count(*) AS n, any_value(p) AS pred_prob, avg((p - Outcome) ** 2) AS brier FROM sided JOIN (SELECT A_home, round(1 / (1 + exp(-(b + beta * z))), 4) AS p FROM leafcal{STEPS}) USING (A_home) GROUP BY Season, A_home",
+    "pred_prob brier",
+)
+def _(spark, d):
+    """Every season scored by a leaf calibration of the seasons before the last."""
+    g = venue_games(spark, d)
+    model = leaves.fit_leaves(g.where("Season < 2001"), ["A_home"], tr.Settings(trees=1, depth=3, step=1.0, subsample=1.0))
+    told = model.transform(g).withColumn("p", F.round("pred_prob", 4))
+    return told.groupBy("Season", F.col("A_home").cast("int").alias("A_home")).agg(F.count(F.lit(1)).alias("n"), F.max("p").alias("pred_prob"), metrics.brier("p", "Outcome").alias("brier"))
