@@ -8,7 +8,7 @@ from oracle import connection, difference
 from boutlake.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"a5_fixed_point", "m1_leave_one_season_out", "m17_ablation", "m9_field_pair_predictions"}
+SLOW = {"a5_fixed_point", "m1_leave_one_season_out", "m17_ablation", "m9_field_pair_predictions", "r4_snapshot_refresh_converged"}
 
 
 @pytest.fixture(scope="module")
