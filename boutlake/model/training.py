@@ -37,6 +37,11 @@ def assembled(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="x").transform(df.fillna(0.0, subset=features))
 
 
+def held_by_key(key: str, one_in: int = 5):
+    """Whether a row is held out, by a hash of its key alone: the same on every run, in every order of the rows and in SQL. A null key is never held out."""
+    return F.coalesce(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % one_in == 0, F.lit(False))
+
+
 def fit_regressor(df: DataFrame, label: str, s: Settings, weight: str | None = None):
     gbt = GBTRegressor(featuresCol="x", labelCol=label, predictionCol=f"pred_{label.lower()}", maxIter=s.trees, maxDepth=s.depth, stepSize=s.step, subsamplingRate=s.subsample, seed=s.seed)
     return (gbt.setWeightCol(weight) if weight else gbt).fit(df)

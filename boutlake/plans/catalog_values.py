@@ -1,4 +1,4 @@
-"""Model queries whose every number SQL computes: quotes of all games, a whole field's pairs, the frozen tournament, and leaves.
+"""Model queries whose every number SQL computes: quotes of all games, a whole field's pairs, the frozen tournament, leaves, and the quick model.
 
 The models have one feature of three values, where a forest's leaves are means. SQL fits
 the calibrator by Newton's method on the leaves.
@@ -148,3 +148,24 @@ def _(spark, d):
     model = leaves.fit_leaves(g.where("Season < 2001"), ["A_home"], tr.Settings(trees=1, depth=3, step=1.0, subsample=1.0))
     told = model.transform(g).withColumn("p", F.round("pred_prob", 4))
     return told.groupBy("Season", F.col("A_home").cast("int").alias("A_home")).agg(F.count(F.lit(1)).alias("n"), F.max("p").alias("pred_prob"), metrics.brier("p", "Outcome").alias("brier"))
+
+
+# --- the quick model: a logistic model on the logged margins, a fifth of the games held out by a hash of their number
+
+fx.SQL["quickrows"] = "SELECT Season, Outcome, pred_margin AS pm, ('0x' || substr(md5(_seq::VARCHAR), 1, 8))::BIGINT % 5 = 0 AS held_out FROM plog"
+fx.SQL["quickfit"] = "SELECT 1 AS k, pm, count(*) AS n, sum(Outcome) AS won FROM quickrows WHERE NOT held_out GROUP BY pm"
+_quick_cal = _calibrators("quickcal", "quickfit")
+
+
+@query(
+    "m15_quick_values",
+    f"quickrows {_quick_cal}",
+    f"SELECT Season, held_out, count(*) AS n, avg(p) AS mean_chance, avg((p - Outcome) ** 2) AS brier, avg(((p >= 0.5) = (Outcome = 1))::INT) AS accuracy FROM (SELECT q.*, round(1 / (1 + exp(-(a * pm + b))), 4) AS p FROM quickrows q, {_quick_cal}) GROUP BY Season, held_out",
+    "mean_chance brier accuracy",
+)
+def _(spark, d):
+    """Scores of the fitted and the held-out games of every season."""
+    g = fx.plog(spark, d).withColumn("held_out", tr.held_by_key("_seq"))
+    told = tr.probability(g, tr.fit_calibrator(g.where("NOT held_out"), EXACT), out="q").withColumn("p", F.round("q", 4))
+    right = ((F.col("p") >= 0.5) == (F.col("Outcome") == 1)).cast("int")
+    return told.groupBy("Season", "held_out").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_chance"), metrics.brier("p", "Outcome").alias("brier"), F.avg(right).alias("accuracy"))

@@ -5,6 +5,7 @@ from datetime import date
 import pytest
 
 from boutlake.model import handicap
+from boutlake.model import training as tr
 from boutlake.operators import asof
 from boutlake.streaming import results
 
@@ -39,3 +40,11 @@ def test_closed_cuts(spark):
     assert results.closed_cuts(days, [35, 70, 105]) == {2000: [35, 70, 105], 2001: [35]}
     assert results.closed_cuts(days.where("epoch = 0"), [35, 70, 105]) == {2000: [35, 70]}
     assert results.closed_cuts(days.limit(0), [35]) == {}
+
+
+def test_hold_out_depends_on_the_key_alone(spark):
+    df = spark.range(2000).withColumn("held", tr.held_by_key("id"))
+    first = {r.id for r in df.where("held").collect()}
+    again = {r.id for r in df.orderBy("id", ascending=False).repartition(7).where("held").collect()}
+    assert first == again and 330 < len(first) < 470
+    assert spark.sql("SELECT CAST(NULL AS BIGINT) AS id").select(tr.held_by_key("id")).first()[0] is False
