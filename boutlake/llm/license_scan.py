@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boutlake.llm.common import quoted
+
 # Wording of well-known licenses and notices.
 TEMPLATES = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
@@ -78,6 +80,10 @@ def gram_hashes(ids: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
+#: Cells of an alignment that one sweep holds (five bytes each).
+SWEEP = 1 << 22
+
+
 @dataclass
 class Index:
     """The templates' words, numbered, and the inverted index from fingerprint to (template, place)."""
@@ -105,45 +111,55 @@ def build_index(templates: dict[str, str], k: int = 3, window: int = 4) -> Index
     return Index(names, words, numbers, dict(places), np.array(sorted(places), np.uint64), k, window)
 
 
-def align(a: np.ndarray, b: np.ndarray, centre: int, band: int) -> list[tuple[int, int]]:
-    """Matched places (i in template a, j in text b) of a best local-in-b alignment within ``band`` of the diagonal j - i = centre.
+def align_all(a: np.ndarray, b: np.ndarray, centres: np.ndarray, band: int) -> list[list[tuple[int, int]]]:
+    """For each centre the matched places (i in template a, j in text b) of a best local-in-b alignment within ``band`` of the diagonal j - i = centre.
 
     Score: 2 for equal words, -1 for a substitution, an insertion or a deletion.
-    Rows are templates' words, so time and memory are len(a) x (2 band + 1).
+    All diagonals of a template are aligned in one sweep over its words, so time
+    in Python is len(a) a sweep and memory len(a) x centres x (2 band + 1).
     """
-    n, width = len(a), 2 * band + 1
-    off = np.arange(width) + centre - band
-    score = np.zeros((n + 1, width), np.int32)
-    move = np.zeros((n + 1, width), np.int8)
+    n, m, width = len(a), len(centres), 2 * band + 1
     steps = np.arange(width)
+    off = centres[:, None] - band + steps
+    score = np.zeros((n + 1, m, width), np.int32)
+    move = np.zeros((n + 1, m, width), np.int8)
+    never = np.full((m, 1), -(1 << 20), np.int32)
     for i in range(1, n + 1):
         j = off + i - 1
         inside = (j >= 0) & (j < len(b))
-        same = np.zeros(width, bool)
-        same[inside] = b[j[inside]] == a[i - 1]
-        diagonal = np.where(inside, score[i - 1] + np.where(same, 2, -1), -(1 << 20))
-        skip_a = np.r_[score[i - 1][1:] - 1, -(1 << 20)]
+        same = inside & (b[np.where(inside, j, 0)] == a[i - 1])
+        before = score[i - 1]
+        diagonal = np.where(inside, before + np.where(same, 2, -1), never)
+        skip_a = np.concatenate([before[:, 1:] - 1, never], axis=1)
         best = np.maximum(np.maximum(diagonal, skip_a), 0)
-        along = np.maximum.accumulate(best + steps) - steps  # words of the text that the template lacks
+        along = np.maximum.accumulate(best + steps, axis=1) - steps  # words of the text that the template lacks
         row_move = np.where(diagonal >= skip_a, np.where(same, 1, 2), 3)
         row_move[best == 0] = 0
         row_move[along > best] = 4
         score[i], move[i] = along, row_move
-    i, c = np.unravel_index(int(score.argmax()), score.shape)
     out = []
-    while i > 0 and score[i, c] > 0:
-        m = move[i, c]
-        if m == 4:
-            c -= 1
-        elif m == 3:
-            i, c = i - 1, c + 1
-        elif m == 0:
-            break
-        else:
-            if m == 1:
-                out.append((int(i - 1), int(off[c] + i - 1)))
-            i -= 1
-    return out[::-1]
+    for g in range(m):
+        i, c = np.unravel_index(int(score[:, g].argmax()), (n + 1, width))
+        pairs = []
+        while i > 0 and score[i, g, c] > 0:
+            kind = move[i, g, c]
+            if kind == 4:
+                c -= 1
+            elif kind == 3:
+                i, c = i - 1, c + 1
+            elif kind == 0:
+                break
+            else:
+                if kind == 1:
+                    pairs.append((int(i - 1), int(off[g, c] + i - 1)))
+                i -= 1
+        out.append(pairs[::-1])
+    return out
+
+
+def align(a: np.ndarray, b: np.ndarray, centre: int, band: int) -> list[tuple[int, int]]:
+    """``align_all`` for one diagonal."""
+    return align_all(a, b, np.array([centre]), band)[0]
 
 
 def chains(pieces: list[list[tuple[int, int]]], size: int, min_coverage: float, slack: int) -> list[list[tuple[int, int]]]:
@@ -211,16 +227,15 @@ def scan_text(text: str | None, index: Index, min_coverage: float, band: int) ->
         size = len(index.words[t])
         reach = min(band, size - 1)  # occurrences that follow on each other lie a template's length apart
         diagonals.sort()
-        at, pieces = 0, []
+        at, centres = 0, []
         while at < len(diagonals):
             stop = at
             while stop < len(diagonals) and diagonals[stop] - diagonals[at] <= reach:
                 stop += 1
-            centre = diagonals[(at + stop - 1) // 2]
-            first = max(0, centre - 2 * reach)
-            pairs = align(index.words[t], ids[first : centre + size + 2 * reach], centre - first, reach)
+            centres.append(diagonals[(at + stop - 1) // 2])
             at = stop
-            pieces.append([(i, first + j) for i, j in pairs])
+        some = max(1, SWEEP // (size * (2 * reach + 1)))
+        pieces = [p for lo in range(0, len(centres), some) for p in align_all(index.words[t], ids, np.array(centres[lo : lo + some]), reach)]
         for pairs in chains(pieces, size, min_coverage, index.window + index.k - 1):
             spans, start = [], 0
             places = [j for _, j in pairs]
@@ -262,4 +277,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage:
                 names=[id_col, "license", "coverage", "matched_words", "spans"],
             )
 
-    return docs.select(id_col, F.col(text_col)).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, license string, coverage double, matched_words int, spans array<struct<start:int,end:int>>")
+    return docs.select(F.col(quoted(id_col)), F.col(quoted(text_col))).mapInArrow(run, f"{quoted(id_col)} {docs.schema[id_col].dataType.simpleString()}, license string, coverage double, matched_words int, spans array<struct<start:int,end:int>>")

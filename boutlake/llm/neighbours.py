@@ -14,6 +14,7 @@ Candidates are scored where their bucket is and ranked exactly, in double precis
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -89,6 +90,25 @@ def usable(v: str) -> Column:
     return c.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(c, lambda x: x != 0)
 
 
+def lengths_of(x: np.ndarray) -> np.ndarray:
+    """The rows' norms, by their largest component, so that no square over- or underflows."""
+    most = np.abs(x).max(axis=1)
+    return most * np.linalg.norm(x / most[:, None], axis=1)
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """The rows at length 1, whatever their size."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of all rows; one that overflows both ways, hence is no number, counts as minus infinity."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        s = x @ y.T
+    return np.where(np.isnan(s), -np.inf, s)
+
+
 @dataclass(frozen=True)
 class Part:
     """Vectors of one length whose norms lie within a factor of two: their number, least and greatest norm.
@@ -119,13 +139,14 @@ class Part:
     def units(self, x: np.ndarray) -> np.ndarray:
         """The indexed vectors, of length 1."""
         if not self.lifted:
-            return x / np.linalg.norm(x, axis=1, keepdims=True)
-        rest = np.sqrt(np.maximum(self.top**2 - (x * x).sum(axis=1, keepdims=True), 0))
-        return np.concatenate([x, rest], axis=1) / self.top
+            return unit_rows(x)
+        x = x / self.top
+        rest = np.sqrt(np.maximum(1 - (x * x).sum(axis=1, keepdims=True), 0))
+        return np.concatenate([x, rest], axis=1)
 
     def asked(self, x: np.ndarray) -> np.ndarray:
         """The queries, of length 1, with nothing in the appended coordinate."""
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        x = unit_rows(x)
         return np.concatenate([x, np.zeros((len(x), 1))], axis=1) if self.lifted else x
 
 
@@ -192,7 +213,8 @@ def nearest(
     ``block`` classes are cut into blocks, each met by all queries of the bucket in a
     stream. Vectors are compared with those of the same length only. Ids are taken as
     distinct; rows with a null id take no part; other columns are not read. An empty
-    table, or one without usable vectors, gives no row. ``compared``, an accumulator,
+    table, or one without usable vectors, gives no row. Products are doubles: one
+    that overflows is infinite, and one that is no number counts as minus infinity. ``compared``, an accumulator,
     counts the pairs scored.
     """
     spark = vectors.sparkSession
@@ -203,8 +225,9 @@ def nearest(
     counted = pinned(v.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.count_if("q").alias("asked")))
     classes, total = counted.select("rep", "v"), v.count()
     hot_vectors, hot_reps = hot_keys(counted, "v", total), hot_keys(counted, "rep", total)
-    norm = F.sqrt(F.aggregate(F.transform("v", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x))
-    band = F.floor(F.log2(norm)).cast("int")
+    most = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+    norm = F.least(most * F.sqrt(F.aggregate(F.transform("v", lambda x: F.pow(x.cast("double") / most, F.lit(2))), F.lit(0.0), lambda s, x: s + x)), F.lit(sys.float_info.max))
+    band = F.floor(F.log2(norm)).cast("int")  # squares are of shares of the largest component, as those of components may over- or underflow
     found = classes.groupBy(F.size("v").alias("dim"), band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.min(norm).alias("lo"), F.max(norm).alias("hi")).collect()  # a row per length and factor of two
     parts = [Part(r.dim, r.n, r.lo, r.hi) for r in sorted(found, key=lambda r: (r.dim, -r.hi))]
     own_parts = {dim: [g for g, p in enumerate(parts) if p.dim == dim] for dim in {p.dim for p in parts}}
@@ -229,7 +252,7 @@ def nearest(
         for b in batches:
             for dim, part, x in _by_length(b):
                 tops = np.array([parts[g].top for g in own_parts[dim]])
-                mine = np.array([len(tops) - 1 - np.searchsorted(tops[::-1], r * (1 - 1e-12)) for r in np.linalg.norm(x, axis=1)])  # the part with the least top that isn't below
+                mine = np.array([len(tops) - 1 - np.searchsorted(tops[::-1], r * (1 - 1e-12)) for r in np.minimum(lengths_of(x), sys.float_info.max)])  # the part with the least top that isn't below
                 for i, g in enumerate(own_parts[dim]):
                     at = np.flatnonzero(mine == i)
                     if len(at):
@@ -252,12 +275,14 @@ def nearest(
             for dim, part, x in _by_length(b):
                 bound = part.column(2).to_numpy(zero_copy_only=False)
                 if len(pilots[dim]) > k:
-                    s = x @ pilots[dim].T
+                    s = products(x, pilots[dim])
                     bound = np.fmax(bound, -np.partition(-s, k, axis=1)[:, k])
                 bound = np.where(np.isnan(bound), -np.inf, bound)
-                length = np.linalg.norm(x, axis=1)
+                length = lengths_of(x)
                 for g in own_parts[dim]:
-                    cosine = bound / (length * parts[g].top)
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        cosine = bound / length / parts[g].top
+                    cosine = np.where(np.isnan(cosine), -np.inf, cosine)
                     near = np.flatnonzero(cosine <= 1 + 1e-9)  # no vector of the part reaches more
                     if not len(near):
                         continue
@@ -306,7 +331,7 @@ def nearest(
                 if x is None:
                     x, reps = np.concatenate(held), [np.concatenate(reps)]
                 for a in range(0, len(m), 512):
-                    s = m[a : a + 512] @ x.T
+                    s = products(m[a : a + 512], x)
                     pairs += s.size
                     bar = bound[lo + a : lo + a + len(s)]
                     if s.shape[1] > k + 1:
@@ -337,6 +362,7 @@ def nearest(
     second = meet(queries.join(bounds, "rep", "left").select("rep", "v", F.coalesce("bound", none).alias("bound")).mapInArrow(probe_likely, schema))
     near = folded(first.unionByName(second)).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep"))).where(F.col("r") <= 2 * k + 2).drop("score")
     product = F.aggregate(F.zip_with("qv", "cv", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    product = F.when(F.isnan(product), F.lit(float("-inf"))).otherwise(product)
     exact = near.join(classes.withColumnRenamed("v", "cv"), "rep").join(classes.select(F.col("rep").alias("q"), F.col("v").alias("qv")), "q").select("q", "rep", product.alias("score"))
     best = exact.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep"))).where(F.col("r") <= k + 1)
     alike = v.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1).select("id", "v")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 
@@ -90,3 +91,14 @@ def test_insertions_of_any_length(n, breaks):
     at = [size * (k + 1) // (breaks + 1) for k in range(breaks)]
     found = mit(f"{foreign(40)} {with_breaks(at, n)} {foreign(40)}")
     assert [f[1] for f in found] == [1.0]
+
+
+def test_many_copies_and_scraps_are_cheap():
+    """80 copies are all found; thousands of shuffled scraps of six words are no occurrence, and neither takes long."""
+    began = time.process_time()
+    found = license_scan.scan_text(" foo ".join([MIT] * 80), INDEX, 0.6, 16)
+    assert [(f[0], f[1]) for f in found] == [("MIT", 1.0)] * 80
+    words, rng = MIT.split(), random.Random(1)
+    scraps = [words[i : i + 6] for i in range(len(words) - 6)]
+    assert license_scan.scan_text(" ".join(w for _ in range(3000) for w in rng.choice(scraps)), INDEX, 0.6, 16) == []
+    assert time.process_time() - began < 15  # 44 s with one alignment a diagonal

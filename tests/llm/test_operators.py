@@ -473,6 +473,26 @@ def test_neighbours_ties_copies_and_odd_vectors(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("size", [1e200, 1e-200, 1e308, 5e-324])
+def test_neighbours_of_extreme_norms(spark, size):
+    """Norms whose squares over- or underflow; a product that is no number counts as minus infinity."""
+    rng = np.random.default_rng(8)
+    x = np.clip(rng.standard_normal((90, 8)), -1.7, 1.7)
+    x[:30] *= size
+    x[(x == 0).all(axis=1), 0] = size
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert sorted(got) == [0, 20, 40, 60, 80]
+    with np.errstate(over="ignore", invalid="ignore"):
+        for q, found in got.items():
+            s = np.cumsum(x[q] * x, axis=1)[:, -1]  # one product after the other, as the operator adds
+            s[np.isnan(s)] = -np.inf
+            want = sorted((i for i in range(90) if i != q), key=lambda i: (-s[i], i))[:20]
+            assert [i for i, _ in found] == want and [float(v) for _, v in found] == [float(s[i]) for i in want]
+
+
 def test_rotation_keeps_lengths():
     x = np.random.default_rng(1).standard_normal((5, 24))
     y = neighbours.rotate(x, 2)
