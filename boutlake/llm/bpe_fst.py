@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boutlake.llm.common import Recent
+from boutlake.llm.common import Recent, quoted
 
 NEVER = 1 << 60
 
@@ -345,5 +345,5 @@ def encode_column(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "valid_utf8"]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else []), names=names + (["ids"] if with_ids else []))
 
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean" + (", ids array<int>" if with_ids else "")
-    return docs.select(id_col, F.col(text_col)).mapInArrow(run, schema)
+    schema = f"{quoted(id_col)} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean" + (", ids array<int>" if with_ids else "")
+    return docs.select(F.col(quoted(id_col)), F.col(quoted(text_col))).mapInArrow(run, schema)

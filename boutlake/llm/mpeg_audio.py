@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boutlake.llm.common import quoted
+
 UNIT = 192
 
 # Fixed values of ISO/IEC 11172-3 and 13818-3: kbit/s by bitrate index 1..14.
@@ -221,7 +223,7 @@ def wrap_payload(payload: bytes, n_bytes: int) -> bytes:
 
 
 def _read_id3v2(data: bytes, at: int, tags: dict) -> int:
-    """Reads the tag at ``at`` into ``tags``; where it ends."""
+    """Reads the tag at ``at`` into ``tags``; where it ends. A size that reaches behind the data is damage: only the tag's head is passed over then."""
     version, flags, size = data[at + 3], data[at + 5], _from_syncsafe(data[at + 6 : at + 10])
     end = min(len(data), at + 10 + size)
     body = data[at + 10 : end]
@@ -233,6 +235,8 @@ def _read_id3v2(data: bytes, at: int, tags: dict) -> int:
     wide = 4 if version > 2 else 3
     while p + 2 * wide + (2 if wide == 4 else 0) <= len(body) and body[p]:
         name, raw = body[p : p + wide].decode("latin-1"), body[p + wide : p + 2 * wide]
+        if not (name.isascii() and name.isalnum() and name == name.upper()):
+            break
         length = _from_syncsafe(raw) if version == 4 else int.from_bytes(raw, "big")
         p += 2 * wide + (2 if wide == 4 else 0)
         text = body[p : p + length]
@@ -241,13 +245,16 @@ def _read_id3v2(data: bytes, at: int, tags: dict) -> int:
             code = {0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(text[0], "utf-8")
             parts = text[1:].decode(code, "replace").split("\0")
             tags[f"{name}:{parts[0]}" if name[:2] == "TX" else name] = parts[1] if name[:2] == "TX" and len(parts) > 1 else parts[0]
-    return at + 10 + size + (10 if flags & 0x10 else 0)
+    whole = at + 10 + size + (10 if flags & 0x10 else 0)
+    return whole if whole <= len(data) else at + 10
 
 
-def _read_ape(data: bytes, end: int, tags: dict) -> int:
-    """Reads an APEv2 tag that ends at ``end``; where the tag begins."""
+def _read_ape(data: bytes, begin: int, end: int, tags: dict) -> int:
+    """Reads an APEv2 tag that ends at ``end``; where the tag begins. A size that doesn't lie between ``begin`` and ``end`` is damage: only the footer is passed over then."""
     size, count, flags = struct.unpack("<III", data[end - 20 : end - 8])
     p, start = end - size, end - size - (32 if flags >> 31 else 0)
+    if size < 32 or start < begin:
+        return end - 32
     for _ in range(count):
         if p < 0 or p + 8 > end:
             break
@@ -257,7 +264,7 @@ def _read_ape(data: bytes, end: int, tags: dict) -> int:
             break
         tags["APE:" + data[p + 8 : stop].decode("latin-1")] = data[stop + 1 : stop + 1 + length].decode("utf-8", "replace")
         p = stop + 1 + length
-    return max(0, start)
+    return start
 
 
 def _read_table(frame: bytes, h: dict) -> dict | None:
@@ -288,9 +295,37 @@ def _read_table(frame: bytes, h: dict) -> dict | None:
     return None
 
 
+def main_family(data: bytes, at: int, end: int) -> tuple | None:
+    """(version, layer, rate) of the longest run of frames on frames, by bytes; the first of equals.
+
+    A lone frame is a run only where the data ends behind it. The search stops at
+    a run that holds half of what there is.
+    """
+    best, most, half = None, 0, (end - at) / 2
+    while at + 4 <= end:
+        start, frames, family = at, 0, None
+        while at + 4 <= end:
+            h = frame_header(int.from_bytes(data[at : at + 4], "big"))
+            if h is None or at + h["length"] > end or family not in (None, h["family"]):
+                break
+            family = h["family"]
+            frames += 1
+            at += h["length"]
+        if at - start > most and (frames > 1 or at + 4 > end):
+            best, most = family, at - start
+            if most >= half:
+                break
+        to = data.find(b"\xff", start + 1 if frames < 2 else at, end)  # a lone header may be part of another frame
+        at = end if to < 0 else to
+    return best
+
+
 def parse_stream(data: bytes) -> dict:
     """Everything that a stream of MPEG audio tells.
 
+    Frames are those of the family with the longest run of them; headers of another
+    family are passed over, as are tags whose size can't be right.
+
     Keys: tags, table, frames, offsets (byte offset of each audio frame), sizes,
     samples (exact, less encoder delay and padding), rate, duration_us, bitrates
     (count by bit/s), crc_ok, crc_bad, music_ok (None: no check in
@@ -307,17 +342,18 @@ def parse_stream(data: bytes) -> dict:
             if value := data[end + lo : end + hi].rstrip(b"\0 ").decode("latin-1"):
                 tags[f"ID3v1:{name}"] = value
     if end - at >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
-        end = _read_ape(data, end, tags)
+        end = _read_ape(data, at, end, tags)
     offsets: list[int] = []
     sizes: list[int] = []
     bitrates: dict[int, int] = {}
     first = table = None
+    family = main_family(data, at, end)
     samples = skipped = ok = bad = 0
     music_from = at
     while at + 4 <= end:
         word = int.from_bytes(data[at : at + 4], "big")
         h = frame_header(word)
-        good = h is not None and at + h["length"] <= end and (first is None or h["family"] == first["family"])
+        good = h is not None and at + h["length"] <= end and h["family"] == family
         if good and (first is None or skipped_now):
             after = at + h["length"]  # a new start counts only with a second header, or the end, behind it
             then = frame_header(int.from_bytes(data[after : after + 4], "big")) if after + 4 <= end else h
@@ -405,7 +441,7 @@ def media_columns(df: DataFrame, column: str = "media") -> DataFrame:
         names = [x.split()[0] for x in STREAM_FIELDS.split(", ")]
         return pd.DataFrame([dict.fromkeys(names) if r is None else dict(zip(names, r)) for r in rows], columns=names)
 
-    return df.withColumn("audio", F.when(F.col(column).isNotNull(), parsed(F.col(column))))
+    return df.withColumn("audio", F.when(F.col(quoted(column)).isNotNull(), parsed(F.col(quoted(column)))))
 
 
 def text_payload(text: str | None) -> tuple[bytes, int]:
@@ -438,4 +474,4 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     c.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols[:-1]), pa.array(cols[-1], pa.list_(pa.int64()))], names=[id_col, *(x.split()[0] for x in MEDIA_SCHEMA.split(", "))])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type.simpleString()}, {MEDIA_SCHEMA}")
+    return docs.select(F.col(quoted(id_col)), F.col(quoted(text_col))).mapInArrow(run, f"{quoted(id_col)} {id_type.simpleString()}, {MEDIA_SCHEMA}")

@@ -93,7 +93,8 @@ def usable(v: str) -> Column:
 def lengths_of(x: np.ndarray) -> np.ndarray:
     """The rows' norms, by their largest component, so that no square over- or underflows."""
     most = np.abs(x).max(axis=1)
-    return most * np.linalg.norm(x / most[:, None], axis=1)
+    with np.errstate(over="ignore"):
+        return np.minimum(most * np.linalg.norm(x / most[:, None], axis=1), sys.float_info.max)
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -252,7 +253,7 @@ def nearest(
         for b in batches:
             for dim, part, x in _by_length(b):
                 tops = np.array([parts[g].top for g in own_parts[dim]])
-                mine = np.array([len(tops) - 1 - np.searchsorted(tops[::-1], r * (1 - 1e-12)) for r in np.minimum(lengths_of(x), sys.float_info.max)])  # the part with the least top that isn't below
+                mine = np.array([len(tops) - 1 - np.searchsorted(tops[::-1], r * (1 - 1e-12)) for r in lengths_of(x)])  # the part with the least top that isn't below
                 for i, g in enumerate(own_parts[dim]):
                     at = np.flatnonzero(mine == i)
                     if len(at):

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import base64
+import collections
 import hashlib
+import math
 import random
 import struct
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -92,6 +95,26 @@ def test_media_resynchronises_and_notices_damage():
     assert mpeg_audio.parse_stream(stream[: cut + 100])["frames"] == 3
 
 
+def test_media_damaged_tags_and_false_families():
+    """Tag sizes that can't be right and headers of other families ahead hide no frame."""
+    stream = mpeg_audio.wrap_payload(b"z" * 768 * 8, 768 * 8)
+    whole = mpeg_audio.parse_stream(stream)
+    music = stream[whole["offsets"][0] - 240 : -128]
+    id3 = stream[: whole["offsets"][0] - 240]
+    broken = mpeg_audio.parse_stream(id3[:6] + b"\x7f\x7f\x7f\x7f" + id3[10:] + music)
+    assert broken["frames"] == 8 and broken["skipped"] == len(id3) - 10 and broken["music_ok"] and broken["tags"]["TXXX:payload_bytes"] == "6144"
+    for size in (0, 31, 0x7FFFFFFF, len(music) + 5000):
+        ape = b"APETAGEX" + struct.pack("<IIII", 2000, size, 1, 0) + bytes(8)
+        p = mpeg_audio.parse_stream(music + ape)
+        assert p["frames"] == 8 and p["skipped"] == 0 and p["music_ok"]
+    false = bytes((0xFF, 0xF3, 0x10, 0x04))  # layer III of MPEG-2, 8 kbit/s, 22.05 kHz
+    short = mpeg_audio.frame_header(int.from_bytes(false, "big"))["length"]
+    p = mpeg_audio.parse_stream(false.ljust(short, b"\0") * 2 + music)
+    assert p["frames"] == 8 and p["rate"] == 48000 and p["skipped"] == 2 * short and p["table"]["kind"] == "Xing"
+    lone = mpeg_audio.parse_stream(false.ljust(short, b"\0"))
+    assert lone["frames"] == 1 and lone["rate"] == 22050
+
+
 def test_media_other_layouts():
     """Layer II without checks, an APE tag, an ID3v2.3 tag and a VBRI table."""
     head = bytes((0xFF, 0xFD, 0x80, 0x04))  # layer II, 128 kbit/s, 44.1 kHz
@@ -174,7 +197,7 @@ def test_language_held_out(spark):
 
 
 def test_language_without_letters(spark):
-    m = language_id.LanguageModel(("de", "en"), np.ones(language_id.DIMS), np.zeros((language_id.DIMS, 2)), np.zeros(2), 1.0)
+    m = language_id.LanguageModel(("de", "en"), np.ones(1024), np.zeros(1024, np.int32), np.zeros((1, 2)), np.zeros(2), 1.0)
     assert language_id.predict_text("123 !!", m) == ("und", 0.0) and language_id.predict_text(None, m) == ("und", 0.0)
     assert language_id.predict_text("a", m) == ("de", 0.5)
 
@@ -182,13 +205,91 @@ def test_language_without_letters(spark):
 def test_ftrl_is_sparse_and_temperature_helps():
     rng = np.random.default_rng(0)
     rows = [(np.array([y, 10 + int(rng.integers(50))]), np.array([1.0, 0.3]), y) for y in rng.integers(0, 2, 400).tolist()]
-    w, _ = language_id.train_ftrl(rows, 2, 3, 1.0, 1.0, 0.5, 0.01)
-    assert w[0, 0] > 0 > w[1, 0] and np.count_nonzero(w[10:60]) < 100
+    seen, w, _ = language_id.train_ftrl(rows, 2, 3, 1.0, 1.0, 0.5, 0.01)
+    assert seen.tolist() == [0, 1, *range(10, 60)] and w[0, 0] > 0 > w[1, 0] and np.count_nonzero(w[2:]) < 100
     logits = 10 * rng.standard_normal((500, 2))
     y = (rng.random(500) < 1 / (1 + np.exp(logits[:, 0] - logits[:, 1]) ** 0.1)).astype(int)
     assert language_id.fit_temperature(logits, y) > 3
 
 
+def plain_ftrl(rows, n_langs, epochs, alpha, beta, l1, l2):
+    """The definition, a coordinate at a time: (z, n) of every (bucket, class), the bias under bucket -1 without penalties."""
+    z, n = {}, {}
+
+    def weight(key):
+        a, b = (l1, l2) if key[0] >= 0 else (0.0, 0.0)
+        v = z.get(key, 0.0)
+        return 0.0 if abs(v) <= a else -(v - math.copysign(a, v)) / ((beta + math.sqrt(n.get(key, 0.0))) / alpha + b)
+
+    for _ in range(epochs):
+        for at, x, y in rows:
+            put = [*zip(at.tolist(), x.tolist()), (-1, 1.0)]
+            w = {(f, c): weight((f, c)) for f, _ in put for c in range(n_langs)}
+            e = [math.exp(sum(w[f, c] * v for f, v in put)) for c in range(n_langs)]
+            for f, v in put:
+                for c in range(n_langs):
+                    g = (e[c] / sum(e) - (c == y)) * v
+                    old = n.get((f, c), 0.0)
+                    n[f, c] = old + g * g
+                    z[f, c] = z.get((f, c), 0.0) + g - (math.sqrt(n[f, c]) - math.sqrt(old)) / alpha * w[f, c]
+    return {k: weight(k) for k in z}
+
+
+def test_ftrl_by_its_definition():
+    rng = np.random.default_rng(5)
+    rows = [(np.sort(rng.choice(40, 5, replace=False)), rng.random(5), int(rng.integers(3))) for _ in range(60)]
+    seen, w, bias = language_id.train_ftrl(rows, 3, 2, 1.0, 1.0, 0.02, 0.01)
+    want = plain_ftrl(rows, 3, 2, 1.0, 1.0, 0.02, 0.01)
+    assert np.allclose(w, [[want[b, c] for c in range(3)] for b in seen.tolist()], atol=1e-12) and np.allclose(bias, [want[-1, c] for c in range(3)], atol=1e-12)
+
+
+def test_language_fit_by_brute_force(spark):
+    """The whole fit and the probabilities, from collected rows."""
+    rng = random.Random(6)
+    words = {lang: ["".join(rng.choices(letters, k=4)) for _ in range(12)] for lang, letters in (("aa", "abcdeé"), ("bb", "cdefgh"), ("cc", "ghijka"))}
+    rows = [(i, lang, " ".join(rng.choices(words[lang], k=5))) for i in range(40) for lang in [rng.choice(list(words))]]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").cache()
+    m = language_id.fit(docs, F.lit(True), shards=2, epochs=2)
+    part = docs.select("lang", "text", F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(10)).alias("part")).collect()
+    grams = {r.text: collections.Counter(r.text[i : i + n] for n in (1, 2, 3) for i in range(len(r.text) - n + 1)) for r in part}
+    bucket = {}
+    for g in {g for c in grams.values() for g in c}:
+        known = language_id.ngram_counts(g)[0] if len(g) == 1 else np.setdiff1d(language_id.ngram_counts(g)[0], np.concatenate([language_id.ngram_counts(h)[0] for h in {g[:-1], g[1:]}]))
+        bucket[g] = int(known[0])
+    trained = [r for r in part if r.part >= 2]
+    counts = {t: {b: sum(n for g, n in c.items() if bucket[g] == b) for b in {bucket[g] for g in c}} for t, c in grams.items()}
+    idf = lambda b: math.log((1 + len(trained)) / (1 + sum(b in counts[r.text] for r in trained))) + 1
+
+    def vector(text):
+        v = {b: (1 + math.log(n)) * idf(b) for b, n in sorted(counts[text].items())}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return np.array(list(v)), np.array(list(v.values())) / size
+
+    langs, mean = sorted(words), collections.Counter()
+    for shard in (0, 1):
+        data = [(*vector(r.text), langs.index(r.lang)) for r in trained if r.part % 2 == shard]
+        data.sort(key=lambda r: (r[0].astype(np.int32).tobytes(), r[2]))
+        for key, w in plain_ftrl([data[i] for i in np.random.default_rng(2).permutation(len(data))], 3, 2, 1.0, 1.0, 0.02, 0.01).items():
+            mean[key] += w / 2
+    assert m.langs == tuple(langs) and np.allclose(m.bias, [mean[-1, c] for c in range(3)], atol=1e-9)
+    for r in language_id.predict(docs, m, keep=("text",)).collect():
+        at, x = vector(r.text)
+        s = np.array([sum(mean[b, c] * v for b, v in zip(at.tolist(), x.tolist())) + mean[-1, c] for c in range(3)]) / m.temperature
+        p = np.exp(s) / np.exp(s).sum()
+        assert r.lang_pred == langs[int(p.argmax())] and r.score == pytest.approx(p.max(), abs=1e-9)
+
+
+def test_no_language_is_left_out(spark):
+    """More languages than 2 to the BITS buckets hold at their full number: buckets halve, all are learned."""
+    assert [language_id.bits_for(n) for n in (1, 256, 257, 512, 6000)] == [16, 16, 15, 15, 11]
+    rows = [(i, f"l{i % 300:03d}", " ".join([f"{chr(0x4E00 + i % 300)}{chr(0x5E00 + i % 300)}"] * 3)) for i in range(1800)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    m = language_id.fit(docs, F.lit(True), epochs=2)
+    assert len(m.langs) == 300 and m.bits == 15
+    found = language_id.predict(docs, m, keep=("lang",)).where("lang = lang_pred").count()
+    assert found > 1700
+
+
 def test_quality_held_out(spark):
     d = "/root/testdata/sf0.1"
     p = queries.op5_quality(spark, d).toPandas()
@@ -473,7 +574,7 @@ def test_neighbours_ties_copies_and_odd_vectors(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("size", [1e200, 1e-200, 1e308, 5e-324])
+@pytest.mark.parametrize("size", [1e200, 1e-200, 1e300, 5e-324])
 def test_neighbours_of_extreme_norms(spark, size):
     """Norms whose squares over- or underflow; a product that is no number counts as minus infinity."""
     rng = np.random.default_rng(8)
@@ -713,6 +814,15 @@ def test_neighbours_in_small_blocks(spark):
 CLASHING = ["score", "diff", "lang_pred", "_q", "_part", "_hash", "a.b", "n", "fp", "rep", "component_id"]
 
 
+def test_ids_of_any_name(spark):
+    """An id column with a dot or a blank in its name."""
+    for name in ("a.b", "an id"):
+        df = spark.createDataFrame([(1, "MIT License text, permission is hereby granted")], "id long, text string").toDF(name, "text")
+        vocabulary = open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read()
+        for got in (mpeg_audio.store_texts(df, name), license_scan.scan(df, id_col=name, min_coverage=0.05), bpe_fst.encode_column(df, vocabulary, public_tokenizers.PATTERN, name)):
+            assert {r[0] for r in got.collect()} <= {1} and got.columns[0] == name
+
+
 def test_operators_ignore_other_columns(spark):
     """Columns with the operators' own names, and odd ones, change no value."""
     docs = frame(spark, ODD, extra=False).select("doc_id", "text", "lang", "source", "n_chars")
