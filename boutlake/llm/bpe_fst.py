@@ -21,9 +21,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from boutlake.llm.common import Recent, quoted
+from boutlake.llm.common import Recent, id_and_text
 
 NEVER = 1 << 60
 
@@ -342,8 +341,9 @@ def encode_column(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str
                 if with_ids:
                     all_ids.append(np.frombuffer(ids, "<u4").astype(np.int32))
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string()), pa.array(valid, pa.bool_())]
-            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "valid_utf8"]
+            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "valid_utf8"]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else []), names=names + (["ids"] if with_ids else []))
 
-    schema = f"{quoted(id_col)} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean" + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col(quoted(id_col)), F.col(quoted(text_col))).mapInArrow(run, schema)
+    plain, id_type = id_and_text(docs, id_col, text_col)
+    schema = f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean" + (", ids array<int>" if with_ids else "")
+    return plain.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -56,6 +56,11 @@ def numbered(docs: DataFrame, keep: tuple[str, ...], text_col: str) -> tuple[Dat
     return docs.select(*[F.col(quoted(c)).alias(f.name) for c, f in zip(keep, fields)], F.col(quoted(text_col)).alias("x")), fields
 
 
+def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """The two columns as id and x for an Arrow function, whose input can't have names with dots, and the id's type."""
+    return docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("x")), docs.schema[id_col].dataType.simpleString()
+
+
 def fresh(columns: list[str], name: str) -> str:
     """``name``, lengthened until no column has it in any case."""
     taken = {c.lower() for c in columns}

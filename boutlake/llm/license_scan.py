@@ -21,9 +21,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from boutlake.llm.common import quoted
+from boutlake.llm.common import id_and_text
 
 # Wording of well-known licenses and notices.
 TEMPLATES = {
@@ -274,7 +273,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage:
             spans = pa.array([[{"start": s, "end": e} for s, e in r[3]] for r in rows], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(at, pa.int64())), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.int32()), spans],
-                names=[id_col, "license", "coverage", "matched_words", "spans"],
+                names=["id", "license", "coverage", "matched_words", "spans"],
             )
 
-    return docs.select(F.col(quoted(id_col)), F.col(quoted(text_col))).mapInArrow(run, f"{quoted(id_col)} {docs.schema[id_col].dataType.simpleString()}, license string, coverage double, matched_words int, spans array<struct<start:int,end:int>>")
+    plain, id_type = id_and_text(docs, id_col, text_col)
+    return plain.mapInArrow(run, f"id {id_type}, license string, coverage double, matched_words int, spans array<struct<start:int,end:int>>").withColumnRenamed("id", id_col)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boutlake.llm.common import quoted
+from boutlake.llm.common import id_and_text, quoted
 
 UNIT = 192
 
@@ -459,7 +459,6 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     as empty and still fills one 192-byte unit. Only the two named columns are
     read. Nothing is shuffled; a task holds one Arrow batch and one stream.
     """
-    id_type = docs.schema[id_col].dataType
 
     def run(batches):
         for batch in batches:
@@ -472,6 +471,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 row = (int(parsed["tags"]["TXXX:payload_bytes"]), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stream), hashlib.sha256(stream).hexdigest(), describe(parsed), parsed["duration_us"], np.asarray(parsed["offsets"], np.int64))
                 for c, x in zip(cols, row):
                     c.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols[:-1]), pa.array(cols[-1], pa.list_(pa.int64()))], names=[id_col, *(x.split()[0] for x in MEDIA_SCHEMA.split(", "))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols[:-1]), pa.array(cols[-1], pa.list_(pa.int64()))], names=["id", *(x.split()[0] for x in MEDIA_SCHEMA.split(", "))])
 
-    return docs.select(F.col(quoted(id_col)), F.col(quoted(text_col))).mapInArrow(run, f"{quoted(id_col)} {id_type.simpleString()}, {MEDIA_SCHEMA}")
+    plain, id_type = id_and_text(docs, id_col, text_col)
+    return plain.mapInArrow(run, f"id {id_type}, {MEDIA_SCHEMA}").withColumnRenamed("id", id_col)

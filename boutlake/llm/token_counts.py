@@ -18,9 +18,8 @@ from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from boutlake.llm.common import Recent, quoted
+from boutlake.llm.common import Recent, id_and_text
 
 # Unicode's White_Space, which the pattern's \s means.
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -103,6 +102,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, batch_byte
                 if size >= 16 * batch_bytes or i == len(texts):
                     counts += counter.count(texts[at:i])
                     at, size = i, 0
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_bytes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_bytes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())], names=["id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col(quoted(id_col)), F.col(quoted(text_col))).mapInArrow(run, f"{quoted(id_col)} {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    plain, id_type = id_and_text(docs, id_col, text_col)
+    return plain.mapInArrow(run, f"id {id_type}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
