@@ -97,8 +97,8 @@ def _(spark, d):
 def _(spark, d):
     """Every season's field, each pair predicted from the two places in it, written and read back."""
     at = landing(spark)
-    place = fx.seeds(spark, d).select("Season", "TeamID", "r")
-    pairs = match.field_pairs(field(spark, d)).join(place.withColumnsRenamed({"TeamID": "A_TeamID", "r": "a"}), ["Season", "A_TeamID"]).join(place.withColumnsRenamed({"TeamID": "B_TeamID", "r": "b"}), ["Season", "B_TeamID"])
+    place = fx.seeds(spark, d).select("Season", "men_women", "TeamID", "r")  # ids of the two pools may be the same
+    pairs = match.field_pairs(field(spark, d)).join(place.withColumnsRenamed({"TeamID": "A_TeamID", "r": "a"}), ["Season", "men_women", "A_TeamID"]).join(place.withColumnsRenamed({"TeamID": "B_TeamID", "r": "b"}), ["Season", "men_women", "B_TeamID"])
     pred = 1.0 / (1.0 + F.exp((F.col("a") - F.col("b")) / 16.0))
     files.write_submissions(pairs.select("Season", F.concat_ws("_", "Season", "A_TeamID", "B_TeamID").alias("ID"), pred.alias("Pred")), at, "Season", "ID")
     return files.read_csv(spark, at, "ID string, Pred double, Season int")
