@@ -193,7 +193,8 @@ def _(spark, d):
 def template(spark, d):
     names = fx.teams(spark, d).select("TeamID", "TeamName", "men_women")
     p = fx.plog(spark, d).where("Season = 2001 AND DayNum >= 134")
-    p = p.join(names.select(F.col("TeamID").alias("A_TeamID"), F.col("TeamName").alias("A_Name")), "A_TeamID").join(names.select(F.col("TeamID").alias("B_TeamID"), F.col("TeamName").alias("B_Name")), "B_TeamID")
+    for s in "AB":  # a team is an id within a pool
+        p = p.join(names.select("men_women", F.col("TeamID").alias(f"{s}_TeamID"), F.col("TeamName").alias(f"{s}_Name")), ["men_women", f"{s}_TeamID"])
     winner = F.when(F.col("_seq") % 9 == 0, "").when(F.col("_seq") % 31 == 1, "nobody").when(F.col("Outcome") == 1, F.concat(F.lit(" "), "A_Name")).otherwise(F.col("B_Name"))
     return p.select("Season", "_seq", "A_TeamID", "A_Name", "B_TeamID", "B_Name", winner.alias("Winner"))
 

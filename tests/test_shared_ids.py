@@ -29,7 +29,7 @@ def tables(tmp_path_factory):
     return str(at)
 
 
-SAME = ["s7_submissions_by_season", "j22_dimension_merge", "j1_matchup_dataset_full", "a9_preseason_pick", "j11_j12_priors_to_sides", "j9_overlay", "m1_leave_one_season_out_all_seasons", "k5_keeps_input_order", "k5_keeps_input_order_all"]
+SAME = ["s7_submissions_by_season", "j22_dimension_merge", "j1_matchup_dataset_full", "a9_preseason_pick", "j11_j12_priors_to_sides", "j9_overlay", "m1_leave_one_season_out_all_seasons", "k5_keeps_input_order", "k5_keeps_input_order_all", "s16_filled_template", "s16_rejected_winners"]
 
 
 @pytest.mark.parametrize("name", SAME)
