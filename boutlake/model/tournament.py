@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boutlake.functions.scores import temper
-from boutlake.model.training import Settings, assembled, fit_calibrator, fit_regressor, probability
+from boutlake.model.training import Settings, assembled, cells, cut_points, fit_on_cells, fit_outcomes, outcomes_of_cells, probability, quantile_grids
 from boutlake.operators.metrics import bounded_minimum
 from boutlake.tables import pinned
 
@@ -44,21 +44,20 @@ class Tournament:
     by_season: dict[int, float]
 
 
-def out_of_fold(df: DataFrame, features: list[str], s: Settings, weight: str, fold: str = "Season", parallel: int = 4) -> DataFrame:
+def out_of_fold(df: DataFrame, features: list[str], s: Settings, weight: str, fold: str = "Season", parallel: int = 8) -> DataFrame:
     """``df`` with pred_margin and pred_prob_raw: each season by a regressor fitted on the others with weights, and a calibrator on that regressor's margins of the same games, without weights."""
-    x = assembled(df.where("Margin IS NOT NULL"), features).persist()
-    try:
-        folds = sorted(r[0] for r in x.select(fold).distinct().collect())  # a row per season
-
-        def one(k):
-            rest = x.where(F.col(fold) != k)
-            margin = fit_regressor(rest, "Margin", s, weight)
-            return probability(margin.transform(x.where(F.col(fold) == k)), fit_calibrator(margin.transform(rest), s), out="pred_prob_raw").drop("x")
-
-        with ThreadPoolExecutor(parallel) as pool:
-            return pinned(reduce(DataFrame.unionByName, pool.map(one, folds)))
-    finally:
-        x.unpersist()
+    x = pinned(df.where("Margin IS NOT NULL"), [fold])
+    grids = {k: g for k, g in quantile_grids(x, features, fold).items() if k is not None}
+
+    def one(k):
+        cuts = cut_points([g for other, g in grids.items() if other != k])
+        folded = cells(x.where(F.col(fold) != k), features, s, cuts, ("Margin",), weight)
+        margin = fit_on_cells(folded, "Margin", s)
+        calibrator = fit_outcomes(outcomes_of_cells(margin.transform(folded)), s)
+        return probability(margin.transform(assembled(x.where(F.col(fold) == k), features, cuts)), calibrator, out="pred_prob_raw").drop("x")
+
+    with ThreadPoolExecutor(parallel) as pool:
+        return pinned(reduce(DataFrame.unionByName, pool.map(one, sorted(grids))))
 
 
 def segment_temperatures(games: DataFrame, segments: Segments, weight: str) -> dict[str, float]:
