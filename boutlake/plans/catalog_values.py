@@ -6,16 +6,16 @@ the calibrator by Newton's method on the leaves.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from boutlake.model import handicap, leaves
 from boutlake.model import training as tr
-from boutlake.operators import asof, match, metrics, symmetric, teams
+from boutlake.operators import asof, history, match, metrics, symmetric, teams
 from boutlake.plans import fixtures as fx
 from boutlake.plans.catalog_joins import field
 from boutlake.plans.catalog_model import EXACT, venue_games
 from boutlake.plans.registry import query
+from boutlake.tables import pinned
 
 STEPS = 12
 
@@ -82,7 +82,7 @@ def with_better(log, averages):
 )
 def _(spark, d):
     """Every season's whole field without results through the training path, each pair from both sides; the model has seen all tournaments."""
-    averages = teams.season_averages(fx.reg(spark, d), ("Score",))
+    averages = pinned(teams.season_averages(fx.reg(spark, d), ("Score",)))  # joined four times
     played = fx.tourn(spark, d).select("_seq", "Season", "men_women", F.col("T1_TeamID").alias("A_TeamID"), F.col("T2_TeamID").alias("B_TeamID"), "Outcome", F.col("PointDiff").alias("Margin"), (F.col("T1_Score") + F.col("T2_Score")).alias("Total"))
     model = tr.train(with_better(played, averages), ["better"], EXACT)
     pairs = match.field_pairs(field(spark, d))
@@ -116,11 +116,10 @@ fx.SQL["frozenp"] = f"SELECT Season, better, pm, pt, round(1 / (1 + exp(-(a * pm
 )
 def _(spark, d):
     """Scores of all seasons' tournaments by round and venue: ratings as of the day before the first round, each season by a model of the others."""
-    g = venue_games(spark, d).where("DayNum >= 134")
+    g = history.with_round_numbers(pinned(venue_games(spark, d).where("DayNum >= 134")), ["Season", "men_women"])
     x = asof.frozen_both(g, fx.snaps(spark, d), ["kp_AdjEM_asof"], fx.cal(spark, d), 134)
     gap = F.col("d_kp_AdjEM_asof")
     x = x.withColumn("better", F.when(gap > 2, 1.0).when(gap < -2, -1.0).otherwise(0.0))
-    x = x.withColumn("round_num", F.dense_rank().over(Window.partitionBy("Season", "men_women").orderBy("DayNum")))
     oof = tr.leave_one_out(x, ["better"], EXACT).withColumn("p", F.round("pred_prob", 4))
     return oof.groupBy("round_num", F.col("A_home").cast("int").alias("A_home")).agg(F.count(F.lit(1)).alias("n"), metrics.brier("p", "Outcome").alias("brier"), F.avg(F.abs(F.col("pred_margin") - F.col("Margin"))).alias("mae_margin"), F.avg(F.abs(F.col("pred_total") - F.col("Total"))).alias("mae_total"))
 
