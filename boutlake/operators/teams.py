@@ -221,7 +221,7 @@ def least_squares_quality(log: DataFrame, tol: float = 1e-10, most_rounds: int =
     zero = F.lit(0.0)
     at = pinned(start.join(span, KEYS).select(*KEYS, "t", "deg", "span", zero.alias("x"), "r", zero.alias("d"), zero.alias("ld")))
     # a row of a team with itself carries what is known of it through each aggregation
-    pairs = pinned(folded.select(*KEYS, "t", "o", "n", F.lit(False).alias("own")).unionByName(at.select(*KEYS, "t", F.col("t").alias("o"), zero.alias("n"), F.lit(True).alias("own")))).repartition(*KEYS, "o").persist()  # as every step joins it
+    pairs = pinned(folded.select(*KEYS, "t", "o", "n", F.lit(False).alias("own")).unionByName(at.select(*KEYS, "t", F.col("t").alias("o"), zero.alias("n"), F.lit(True).alias("own")))).repartition(*KEYS, "o").sortWithinPartitions(*KEYS, "o").persist()  # as every step joins it: dealt and sorted once
     first: dict[tuple, float] = {}
     parts: list[DataFrame] = []
 
