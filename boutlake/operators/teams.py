@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boutlake.functions.scores import FORM_DAY, FT, HOME_EDGE, floor_at, game_possessions, rank_share
+from boutlake.operators import blocks
 from boutlake.tables import pinned
 
 KEYS = ["men_women", "Season"]
@@ -103,41 +104,43 @@ def _efficiency_round(edges: DataFrame, at: DataFrame, keys: list[str], tol: flo
     return scaled.select(*keys, "t", *[F.when(on, new).otherwise(F.col(c)).alias(c) for c, new in step.items()])
 
 
-def adjusted_efficiency(log: DataFrame, rounds: int | None = None, max_rounds: int = 50, tol: float = 1e-4, edge: float = HOME_EDGE, extra_keys: tuple[str, ...] = (), games: DataFrame | None = None, stride: int = 5) -> DataFrame:
-    """Opponent-adjusted efficiency as a fixed point of joins and aggregations.
+def adjusted_efficiency(log: DataFrame, rounds: int | None = None, max_rounds: int = 50, tol: float = 1e-4, edge: float = HOME_EDGE, extra_keys: tuple[str, ...] = (), games: DataFrame | None = None, block: int = 500_000) -> DataFrame:
+    """Opponent-adjusted efficiency as a fixed point, in blocks of about ``block`` pairs of a team and an opponent.
 
     With ``rounds`` there are just that many rounds. Without, rounds go on until
     every group's largest change is below ``tol``, ``max_rounds`` at most; a group that
-    got there moves no further and is set aside at the next write. ``stride`` rounds make one plan,
-    whose outcome (a row per team and group) is written to the shared folder; the
-    driver sees two counts each time.
+    got there is set aside. Blocks are dealt once; a round shuffles the ratings that blocks need of each other and writes them
+    once to the shared folder. The driver sees sums, counts and the largest change of each group, a row per group.
+    How far a round moved is known in the next one, so a settled group makes one round more, which doesn't count.
     """
     keys = [*KEYS, *extra_keys]
-    g = efficiency_games(log, edge) if games is None else games
-    g = pinned(g.repartition(*keys, "t"))
-    first = pinned(_efficiency_start(g, keys))
-    edges = pinned(_efficiency_edges(g, first, keys).repartition(*keys, "o"))
-    moving, parts, k, limit = first.select(*keys, "t", "AdjOE", "AdjDE", "change", "iters"), [], 0, max_rounds if rounds is None else rounds
-    while k < limit:
-        todo = min(stride, limit - k)
-        left = edges if not parts else edges.join(moving.select(*keys).distinct(), keys, "left_semi")
-        for _ in range(todo):
-            moving = _efficiency_round(left, moving, keys, tol if rounds is None else None)
-        moving, k = pinned(moving), k + todo
-        if rounds is None and k < limit:
-            still = F.col("change") >= tol
-            flags = moving.agg(F.count_if(still).alias("on"), F.count_if(~still).alias("off")).first()
-            if not flags["on"]:
-                break
-            if flags["off"]:
-                parts.append(moving.where(~still))
-                moving = moving.where(still)
-    done = reduce(DataFrame.unionByName, [*parts, moving])
-    opp = first.select(*keys, F.col("t").alias("o"), F.col("tempo").alias("o_tempo"))
-    lg = first.select(*keys, "t", "lg_tempo")
-    tempo = g.join(opp, [*keys, "o"], "left").join(lg, [*keys, "t"]).groupBy(*keys, "t").agg(F.avg(F.col("poss") / floor_at(F.coalesce("o_tempo", "lg_tempo"), 1) * F.col("lg_tempo")).alias("AdjTempo"))
-    out = done.join(tempo, [*keys, "t"])
-    return out.select(*keys, F.col("t").alias("TeamID"), "AdjOE", "AdjDE", (F.col("AdjOE") - F.col("AdjDE")).alias("AdjEM"), "AdjTempo", "iters")
+    g = pinned(efficiency_games(log, edge)) if games is None else games
+    team = g.schema["t"].dataType
+    packed, known, groups = blocks.pack(g, keys, block)
+    packed = packed.repartition(int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")), "b").persist()  # as every round joins it: dealt once
+    try:
+        mean = blocks.means(packed)
+        tempo = packed.withColumns({f"{x}{c}{y}": F.col(f"{x}poss{y}") for c in ("oe", "de") for x, y in (("", ""), ("n_", ""), ("", "0"))})
+        tempo = pinned(blocks.sent_next(tempo, blocks.sent_first(tempo), {i: (mean[i][1], 1.0, 1.0) for i in range(groups)}).where(F.col("src") == blocks.OWN).select("b", F.col("oe").alias("AdjTempo")))
+        sent = pinned(blocks.sent_first(packed))
+        by, parts, k, limit = {i: (mean[i][0], 1.0, 1.0) for i in range(groups)}, [], 0, max_rounds if rounds is None else rounds
+        while by and k < limit:
+            sent = pinned(blocks.sent_next(packed, sent, by))
+            told = sent.where(F.col("src") == blocks.OWN).groupBy("gid").agg(*[F.sum(c).alias(c) for c in ("s_oe", "c_oe", "s_de", "c_de")], F.max("change").alias("change")).collect()
+            settled = [r.gid for r in told if rounds is None and k and (r.change is None or r.change < tol)]
+            if settled:
+                parts.append(sent.where(F.col("gid").isin(settled)).select("gid", "b", "src", F.col("x_oe").alias("AdjOE"), F.col("x_de").alias("AdjDE"), F.lit(k).alias("iters")))
+            scale = lambda lg, s, n: lg / max(1.0, s / n) if n and s == s else float("nan") if n else 1.0
+            by = {r.gid: (lg := by[r.gid][0], scale(lg, r.s_oe, r.c_oe), scale(lg, r.s_de, r.c_de)) for r in told if r.gid not in settled}
+            k += 1
+    finally:
+        packed.unpersist()
+    last = F.broadcast(log.sparkSession.createDataFrame([(i, x[1], x[2]) for i, x in by.items()], "gid int, f_oe double, f_de double"))  # a row per group
+    scaled = lambda c: F.transform(c, lambda x: x * F.col(f"f_{c}"))
+    parts.append(sent.join(last, "gid").select("gid", "b", "src", scaled("oe").alias("AdjOE"), scaled("de").alias("AdjDE"), F.lit(k).alias("iters")))
+    done = reduce(DataFrame.unionByName, parts).where(F.col("src") == blocks.OWN).join(known, "b").join(tempo, "b")
+    out = done.select(*keys, "iters", F.explode(F.arrays_zip("team", "AdjOE", "AdjDE", "AdjTempo")).alias("r"))
+    return out.select(*keys, F.col("r.team").cast(team).alias("TeamID"), "r.AdjOE", "r.AdjDE", (F.col("r.AdjOE") - F.col("r.AdjDE")).alias("AdjEM"), "r.AdjTempo", "iters")
 
 
 def efficiency_snapshots(log: DataFrame, calendar: DataFrame, cuts: list[int], rounds: int | None = None, only: dict[int, list[int]] | None = None) -> DataFrame:
@@ -147,7 +150,7 @@ def efficiency_snapshots(log: DataFrame, calendar: DataFrame, cuts: list[int], r
         mine = F.array().cast("array<int>")
         for season, own in only.items():
             mine = F.when(F.col("Season") == season, F.array(*map(F.lit, own)).cast("array<int>")).otherwise(mine)
-    games = efficiency_games(log)
+    games = pinned(efficiency_games(log))
     games = games.withColumn("cut", F.explode(F.filter(mine, lambda c: c > F.col("DayNum"))))
     adj = adjusted_efficiency(log, rounds=rounds, extra_keys=("cut",), games=games)
     dated = adj.join(F.broadcast(calendar.select("Season", "DayZero")), "Season")  # one row per season
