@@ -141,7 +141,9 @@ def pack(games: DataFrame, keys: list[str], size: int) -> tuple[DataFrame, DataF
     dealt = dealt.withColumns({"t": F.col("t").cast("long"), "o": F.coalesce(F.col("o").cast("long"), F.lit(NOBODY))})
     block = lambda c: (F.col("first") + F.pmod(F.hash(c), "blocks")).alias
     sums = [x for c in ("oe", "de", "poss") for x in (F.coalesce(F.sum(c), F.lit(0.0)).alias(c), F.count(c).cast("double").alias(f"n_{c}"))]
-    pairs = dealt.groupBy("gid", block("t")("b"), block("o")("ob"), "t", "o").agg(*sums)
+    # dealt by block first: the sums and the packing then need no other shuffle, and it carries each game once
+    dealt = dealt.select("gid", block("t")("b"), block("o")("ob"), "t", "o", "oe", "de", "poss").repartition("b")
+    pairs = dealt.groupBy("gid", "b", "ob", "t", "o").agg(*sums)
     packed = pinned(pairs.groupBy("b").applyInArrow(_pack, PACKED))
     own, asks = packed.where("asker IS NULL"), packed.where("asker IS NOT NULL")
     routes = asks.select("gid", "b", "asker", "ids").groupBy("b").cogroup(own.select("b", "team").groupBy("b")).applyInArrow(_route, "gid int, b int, to array<int>, size array<int>, need array<int>")
